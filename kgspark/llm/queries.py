@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.llm import components, fingerprints, splitting, survivors, tiling
+from kgspark.llm import components, fingerprints, sentences, splitting, survivors, tiling
 from kgspark.session import table
 
 PATCH_FIELDS = ("name", "type", "color", "notes")
@@ -64,7 +64,15 @@ def p6_coverage(spark, d):
     return tiling.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), least=5, cover=0.5)
 
 
+def p8_found(spark, d):
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
+def p8_sentences(spark, d):
+    return sentences.sentence_units(table(spark, d, "documents"), texts=True)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_records, p4_found, p4_nodes, p4_voted, p5_found, p5_pieces, p6_found, p6_coverage)
+    for f in (p1_found, p1_groups, p2_found, p2_records, p4_found, p4_nodes, p4_voted, p5_found, p5_pieces, p6_found, p6_coverage, p8_found, p8_sentences)
 }
