@@ -275,7 +275,7 @@ def fit(texts: list[str], rounds: int = 2, steps: int = 60, least: int = 12) ->
         f1[c[0]] += last
         l1[c[0]] += not last and c[3] == "l"
     never = {k for k, n in n1.items() if n >= least and f1[k] < 0.02 * n}
-    mixed = {k for k, n in n1.items() if l1[k] > 0.1 * n}  # small letters follow these as a rule
+    mixed = {k for k, n in n1.items() if n >= 4 and l1[k] > 0.1 * n}  # small letters follow these as a rule
     for c, last in zip(rows, final):
         if not last and c[0] not in never:
             n2[c[2]] += 1
