@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.llm import components, fingerprints, sentences, splitting, survivors, tiling
+from kgspark.llm import components, fingerprints, provenance, sentences, splitting, survivors, tiling
 from kgspark.session import table
 
 PATCH_FIELDS = ("name", "type", "color", "notes")
@@ -31,6 +31,15 @@ def p2_records(spark, d):
     return fingerprints.collapsed(table(spark, d, "entity_imports"), **COPIES)
 
 
+def p3_found(spark, d):
+    files = provenance.labelled(table(spark, d, "parsed_files"))
+    return files.where("label <> 'hand'").select("file_no")
+
+
+def p3_labels(spark, d):
+    return provenance.labelled(table(spark, d, "parsed_files")).withColumn("p_hand", F.round("p_hand", 6))
+
+
 def p4_found(spark, d):
     votes = survivors.field_votes(table(spark, d, "node_patches"), PATCH_FIELDS)
     return survivors.winners(votes).where("rivals").select("entity_no", "field_name", "patch_no")
@@ -74,5 +83,5 @@ def p8_sentences(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_records, p4_found, p4_nodes, p4_voted, p5_found, p5_pieces, p6_found, p6_coverage, p8_found, p8_sentences)
+    for f in (p1_found, p1_groups, p2_found, p2_records, p3_found, p3_labels, p4_found, p4_nodes, p4_voted, p5_found, p5_pieces, p6_found, p6_coverage, p8_found, p8_sentences)
 }
