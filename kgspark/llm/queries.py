@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgspark.llm import components, fingerprints, provenance, sentences, splitting, survivors, tiling
+from kgspark.llm import components, fingerprints, mixing, provenance, sentences, splitting, survivors, tiling
 from kgspark.session import table
 
 PATCH_FIELDS = ("name", "type", "color", "notes")
@@ -73,6 +73,14 @@ def p6_coverage(spark, d):
     return tiling.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), least=5, cover=0.5)
 
 
+def p7_mixture(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark, d):
     return sentences.sentence_units(table(spark, d, "documents"))
 
@@ -83,5 +91,5 @@ def p8_sentences(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_records, p3_found, p3_labels, p4_found, p4_nodes, p4_voted, p5_found, p5_pieces, p6_found, p6_coverage, p8_found, p8_sentences)
+    for f in (p1_found, p1_groups, p2_found, p2_records, p3_found, p3_labels, p4_found, p4_nodes, p4_voted, p5_found, p5_pieces, p6_found, p6_coverage, p7_mixture, p7_shares, p8_found, p8_sentences)
 }
