@@ -227,18 +227,24 @@ def _directory_evidence(name: Column) -> list[Column]:
     return [by[x] for x in LABELS]
 
 
-def _through(logs: list[Column], upwards: bool) -> list[Column]:
-    """log of the compatibility matrix applied to exp of logs, shifted by their maximum."""
-    top = F.greatest(*logs)
+def _through(df: DataFrame, logs: list[Column], upwards: bool, names: list[str]) -> DataFrame:
+    """Adds, as names, the log of the compatibility matrix applied to exp of logs, shifted by their maximum.
+
+    In steps, so that the optimizer keeps each shared term as a column of its own."""
+    kept = df.columns
+    df = df.select("*", *[x.alias(f"_l{i}") for i, x in enumerate(logs)])
+    df = df.select("*", F.greatest(*[f"_l{i}" for i in range(5)]).alias("_top"))
+    df = df.select("*", *[F.exp(F.col(f"_l{i}") - F.col("_top")).alias(f"_x{i}") for i in range(5)])
     out = []
     for a in range(5):
-        terms = [F.exp(logs[b] - top) * F.lit(COMPATIBLE[a][b] if upwards else COMPATIBLE[b][a]) for b in range(5)]
-        out.append(F.log(sum(terms[1:], terms[0])) + top)
-    return out
+        terms = [F.col(f"_x{b}") * F.lit(COMPATIBLE[a][b] if upwards else COMPATIBLE[b][a]) for b in range(5)]
+        out.append((F.log(sum(terms[1:], terms[0])) + F.col("_top")).alias(names[a]))
+    return df.select(*kept, *out)
 
 
 M = [f"m{i}" for i in range(5)]
 B = [f"b{i}" for i in range(5)]
+D = [f"d{i}" for i in range(5)]
 
 
 def _parent(c: Column) -> Column:
@@ -255,14 +261,10 @@ def labelled(files: DataFrame) -> DataFrame:
     scratch = Scratch(files.sparkSession)
     rows = scratch.save(_evidence_rows(files))
     n = rows.count()
-    leaf = scratch.save(
-        _with_copies(rows, n).select(
-            "file_no", "repo", "dir", "depth", *[f"e{i}" for i in range(5)],
-        )
-    )
-    e = [F.col(f"e{i}") for i in range(5)]
-    up = leaf.select("repo", "dir", "depth", *[m.alias(M[i]) for i, m in enumerate(_through(e, True))])
-    sums = up.groupBy("repo", "dir", "depth").agg(*[F.sum(m).alias(m) for m in M], F.count("*").alias("files"))
+    e = [f"e{i}" for i in range(5)]
+    leaf = _with_copies(rows, n).select("file_no", "repo", "dir", "depth", *e)
+    leaf = scratch.save(_through(leaf, [F.col(x) for x in e], True, M))
+    sums = leaf.groupBy("repo", "dir", "depth").agg(*[F.sum(m).alias(m) for m in M], F.count("*").alias("files"))
     sums = scratch.save(sums)
     deepest = sums.agg(F.max("depth")).first()[0]
     if deepest is None:
@@ -278,26 +280,23 @@ def labelled(files: DataFrame) -> DataFrame:
         own = _directory_evidence(name)
         here = here.select("repo", "dir", "files", *[(F.col(m) + own[i]).alias(B[i]) for i, m in enumerate(M)])
         levels[depth] = here = scratch.save(here)
-        sent = _through([F.col(b) for b in B], True)
-        arriving = here.select("repo", _parent(F.col("dir")).alias("dir"), *[s.alias(M[i]) for i, s in enumerate(sent)], F.lit(0).cast("bigint").alias("files"))
+        sent = _through(here.select("repo", "dir", *B), [F.col(b) for b in B], True, M)
+        arriving = sent.select("repo", _parent(F.col("dir")).alias("dir"), *M, F.lit(0).cast("bigint").alias("files"))
     believed = levels[0]
     done = [believed]
     for depth in range(1, deepest + 1):  # downwards
-        sent = _through([F.col(b) for b in B], True)
-        low = levels[depth].select("*", _parent(F.col("dir")).alias("up"), *[s.alias(M[i]) for i, s in enumerate(sent)])
+        low = _through(levels[depth], [F.col(b) for b in B], True, M).withColumn("up", _parent(F.col("dir")))
         high = believed.select("repo", F.col("dir").alias("up"), *[F.col(b).alias(f"u{i}") for i, b in enumerate(B)])
-        rest = [F.col(f"u{i}") - F.col(M[i]) for i in range(5)]
-        down = _through(rest, False)
-        believed = low.join(high, ["repo", "up"]).select("repo", "dir", "files", *[(F.col(b) + down[i]).alias(b) for i, b in enumerate(B)])
-        believed = scratch.save(believed)
+        both = low.join(high, ["repo", "up"])
+        both = _through(both, [F.col(f"u{i}") - F.col(M[i]) for i in range(5)], False, D)
+        believed = scratch.save(both.select("repo", "dir", "files", *[(F.col(b) + F.col(D[i])).alias(b) for i, b in enumerate(B)]))
         done.append(believed)
     dirs = done[0]
     for d in done[1:]:
         dirs = dirs.unionByName(d)
     joined = lookup(leaf, ["repo", "dir"], dirs, "files", n)
-    sent = _through(e, True)
-    down = _through([F.col(B[i]) - sent[i] for i in range(5)], False)
-    joined = joined.select("file_no", *[(e[i] + down[i]).alias(f"f{i}") for i in range(5)])
+    joined = _through(joined, [F.col(B[i]) - F.col(M[i]) for i in range(5)], False, D)
+    joined = joined.select("file_no", *[(F.col(e[i]) + F.col(D[i])).alias(f"f{i}") for i in range(5)])
     f = [F.col(f"f{i}") for i in range(5)]
     top = F.greatest(*f)
     label = F.coalesce(*[F.when(f[i] == top, F.lit(LABELS[i])) for i in range(5)])
