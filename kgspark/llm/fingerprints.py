@@ -19,8 +19,9 @@ LANE = (1 << 56) - 1
 
 
 def squash(c: Column) -> Column:
-    """Letters and digits only, without letter case (full folding: ß equals SS); null becomes the empty string."""
-    return F.lower(F.upper(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), NEITHER, ""))))
+    """Letters and digits only, without letter case (ß equals SS); null becomes the empty string."""
+    low = F.lower(F.upper(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), NEITHER, ""))))
+    return F.replace(low, F.lit("ß"), F.lit("ss"))
 
 
 def parsed_pairs(record: Column) -> Column:

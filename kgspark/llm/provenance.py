@@ -24,7 +24,15 @@ from kgspark.plans.scratch import Scratch
 from kgspark.plans.skew import lookup
 
 LABELS = ("hand", "generated", "minified", "vendored", "blob")
-#: Compatibility of a directory's label (row) with that of a file or directory in it (column), in the order of LABELS.
+#: Compatibility of a directory's label (row) with that of a directory in it (column), in the order of LABELS.
+NESTED = (
+    (0.96, 0.01, 0.01, 0.01, 0.01),
+    (0.10, 0.84, 0.02, 0.02, 0.02),
+    (0.10, 0.04, 0.82, 0.02, 0.02),
+    (0.02, 0.01, 0.02, 0.94, 0.01),
+    (0.10, 0.03, 0.02, 0.02, 0.83),
+)
+#: The same for a file in it.
 COMPATIBLE = (
     (0.76, 0.06, 0.04, 0.10, 0.04),
     (0.15, 0.78, 0.02, 0.03, 0.02),
@@ -127,6 +135,8 @@ def evidence(path: str | None, text: str | None) -> tuple[float, float, float, f
         minified += 4
     if VERSIONED.search(name):
         vendored += 2
+    if foreign:
+        vendored += 3
     if not text or not text.strip():
         return 0.0, generated, minified, vendored, blob, foreign, ""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -216,19 +226,19 @@ def _with_copies(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _directory_evidence(name: Column) -> list[Column]:
-    """Log-likelihoods of LABELS from a directory's name: five for hand-written ones unless the name says otherwise."""
+    """Log-likelihoods of LABELS from a directory's name; a repository itself is hand-written by five."""
     by = {label: F.lit(0.0) for label in LABELS}
     named = F.lower(name)
     for label in LABELS[1:]:
         for w in sorted({v[1] for v in DIRECTORIES.values() if v[0] == label}):
             words = [k for k, v in DIRECTORIES.items() if v == (label, w)]
             by[label] = F.when(named.isin(words), F.lit(w)).otherwise(by[label])
-    by["hand"] = F.when(named.isin(list(DIRECTORIES)), F.lit(0.0)).otherwise(F.lit(5.0))
+    by["hand"] = F.when(named == "", F.lit(5.0)).otherwise(F.lit(0.0))
     return [by[x] for x in LABELS]
 
 
-def _through(df: DataFrame, logs: list[Column], upwards: bool, names: list[str]) -> DataFrame:
-    """Adds, as names, the log of the compatibility matrix applied to exp of logs, shifted by their maximum.
+def _through(df: DataFrame, logs: list[Column], upwards: bool, names: list[str], matrix=COMPATIBLE) -> DataFrame:
+    """Adds, as names, the log of a compatibility matrix applied to exp of logs, shifted by their maximum.
 
     In steps, so that the optimizer keeps each shared term as a column of its own."""
     kept = df.columns
@@ -237,7 +247,7 @@ def _through(df: DataFrame, logs: list[Column], upwards: bool, names: list[str])
     df = df.select("*", *[F.exp(F.col(f"_l{i}") - F.col("_top")).alias(f"_x{i}") for i in range(5)])
     out = []
     for a in range(5):
-        terms = [F.col(f"_x{b}") * F.lit(COMPATIBLE[a][b] if upwards else COMPATIBLE[b][a]) for b in range(5)]
+        terms = [F.col(f"_x{b}") * F.lit(matrix[a][b] if upwards else matrix[b][a]) for b in range(5)]
         out.append((F.log(sum(terms[1:], terms[0])) + F.col("_top")).alias(names[a]))
     return df.select(*kept, *out)
 
@@ -280,15 +290,15 @@ def labelled(files: DataFrame) -> DataFrame:
         own = _directory_evidence(name)
         here = here.select("repo", "dir", "files", *[(F.col(m) + own[i]).alias(B[i]) for i, m in enumerate(M)])
         levels[depth] = here = scratch.save(here)
-        sent = _through(here.select("repo", "dir", *B), [F.col(b) for b in B], True, M)
+        sent = _through(here.select("repo", "dir", *B), [F.col(b) for b in B], True, M, NESTED)
         arriving = sent.select("repo", _parent(F.col("dir")).alias("dir"), *M, F.lit(0).cast("bigint").alias("files"))
     believed = levels[0]
     done = [believed]
     for depth in range(1, deepest + 1):  # downwards
-        low = _through(levels[depth], [F.col(b) for b in B], True, M).withColumn("up", _parent(F.col("dir")))
+        low = _through(levels[depth], [F.col(b) for b in B], True, M, NESTED).withColumn("up", _parent(F.col("dir")))
         high = believed.select("repo", F.col("dir").alias("up"), *[F.col(b).alias(f"u{i}") for i, b in enumerate(B)])
         both = low.join(high, ["repo", "up"])
-        both = _through(both, [F.col(f"u{i}") - F.col(M[i]) for i in range(5)], False, D)
+        both = _through(both, [F.col(f"u{i}") - F.col(M[i]) for i in range(5)], False, D, NESTED)
         believed = scratch.save(both.select("repo", "dir", "files", *[(F.col(b) + F.col(D[i])).alias(b) for i, b in enumerate(B)]))
         done.append(believed)
     dirs = done[0]
