@@ -34,10 +34,10 @@ NESTED = (
 )
 #: The same for a file in it.
 COMPATIBLE = (
-    (0.76, 0.06, 0.04, 0.10, 0.04),
+    (0.70, 0.06, 0.03, 0.17, 0.04),
     (0.15, 0.78, 0.02, 0.03, 0.02),
     (0.22, 0.04, 0.66, 0.06, 0.02),
-    (0.02, 0.01, 0.02, 0.94, 0.01),
+    (0.05, 0.01, 0.02, 0.91, 0.01),
     (0.28, 0.04, 0.02, 0.02, 0.64),
 )
 #: Directories below this depth hang together on the last level.
@@ -127,7 +127,7 @@ def evidence(path: str | None, text: str | None) -> tuple[float, float, float, f
     p = clean_path(path).lower()
     name = p.rpartition("/")[2]
     ext = name.rpartition(".")[2]
-    generated, minified, vendored, blob = -4.0, -6.0, -1.0, -6.0
+    generated, minified, vendored, blob = -4.0, -6.0, -3.0, -6.0
     foreign = any(DIRECTORIES.get(x, ("", 0))[0] == "vendored" for x in p.split("/")[:-1])
     if TOOL_NAMES.search(name) or LOCKS.match(name):
         generated += 12
@@ -136,7 +136,7 @@ def evidence(path: str | None, text: str | None) -> tuple[float, float, float, f
     if VERSIONED.search(name):
         vendored += 2
     if foreign:
-        vendored += 3
+        vendored += 5
     if not text or not text.strip():
         return 0.0, generated, minified, vendored, blob, foreign, ""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -145,7 +145,7 @@ def evidence(path: str | None, text: str | None) -> tuple[float, float, float, f
     if MARKERS.search(top):
         generated += 12
     if NOTICE.search(top) and FOREIGN.search(top):
-        vendored += 9
+        vendored += 11
         foreign = True
     code = body_of(text)
     lines = [x for x in text.split("\n") if x.strip()]
@@ -221,8 +221,8 @@ def _with_copies(rows: DataFrame, n: int) -> DataFrame:
         .where("known or spread")
     )
     marked = lookup(rows.where("body is not null").select("file_no", "body"), ["body"], groups, "n", n)
-    marked = marked.select("file_no", F.lit(9.0).alias("more")).groupBy("file_no").agg(F.max("more").alias("more"))
-    return rows.join(marked, "file_no", "left").withColumn("e3", F.col("e3") + F.coalesce("more", F.lit(0.0))).drop("more")
+    marked = marked.select("file_no", F.lit(11.0).alias("more")).groupBy("file_no").agg(F.max("more").alias("more"))
+    return rows.join(marked, "file_no", "left").withColumn("e3", F.col("e3") + F.when(F.col("e1") < 0, F.coalesce("more", F.lit(0.0))).otherwise(0.0)).drop("more")
 
 
 def _directory_evidence(name: Column) -> list[Column]:
