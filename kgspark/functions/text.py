@@ -49,7 +49,7 @@ def fold(text: str | None) -> str:
 
 @F.pandas_udf(types.StringType())
 def _fold_udf(s: pd.Series) -> pd.Series:
-    return s.map(fold)
+    return s.map(fold, na_action="ignore")
 
 
 def normalize_ascii(c: Column) -> Column:
@@ -60,7 +60,8 @@ def normalize_ascii(c: Column) -> Column:
 def normalize(c: Column) -> Column:
     """The key by which names are compared; null and text without letters give ''. ASCII text stays in the JVM."""
     plain = F.coalesce(c, F.lit(""))
-    return F.when(plain.rlike(r"^[\x00-\x7f]*$"), normalize_ascii(plain)).otherwise(_fold_udf(plain))
+    ascii_ = plain.rlike(r"^[\x00-\x7f]*$")
+    return F.when(ascii_, normalize_ascii(plain)).otherwise(_fold_udf(F.when(~ascii_, plain)))  # Arrow carries nulls for the rest
 
 
 def normalize_type(c: Column, fallback: str = "concept") -> Column:
