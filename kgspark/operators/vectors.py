@@ -63,12 +63,21 @@ def index_score(c: Column) -> Column:
     return (F.lit(1.0) + c) / 2
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, scope: list[str], key: str = "vec_id") -> DataFrame:
+#: Rows of a scope that one block holds; larger scopes are scored in several, so no task gets a whole one.
+BLOCK_ROWS = 100_000
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, scope: list[str], key: str = "vec_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query, key, scope, cosine, rank): the k rows of the same scope nearest to each query, which is filtered before
     scores are taken, so no scope crowds out another. Ties go to the least key. queries: query, embedding, scope.
 
-    Rows are scored where they lie: each batch holds the best k of its own, and only these are shuffled."""
-    q = queries.select("query", *scope, F.col("embedding").alias("_q"))
-    scored = rows.join(q, scope).select("query", key, *scope, cosine(F.col("embedding"), F.col("_q")).alias("cosine")).where("cosine is not null")
+    A scope's rows are dealt out to blocks of about block_rows, and each query goes to every block of its scope; Spark
+    keeps the best k of each task before it shuffles for the final ranks."""
+    sizes = rows.groupBy(*scope).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
+    dealt = rows.select(key, *scope, "embedding").join(sizes, scope).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    q = queries.select("query", *scope, F.col("embedding").alias("_q")).join(sizes, scope)
+    q = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    met = dealt.drop("_blocks").join(q, [*scope, "_block"])
+    scored = met.select("query", key, *scope, cosine(F.col("embedding"), F.col("_q")).alias("cosine")).where("cosine is not null")
     w = Window.partitionBy("query", *scope).orderBy(F.desc("cosine"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
