@@ -27,6 +27,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Intervals of the rank a source is divided into at each of the two levels.
 INTERVALS = 4096
+#: A source is filled up again, by documents that fit, while more than CLOSE of its tokens are wanting, PASSES times at most.
+CLOSE, PASSES = 0.005, 3
 #: Targets are held by the driver and all tasks.
 MOST_TARGETS = 10_000
 #: Classes of weights, from 1 downwards, each half of the one before.
@@ -115,6 +117,29 @@ def _fill(rows: DataFrame, bounds: DataFrame, level: int) -> DataFrame:
     )
 
 
+def _drawn(scratch: Scratch, able: DataFrame, rests: dict[str, float]) -> DataFrame:
+    """(doc_id, key, tokens) of the documents that come first by rank until their source's rest is filled. The one at
+    which it fills up is taken if at least half of it fits."""
+    spark = able.sparkSession
+    first = [(k, 0, 0.0, float(t)) for k, t in rests.items()]
+    bounds = spark.createDataFrame(first, "key string, at bigint, before double, rest double")
+    rest = F.broadcast(bounds.select("key", "rest"))
+    able = able.join(rest, "key")
+    for level in (0, 1):
+        bounds = scratch.save(_fill(able.drop("rest"), bounds, level)).join(rest, "key")
+    fine = F.floor(F.col("z") * F.lit(float(INTERVALS**2))).cast("bigint")
+    ranked = able.withColumn("fine", fine).join(F.broadcast(bounds.select("key", "at", "before")), "key", "left")
+    below = ranked.where("at is null or fine < at").select("doc_id", "key", "tokens")
+    w = Window.partitionBy("key").orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = (
+        ranked.where("fine = at")
+        .withColumn("mid", F.col("before") + F.sum("tokens").over(w) - F.col("tokens") / 2)
+        .where("mid <= rest")
+        .select("doc_id", "key", "tokens")
+    )
+    return below.unionByName(edge)
+
+
 def mixture(
     docs: DataFrame,
     targets: DataFrame,
@@ -175,25 +200,19 @@ def mixture(
         .select("doc_id", "key", "tokens", "whole", "q", "z", "rest")
     )
     drawn = scratch.save(drawn)
-    able = drawn.where("z is not null and rest > 0").select("doc_id", "key", "tokens", "q", "z", "rest")
-    bounds = spark.createDataFrame(
-        [(k, 0, 0.0, max(0.0, tokens[k] - certain[k])) for k in shares], "key string, at bigint, before double, rest double"
-    )
-    rests = F.broadcast(bounds.select("key", "rest"))
-    for level in (0, 1):
-        bounds = scratch.save(_fill(able, bounds, level)).join(rests, "key")
-    fine = F.floor(F.col("z") * F.lit(float(INTERVALS**2))).cast("bigint")
-    last = F.broadcast(bounds.select("key", "at", "before"))
-    ranked = able.withColumn("fine", fine).join(last, "key", "left")
-    below = ranked.where("at is null or fine < at").select("doc_id", "key", F.lit(1).alias("extra"))
-    w = Window.partitionBy("key").orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (
-        ranked.where("fine = at")
-        .withColumn("mid", F.col("before") + F.sum("tokens").over(w) - F.col("tokens") / 2)
-        .where("mid <= rest")
-        .select("doc_id", "key", F.lit(1).alias("extra"))
-    )
-    extra = below.unionByName(edge)
+    able = drawn.where("z is not null and rest > 0").select("doc_id", "key", "tokens", "q", "z")
+    todo = {k: tokens[k] - certain[k] for k in shares if tokens[k] - certain[k] > 0}
+    extra = spark.createDataFrame([], "doc_id bigint, key string, tokens bigint")
+    for _ in range(PASSES):
+        if not todo:
+            break
+        picked = scratch.save(_drawn(scratch, able, todo))
+        extra = extra.unionByName(picked)
+        got = {r["key"]: r["t"] for r in picked.groupBy("key").agg(F.sum("tokens").alias("t")).collect()}  # a row for each target
+        todo = {k: t - got.get(k, 0) for k, t in todo.items() if t - got.get(k, 0) > CLOSE * tokens[k]}
+        room = F.broadcast(spark.createDataFrame([(k, 2 * t) for k, t in todo.items()], "key string, room double"))
+        able = able.join(picked.select("doc_id", "key"), ["doc_id", "key"], "left_anti").join(room, "key").where("tokens <= room").drop("room")
+    extra = extra.select("doc_id", "key", F.lit(1).alias("extra"))
     mixed = (
         drawn.join(extra, ["doc_id", "key"], "left")
         .withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))

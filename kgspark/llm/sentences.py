@@ -208,6 +208,7 @@ def contexts(part: str):
     """For each candidate of a paragraph: (end, context or None where the rules decide, decision of the rules)."""
     marks = items(part)
     item_ends = {e for _, e in marks}
+    uncapped = part.islower()  # in a paragraph without capitals, small letters tell nothing
     for at, end, mark, close, thai in candidates(part, marks):
         if thai:
             yield end, None, at not in item_ends
@@ -217,6 +218,8 @@ def contexts(part: str):
             yield end, None, False
             continue
         k1, s1 = before(part, at, mark, close)
+        if uncapped and case == "l" and s1 in ("longl", "shortl"):
+            case = "o"
         if gap == "none" and case != "e" and mark == "." and not close and not attached(part, at, end, mark, k1, s1, case):
             yield end, None, k2 == "<sym>" and False
             continue
