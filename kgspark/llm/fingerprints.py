@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.plans.scratch import Scratch
 from kgspark.plans.skew import lookup
 
 #: What is neither a letter nor a digit, in Java's notation.
@@ -91,10 +92,11 @@ def copy_groups(prints: DataFrame) -> DataFrame:
 
 def copies(rows: DataFrame, *, key: str, scope: str, fields: tuple[str, ...], record: str | None = None) -> DataFrame:
     """(key, group_no) of every row that has at least one copy; group_no is the least key among its copies."""
-    prints = fingerprinted(rows, key=key, scope=scope, fields=fields, record=record)
+    # written once: the groups and both ways of the lookup read it
+    prints = Scratch(rows.sparkSession).save(fingerprinted(rows, key=key, scope=scope, fields=fields, record=record))
     groups = copy_groups(prints).where(F.col("n_copies") > 1)
     same = [c for c in prints.columns if c != "_id"]
-    return lookup(prints, same, groups, "n_copies", rows.count()).select(F.col("_id").alias(key), "group_no")
+    return lookup(prints, same, groups, "n_copies", prints.count()).select(F.col("_id").alias(key), "group_no")
 
 
 def collapsed(rows: DataFrame, *, key: str, scope: str, fields: tuple[str, ...], record: str | None = None) -> DataFrame:
