@@ -169,3 +169,73 @@ def sections(docs: DataFrame, budget: int, text: str = "text") -> DataFrame:
     return own.mapInPandas(scan, "document_id string, section int, text string")
 
 
+
+
+#: What a mapper's JSON may hold, with the spellings of ends that occur.
+MAP_JSON = (
+    "teaches string, concepts array<struct<name:string,importance:string,one_liner:string,quote:string,requires:array<string>,"
+    "how_it_works:array<string>,strengths:array<string>,limitations:array<string>,when_to_use:array<string>,examples:array<string>>>, "
+    "links array<struct<source:string,target:string,`from`:string,`to`:string,relation:string,why:string>>, "
+    "contrasts array<struct<dimension:string,values:map<string,string>>>"
+)
+
+
+def parsed_maps(replies: DataFrame) -> dict[str, DataFrame]:
+    """concepts, links, contrasts and documents of mappers' JSON replies (document_id, reply). Links need both ends and
+    a relation, contrasts values; what does not parse yields nothing."""
+    m = replies.select("document_id", F.from_json("reply", MAP_JSON).alias("m"))
+    c = m.select("document_id", F.posexplode("m.concepts").alias("seq", "x")).select("document_id", "seq", "x.*").where("name is not null")
+    l = m.select("document_id", F.posexplode("m.links").alias("seq", "x"))
+    l = l.select("document_id", "seq", F.coalesce("x.source", "x.from").alias("source"), F.coalesce("x.target", "x.to").alias("target"), "x.relation", "x.why")
+    t = m.select("document_id", F.posexplode("m.contrasts").alias("seq", "x")).select("document_id", "seq", F.coalesce("x.dimension", F.lit("")).alias("dimension"), "x.values")
+    return {
+        "documents": m.select("document_id", F.coalesce("m.teaches", F.lit("")).alias("teaches")),
+        "concepts": c,
+        "links": l.where("source is not null and target is not null and relation is not null"),
+        "contrasts": t.where("values is not null"),
+    }
+
+
+SINGLE_PASS_TOKENS, SECTION_CAP = 50_000, 28
+
+
+def replies(docs: DataFrame, mapper, budget: int = SINGLE_PASS_TOKENS) -> DataFrame:
+    """(document_id, section, reply): a mapper's JSON for each document, or for each section of a long one in order.
+
+    mapper(text, names so far) -> JSON. Sections of a document are read one after the other, as each is told the names
+    found before; a section that fails is left out."""
+    import json
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from kgspark.operators.chunking import segments
+
+        for df in batches:
+            out = []
+            for d, t in zip(df["d"], df["t"]):
+                parts, names = [t], []
+                if len(t) // 4 > budget:
+                    parts, n = [], 0
+                    for a, b in segments(t):
+                        if parts and n + (b - a) // 4 <= budget:
+                            parts[-1] += "\n\n" + t[a:b]
+                            n += (b - a) // 4
+                        else:
+                            parts.append(t[a:b])
+                            n = (b - a) // 4
+                for i, p in enumerate(parts):
+                    try:
+                        said = mapper(p, list(names))
+                        names += [c.get("name") for c in json.loads(said).get("concepts", []) if c.get("name")]
+                    except Exception:  # noqa: BLE001
+                        continue
+                    out.append((d, i, said))
+            yield pd.DataFrame(out, columns=["document_id", "section", "reply"])
+
+    own = docs.select(F.col("doc_id").cast("string").alias("d"), F.col("text").alias("t")).where("t is not null")
+    return own.mapInPandas(scan, "document_id string, section int, reply string")
+
+
+def united_sections(concepts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Concepts and links of a document's sections as of one map, in the order of the sections. Both have section and seq."""
+    order = (F.col("section") * 10_000 + F.col("seq")).cast("int")
+    return concepts.withColumn("seq", order).drop("section"), links.withColumn("seq", order).drop("section")

@@ -158,3 +158,57 @@ def shared_color(entities: DataFrame) -> DataFrame:
     """(color) the one colour of all entities, null if they differ; a missing colour is a value of its own."""
     n = F.countDistinct(F.coalesce("color", F.lit("\0")))
     return entities.agg(F.when(n == 1, F.max("color")).alias("color"))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """old with the rows of new in place of those with the same key; new has the same columns, one row a key."""
+    return old.join(new.select(*key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
+def write_chunks(chunks: DataFrame, new: DataFrame, documents: DataFrame) -> DataFrame:
+    """chunks upserted by workspace, document and chunk; chunks of documents the workspace does not have are left out."""
+    key = ["workspace_id", "document_id", "chunk_id"]
+    known = documents.select("workspace_id", F.col("doc_id").alias("document_id"))
+    return upsert(chunks, new.join(known, ["workspace_id", "document_id"], "left_semi"), key)
+
+
+def merged_entities(entities: DataFrame, renames: DataFrame) -> DataFrame:
+    """entities without those merged away; survivors keep their own values and gain the documents of the others.
+
+    renames: id, survivor. Documents are united as rows and put back as a sorted list without repeats."""
+    to = entities.join(renames, "id", "left").withColumn("_to", F.coalesce("survivor", "id"))
+    docs = to.select("_to", F.explode("documents").alias("d")).distinct().groupBy("_to").agg(F.array_sort(F.collect_list("d")).alias("_docs"))
+    touched = renames.select(F.col("survivor").alias("id")).distinct().withColumn("_t", F.lit(True))
+    kept = entities.join(renames.select("id"), "id", "left_anti").join(touched, "id", "left").join(docs.withColumnRenamed("_to", "id"), "id", "left")
+    return kept.withColumn("documents", F.when(F.col("_t"), F.coalesce("_docs", "documents")).otherwise(F.col("documents"))).drop("_t", "_docs")
+
+
+def panel_relations(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, direction, type, other, other_name) of the edges of some nodes (column id), as their panel lists them."""
+    at = incident(edges).join(ids.select("id").distinct(), "id", "left_semi")
+    return at.join(nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other").select("id", "direction", "type", "other", "other_name")
+
+
+def prerequisites(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, needs): names of what each node must be preceded by. edges: src, dst, prerequisite."""
+    e = edges.where("prerequisite").select(F.col("src").alias("id"), F.col("dst"))
+    return e.join(nodes.select(F.col("id").alias("dst"), "name"), "dst").select("id", F.col("name").alias("needs")).distinct()
+
+
+def contrasts_of(contrasts: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, dimension, other, value): rows of the contrasts that name some concepts (column name), told apart by value."""
+    long = contrasts.select("document_id", "dimension", F.explode("values").alias("other", "value"))
+    mine = long.join(names.select(F.col("name").alias("other")).distinct(), "other", "left_semi").select("document_id", "dimension", F.col("other").alias("name"))
+    return mine.join(long, ["document_id", "dimension"]).select("name", "dimension", "other", "value")
+
+
+def headline(documents: DataFrame, selected: str | None) -> DataFrame:
+    """(headline): what the selected document, or the only one, teaches; empty otherwise."""
+    d = documents.where(F.col("id") == selected) if selected is not None else documents
+    return d.agg(F.when(F.count("*") == 1, F.coalesce(F.max("teaches"), F.lit(""))).otherwise(F.lit("")).alias("headline"))
+
+
+def canvas_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(nodes, edges, prerequisites) as shown below the canvas. edges: prerequisite."""
+    n = nodes.agg(F.count("*").alias("nodes"))
+    return n.join(edges.agg(F.count("*").alias("edges"), F.count_if(F.coalesce("prerequisite", F.lit(False))).alias("prerequisites")))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
 from kgspark.operators import canvas, chunking, conceptmap, graph, layout, relational, resolution, retrieval, triples, vectors
-from kgspark.plans import extract
+from kgspark.plans import extract, pipeline
+from kgspark.plans.scratch import Scratch
 from kgspark.session import table
 from kgspark.sources import files
 from kgspark.streaming import ingest
@@ -579,6 +580,126 @@ def event_frames(spark, d):
     return ingest.frames(table(spark, d, "events").select("event_id", "user_id", "event_type"))
 
 
+# ---------------------------------------------------------------- composites and the rest of the inventory
+
+_URLS = ("https://github.com/a/b", "https://github.com/a/b.git", "http://www.github.com/x.y/z_1/", "https://github.com.evil.io/a/b", "http://localhost/a/b", "https://github.com/a", "ftp://github.com/a/b", "  https://github.com/a/b  ")
+
+
+@query(
+    "WITH u AS (SELECT unnest([" + ", ".join(f"'{u}'" for u in _URLS) + r"""]) AS url), m AS (SELECT url, regexp_extract(trim(url), '^https?://(?:www\.)?github\.com/([A-Za-z0-9_.-]{1,39})/([A-Za-z0-9_.-]{1,100}?)(?:\.git)?/?$', ['owner', 'repo']) AS r FROM u)
+    SELECT url, nullif(r.owner, '') AS owner, nullif(r.repo, '') AS repo FROM m"""
+)
+def github_urls(spark, d):
+    u = spark.createDataFrame([(x,) for x in _URLS], "url string").withColumn("r", files.github_repo(F.col("url")))
+    return u.select("url", "r.owner", "r.repo")
+
+
+@query()
+def file_kinds(spark, d):
+    """The kind of each parsed file by its bytes and name."""
+    f = table(spark, d, "parsed_files").where("text is not null")
+    f = f.select(F.concat_ws("/", F.col("file_no").cast("string"), "filename").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return files.parsed(f.withColumn("length", F.length("content"))).select("path", "mime", "error", F.length("text").alias("n_chars"))
+
+
+@query(
+    r"""WITH f AS (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY filename, file_no) - 1 AS idx, filename, text FROM parsed_files WHERE repo IS NOT NULL AND text IS NOT NULL)
+    SELECT repo, sha256(string_agg('# ' || filename || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY idx)) AS digest FROM f WHERE idx < 2000 GROUP BY repo"""
+)
+def repository_documents(spark, d):
+    from pyspark.sql.window import Window
+
+    f = table(spark, d, "parsed_files").where("repo is not null and text is not null")
+    f = f.withColumn("rn", F.row_number().over(Window.partitionBy("repo").orderBy("filename", "file_no"))).where(F.col("rn") <= files.REPO_FILES)
+    f = f.withColumn("idx", F.col("rn") - 1)
+    r = files.repository_document(f.select("repo", "idx", F.col("filename").alias("path"), "text"), "repo")
+    return r.select("repo", F.sha2("text", 256).alias("digest"))
+
+
+@query(GRAPH + ", i AS (SELECT src AS id, 'out' AS direction, type, dst AS other FROM edges UNION ALL SELECT dst, 'in', type, src FROM edges WHERE src <> dst) SELECT i.id, direction, i.type, other, n.name AS other_name FROM i JOIN nodes n ON n.id = other WHERE i.id LIKE 's:%'")
+def panel_relations(spark, d):
+    nodes, edges = typed_graph(spark, d)
+    return graph.panel_relations(nodes, edges, nodes.where("id like 's:%'"))
+
+
+@query(GRAPH + "SELECT (SELECT count(*) FROM nodes) AS nodes, count(*) AS edges, count(*) FILTER (type = 'part_of') AS prerequisites FROM edges")
+def canvas_counts(spark, d):
+    nodes, edges = typed_graph(spark, d)
+    return graph.canvas_counts(nodes, edges.withColumn("prerequisite", F.col("type") == "part_of"))
+
+
+@query(GRAPH + "SELECT DISTINCT src AS id, n.name AS needs FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type <> 'supplies'")
+def prerequisites(spark, d):
+    nodes, edges = typed_graph(spark, d)
+    return graph.prerequisites(nodes, edges.withColumn("prerequisite", F.col("type") != "supplies"))
+
+
+@query(
+    """WITH e AS (SELECT entity_no, documents, min(entity_no) OVER (PARTITION BY id) AS s FROM entities WHERE id IS NOT NULL), d AS (SELECT s, list_sort(list_distinct(flatten(list(coalesce(documents, []))))) AS docs, count(*) AS n FROM e GROUP BY s)
+    SELECT d.s AS entity_no, CASE WHEN n = 1 THEN e.documents WHEN len(docs) > 0 THEN docs ELSE e.documents END AS documents FROM d JOIN e ON e.entity_no = d.s"""
+)
+def merged_entities(spark, d):
+    """Records that repeat an id are merged into the first of them."""
+    e = table(spark, d, "entities").where("id is not null").select(F.col("id").alias("key"), F.col("entity_no").alias("id"), "documents")
+    first = e.groupBy("key").agg(F.min("id").alias("survivor"))
+    renames = e.join(first, "key").where("id <> survivor").select("id", "survivor")
+    return graph.merged_entities(e.drop("key"), renames).select(F.col("id").alias("entity_no"), "documents")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(filename) ELSE filename END AS filename FROM documents")
+def upserted_documents(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "filename")
+    return graph.upsert(docs, docs.where("doc_id % 2 = 0").withColumn("filename", F.upper("filename")), ["doc_id"])
+
+
+@query("SELECT chunk_no, concat_ws('-', workspace_id, document_id, chunk_id) AS key FROM (SELECT DISTINCT chunk_no, workspace_id, document_id, chunk_id FROM chunks) c WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = c.document_id AND d.workspace_id = c.workspace_id)")
+def written_chunks(spark, d):
+    c = table(spark, d, "chunks").select("chunk_no", "workspace_id", "document_id", "chunk_id").distinct()
+    w = graph.write_chunks(c.limit(0), c, table(spark, d, "documents"))
+    return w.select("chunk_no", F.concat_ws("-", "workspace_id", "document_id", "chunk_id").alias("key"))
+
+
+def corpus(spark, d) -> pipeline.Corpus:
+    return pipeline.build(table(spark, d, "documents").where("workspace_id is not null"))
+
+
+def chat(spark, d) -> DataFrame:
+    """Each document is greeted, asked with its beginning, and asked nothing."""
+    docs = table(spark, d, "documents").where("workspace_id is not null").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    kinds = F.explode(F.array(F.struct(F.lit("a").alias("k"), F.left("text", F.lit(120)).alias("q")), F.struct(F.lit("b").alias("k"), F.lit("hi there").alias("q")), F.struct(F.lit("c").alias("k"), F.lit(" ").alias("q"))))
+    return docs.select("document_id", kinds.alias("x")).select(F.concat_ws("-", "document_id", "x.k").alias("question_id"), "document_id", F.col("x.q").alias("question"))
+
+
+@query()
+def retrieved_contexts(spark, d):
+    return pipeline.retrieve(corpus(spark, d), chat(spark, d))["context"]
+
+
+@query()
+def answers(spark, d):
+    c, q = corpus(spark, d), chat(spark, d)
+    o = c.documents.select(F.col("doc_id").cast("string").alias("document_id"), retrieval.orientation(F.col("filename"), F.array().cast("array<string>")).alias("reply"))
+    return pipeline.answer(pipeline.retrieve(c, q), q, o)
+
+
+@query()
+def resolved_entities(spark, d):
+    e = table(spark, d, "entities").where("id is not null").dropDuplicates(["id"])
+    return pipeline.resolve(e, spark.createDataFrame([], "src string, type string, dst string"))
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_daily_counts(spark, d):
+    """Events read as a stream, counted by user and day, and written by micro-batches."""
+    scratch = Scratch(spark)
+    out = f"{scratch.root}/out"
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    w = ingest.windowed(stream, "ts", ["user_id"], "1 day")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    w.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
 def flagship(spark, d):
     """Chunks of documents, the terms they mention, the graph these span, and each term's degree in its workspace."""
     docs = table(spark, d, "documents")
