@@ -38,7 +38,7 @@ SCAN = re.compile(
     r"|(?<=[ก-๛])(?P<thai>\s+)(?=\S)"
 )
 PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[^\S\n\r]*(?:\r\n|\n|\r)\s*|[^\S\f]*\f\s*")
-ITEM = re.compile(r"(?:\A|\n|\r)[^\S\n\r]*(?:[-*]|(?P<n>\d{1,3})\.)(?=[^\S\n\r]+\S)")
+ITEM = re.compile(r"(?:\A|\n|\r)(?:[^\S\n\r]|\ufeff)*(?:[-*]|(?P<n>\d{1,3})\.)(?=[^\S\n\r]+\S)")
 VISIBLE = re.compile(r"[^\s﻿​-‏⁠­]")
 NEXT = re.compile(rf"(?P<open>[{re.escape(OPENERS)}\s]*)(?P<word>[^\W\d_]+(?:[’'][^\W\d_]+)?|\d+|.)?", re.S)
 BREAK = re.compile(r"[\s\"'“”„‘‚«»‹›(\[{「『【《（〈〔¿¡—–…。！？]")

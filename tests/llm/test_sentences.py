@@ -96,3 +96,7 @@ def test_frames(spark):
     cut = S.sentence_units(df.where("doc_id = 1").limit(1), texts=True).orderBy("ord").collect()
     assert [(r.char_start, r.char_end, r.text) for r in cut] == [(0, 4, "A b."), (5, 9, "C d.")]
     assert S.sentence_units(df.limit(0)).count() == 0
+
+
+def test_byte_order_mark_before_a_list(model):
+    assert S.sentence_ends("﻿1. one\n2. two\n3. three", model) == [7, 14, 23]
