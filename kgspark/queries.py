@@ -180,17 +180,23 @@ def document_caps(spark, d):
     return docs.agg(F.count("*").alias("documents"), (F.count("*") > 50).alias("over_cap"), F.sum(T.estimate_tokens(F.col("text"))).alias("tokens"))
 
 
-_LINES = r"""WITH s AS (SELECT workspace_id || '|' || source AS document_id, doc_id AS page, string_split(text, chr(10)) AS l FROM documents WHERE source IS NOT NULL AND workspace_id IS NOT NULL),
+_LINES = r"""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, o_totalprice, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey),
+s AS (SELECT o_custkey::varchar AS document_id, o_orderkey AS page, ['Statement for  ' || c_mktsegment, 'status ' || o_orderstatus, 'note', 'priority', o_orderpriority, 'note', 'total', o_totalprice::bigint::varchar, 'kept', 'Page ' || o_orderkey] AS l FROM o),
 lines AS (SELECT document_id, page, unnest(l) AS line, (unnest(range(len(l))) + 0.5) / len(l) AS y FROM s),
 k AS (SELECT *, CASE WHEN y <= 0.12 THEN 'top' WHEN y >= 0.88 THEN 'bottom' END AS band, regexp_replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), '\d+', '#', 'g') AS key FROM lines),
 p AS (SELECT document_id, count(DISTINCT page) AS pages FROM lines GROUP BY 1 HAVING count(DISTINCT page) >= 3)"""
 
 
 def page_lines(spark, d) -> DataFrame:
-    """Lines of documents as if the documents of a source were the pages of one."""
-    docs = table(spark, d, "documents").where("source is not null and workspace_id is not null")
-    l = docs.select(F.concat_ws("|", "workspace_id", "source").alias("document_id"), F.col("doc_id").alias("page"), F.split("text", "\n").alias("l"))
-    return l.select("document_id", "page", F.size("l").alias("n"), F.posexplode("l").alias("i", "line")).select("document_id", "page", "line", ((F.col("i") + 0.5) / F.col("n")).alias("y"))
+    """A customer's orders as the pages of one document, ten lines a page."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    lit = F.lit
+    l = F.array(
+        F.concat(lit("Statement for  "), "c_mktsegment"), F.concat(lit("status "), "o_orderstatus"), lit("note"), lit("priority"), F.col("o_orderpriority"), lit("note"),
+        lit("total"), F.round("o_totalprice").cast("bigint").cast("string"), lit("kept"), F.concat(lit("Page "), F.col("o_orderkey").cast("string")),
+    )
+    o = o.select(F.col("o_custkey").cast("string").alias("document_id"), F.col("o_orderkey").alias("page"), F.posexplode(l).alias("i", "line"))
+    return o.select("document_id", "page", "line", ((F.col("i") + 0.5) / 10).alias("y"))
 
 
 @query(
@@ -202,6 +208,15 @@ def furniture_lines(spark, d):
     return layout.furniture(page_lines(spark, d))
 
 
+@query(
+    _LINES
+    + """, f AS (SELECT DISTINCT document_id, key FROM (SELECT DISTINCT document_id, page, band, key FROM k WHERE band IS NOT NULL AND key <> '') JOIN p USING (document_id) GROUP BY document_id, band, key, pages HAVING count(*) >= greatest(2, floor(pages * 0.6)))
+    SELECT document_id, page, count(*) AS lines_kept FROM k WHERE band IS NULL OR (document_id, key) NOT IN (SELECT (document_id, key) FROM f) GROUP BY ALL"""
+)
+def body_lines(spark, d):
+    return layout.without_furniture(page_lines(spark, d)).groupBy("document_id", "page").agg(F.count("*").alias("lines_kept"))
+
+
 # ---------------------------------------------------------------- extraction and upsert
 
 _MENTIONS = """WITH seen AS (SELECT DISTINCT workspace_id, document_id, chunk_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM chunks),
