@@ -165,12 +165,13 @@ def candidates(part: str, marks: list[tuple[int, int]]) -> Iterator[tuple[int, i
 
 def attached(part: str, at: int, end: int, mark: str, k1: str, s1: str, case: str) -> bool:
     """Whether a dot without a blank after it can end a sentence: a capital after a small letter, or scripts without case."""
-    left = part[at - 1 : at]
-    if s1 in ("single", "dotted", "file") or not left:
+    left, then = part[at - 1 : at], part[end + 1 : end + 2]
+    if not left:
         return False
-    if case == "U":
-        return (left.islower() or left.isdigit() or left in CLOSERS) and part[end + 1 : end + 2].islower()
-    return case == "o" and (left.isdigit() or not (left.islower() or left.isupper()))
+    if case == "U":  # a lone capital is a word of its own, but no initial
+        word = then.islower() or (then.isspace() and s1 not in ("single", "dotted", "file"))
+        return word and (left.islower() or left.isdigit() or left in CLOSERS)
+    return case == "o" and s1 not in ("single", "dotted", "file") and (left.isdigit() or not (left.islower() or left.isupper()))
 
 
 def features(k1: str, s1: str, k2: str, case: str, gap: str, closed: bool, starters: frozenset) -> list[str]:
