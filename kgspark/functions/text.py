@@ -232,3 +232,20 @@ def snippet(text: pd.Series, start: pd.Series, end: pd.Series, name: pd.Series)
         for t, s, e, n in zip(text, start, end, name)
     ]
     return pd.DataFrame(rows, columns=["text", "trimmed"])
+
+
+def rolling_shape(c: Column) -> Column:
+    """The shape by the client's own hash (times 31 plus code, unsigned 32 bits), which need not equal shape_for."""
+    key = F.lower(F.coalesce(F.nullif(c, F.lit("")), F.lit("concept")))
+    known = F.create_map(*[F.lit(x) for kv in ENTITY_SHAPES.items() for x in kv])
+    spare = F.array(*[F.lit(x) for x in SPARE_SHAPES])
+    letters = F.filter(F.split(key, ""), lambda x: x != "")
+    h = F.aggregate(letters, F.lit(0).cast("bigint"), lambda acc, x: (acc * 31 + F.ascii(x)) % F.lit(1 << 32))
+    return F.coalesce(known[key], F.element_at(spare, (h % len(SPARE_SHAPES) + 1).cast("int")))
+
+
+def parse_spans(raw: Column) -> Column:
+    """`start-end` texts as sorted structs; what is not of that form is left out."""
+    pairs = F.transform(raw, lambda x: F.struct(F.try_to_number(F.split_part(x, F.lit("-"), F.lit(1)), F.lit("9999999999")).cast("int").alias("start"), F.try_to_number(F.split_part(x, F.lit("-"), F.lit(2)), F.lit("9999999999")).cast("int").alias("end"), x.rlike(r"^\d+-\d+$").alias("ok")))
+    kept = F.filter(pairs, lambda p: F.coalesce(p["ok"], F.lit(False)))
+    return F.array_sort(F.transform(kept, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))))

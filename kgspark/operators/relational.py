@@ -101,3 +101,20 @@ def live_sessions(sessions: DataFrame, users: DataFrame, now: Column) -> DataFra
 def safe_next(c: Column) -> Column:
     """Whether an address to go on to stays on this site."""
     return F.coalesce(c.startswith("/") & ~c.startswith("//") & ~c.contains("\\"), F.lit(False))
+
+
+def from_cache(requests: DataFrame, key: str, at: str, expires: str, ttl_seconds: int = 30) -> DataFrame:
+    """requests with hit: whether the key was looked up no more than ttl_seconds before and its session, as known then,
+    still runs. Hits do not renew an entry. In a run of lookups without a longer pause, entries are taken to be filled
+    by the first lookup of each ttl_seconds counted from the run's start; a live cache may differ within one such step."""
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    end = F.unix_micros(F.col(expires).cast("timestamp"))
+    w = Window.partitionBy(key).orderBy("_t")
+    own = requests.withColumn("_t", t).withColumn("_gap", F.col("_t") - F.lag("_t").over(w))
+    # a pause longer than the time to live starts a new run; in a run, entries are filled at its start and each time to live after
+    runs = own.withColumn("_run", F.sum(F.when(F.coalesce("_gap", F.lit(1 << 62)) > ttl_seconds * 1_000_000, 1).otherwise(0)).over(w))
+    start = Window.partitionBy(key, "_run")
+    span = F.floor((F.col("_t") - F.min("_t").over(start)) / (ttl_seconds * 1_000_000))
+    first = Window.partitionBy(key, "_run", "_span").orderBy("_t")
+    out = runs.withColumn("_span", span).withColumn("_n", F.row_number().over(first))
+    return out.withColumn("hit", (F.col("_n") > 1) & (end > F.col("_t"))).drop("_t", "_gap", "_run", "_span", "_n")

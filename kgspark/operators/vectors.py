@@ -31,6 +31,13 @@ def hashing_embedder(texts: list[str], size: int = DIMENSIONS) -> np.ndarray:
     return out
 
 
+def mean_pooled(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit vectors of the means of token vectors (texts x tokens x size) where mask (texts x tokens) is set."""
+    m = mask[..., None].astype(np.float32)
+    mean = (tokens * m).sum(1) / np.maximum(m.sum(1), 1e-9)
+    return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+
+
 def embedded(rows: DataFrame, text: str = "text", embed: Callable[[list[str]], np.ndarray] = hashing_embedder) -> DataFrame:
     """rows with embedding, of the first EMBED_CHARS characters of text."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "embedding")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
+from kgspark.functions.markdown import markdown
 from kgspark.operators import canvas, chunking, conceptmap, graph, layout, relational, resolution, retrieval, triples, vectors
 from kgspark.plans import extract, pipeline
 from kgspark.plans.scratch import Scratch
@@ -149,6 +150,30 @@ def safe_paths(spark, d):
     return table(spark, d, "parsed_files").withColumn("p", p).select("file_no", files.safe_path(F.col("p")).alias("kept"))
 
 
+@query(
+    f"""WITH k AS (SELECT DISTINCT lower(p_brand) AS kind FROM part), h AS (SELECT kind, list_reduce(list_prepend(0::hugeint, list_transform(string_split(kind, ''), lambda x: ascii(x)::hugeint)), lambda a, x: (a * 31 + x) % 4294967296) AS h FROM k)
+    SELECT kind, {_SPARE}[(h % {len(T.SPARE_SHAPES)} + 1)::int] AS shape FROM h"""
+)
+def rolling_shapes(spark, d):
+    kinds = table(spark, d, "part").select(F.lower("p_brand").alias("kind")).distinct()
+    return kinds.select("kind", T.rolling_shape(F.col("kind")).alias("shape"))
+
+
+@query()
+def markdown_blocks(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.explode(markdown(F.col("text"))).alias("b")).select("doc_id", "b.*")
+
+
+@query()
+def snippets(spark, d):
+    """The sentence around each term in each chunk that mentions it."""
+    c = table(spark, d, "chunks").select("workspace_id", "document_id", "chunk_id", "text").distinct()
+    m = extract.lexical_mentions(table(spark, d, "chunks"))
+    none = F.lit(None).cast("int")
+    return m.join(c, ["workspace_id", "document_id", "chunk_id"]).select("document_id", "chunk_id", "term", T.snippet("text", none, none, "term").alias("s")).select("document_id", "chunk_id", "term", "s.*")
+
+
 # ---------------------------------------------------------------- documents and chunks
 
 

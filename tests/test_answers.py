@@ -141,3 +141,15 @@ def test_stream_windows_match_the_table(spark, tmp_path):
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("windows").collect()} == want
     assert ingest.sessions(df, "ts", "user_id", "30 minutes").count() == 3
+
+
+def test_cache_of_sessions(spark):
+    at = [0, 10, 29, 31, 40, 100, 101]
+    df = spark.createDataFrame([("k", T0 + timedelta(seconds=s), T0 + timedelta(seconds=101)) for s in at], "k string, at timestamp, ends timestamp")
+    got = {int((r["at"] - T0).total_seconds()): r.hit for r in relational.from_cache(df, "k", "at", "ends").collect()}
+    assert got == {0: False, 10: True, 29: True, 31: False, 40: True, 100: False, 101: False}
+
+
+def test_mean_pooling():
+    v = vectors.mean_pooled(np.array([[[1.0, 0], [0, 1], [9, 9]], [[0, 0], [0, 0], [0, 0]]]), np.array([[1, 1, 0], [0, 0, 0]]))
+    assert np.allclose(v, [[0.5**0.5, 0.5**0.5], [0, 0]])

@@ -100,3 +100,23 @@ def test_snippet():
 def test_shapes(spark):
     got = {r[0]: r[1] for r in spark.createDataFrame([("person",), ("drug",), ("drug",)], "x string").select("x", T.shape_for(F.col("x"))).collect()}
     assert got["person"] == "ellipse" and got["drug"] in T.SPARE_SHAPES
+
+
+def test_markdown():
+    from kgspark.functions.markdown import blocks
+
+    text = "# Head **b**\nline one\nline `two`\n\n- a\n- _c_ d\n1. n\n```\n**raw**\n```\nend <b>x</b>"
+    assert blocks(text) == [
+        (0, "h4", "text", "Head "), (0, "h4", "strong", "b"), (1, "p", "text", "line one"), (1, "p", "text", " "), (1, "p", "text", "line "), (1, "p", "code", "two"),
+        (2, "ul", "text", "a"), (3, "ul", "em", "c"), (3, "ul", "text", " d"), (4, "ol", "text", "n"), (5, "pre", "text", "**raw**"), (6, "p", "text", "end <b>x</b>"),
+    ]
+    assert blocks(None) == []
+
+
+def test_spans_and_client_shapes(spark):
+    df = spark.createDataFrame([(["9-12", "2-4", "x", "3", "1-b"],), ([],)], "s array<string>")
+    assert [[tuple(x) for x in r[0]] for r in df.select(T.parse_spans(F.col("s"))).collect()] == [[(2, 4), (9, 12)], []]
+    h = 0
+    for c in "drug":
+        h = (h * 31 + ord(c)) % 2**32
+    assert one(spark, T.rolling_shape, "Drug") == T.SPARE_SHAPES[h % 15] and one(spark, T.rolling_shape, None) == "hexagon"
