@@ -34,14 +34,13 @@ def clean_triples(triples: DataFrame, scope: tuple[str, ...] = ("workspace_id",)
     triples: scope columns, seq, subject, predicate, object, confidence and any others. Of equal confidences the least
     seq stays. Names are compared normalised; null names drop their row.
     """
-    named = triples.withColumn("subject", clean_name(F.col("subject"))).withColumn("object", clean_name(F.col("object")))
-    keyed = (
-        named.where((F.length("subject") >= 2) & (F.length("object") >= 2))
-        .withColumn("_s", normalize(F.col("subject")))
-        .withColumn("_p", normalize(F.col("predicate")))
-        .withColumn("_o", normalize(F.col("object")))
-        .where("_s <> _o")
-    )
+    rest = [c for c in triples.columns if c not in ("subject", "object")]
+    # exploding one struct keeps filters above from being pushed below, which would evaluate the patterns again and again
+    names = F.struct(clean_name(F.col("subject")).alias("subject"), clean_name(F.col("object")).alias("object"))
+    named = triples.select(*rest, F.explode(F.array(names)).alias("_n")).select(*rest, "_n.subject", "_n.object")
+    named = named.where((F.length("subject") >= 2) & (F.length("object") >= 2)).select(*triples.columns)
+    norms = F.struct(normalize(F.col("subject")).alias("_s"), normalize(F.col("predicate")).alias("_p"), normalize(F.col("object")).alias("_o"))
+    keyed = named.select("*", F.explode(F.array(norms)).alias("_k")).select(*named.columns, "_k.*").where("_s <> _o")
     row = F.struct(*[c for c in named.columns if c not in scope])
     best = keyed.groupBy(*scope, "_s", "_p", "_o").agg(F.max_by(row, F.struct("confidence", (-F.col("seq")).alias("o"))).alias("r"))
     return best.select(*scope, "r.*")
