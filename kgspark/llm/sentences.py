@@ -32,14 +32,14 @@ ABBREVIATIONS = frozenset(
 
 CLOSERS = "\"'”’»›)]}」』】》）〉〕"
 OPENERS = "\"'“”„‘‚«‹»([{「『【《（〈〔¿¡—–-*_"
-_MARK = r"[!?…。！？｡．।॥؟۔።።။։៕;]|\.(?![a-z0-9_/@&=])|(?<=[Ͱ-Ͽἀ-῿]);"
+_MARK = r"[!?…。！？｡．।॥؟۔።።။։៕\u037e]|\.(?![a-z0-9_/@&=])|(?<=[Ͱ-Ͽἀ-῿]);"
 SCAN = re.compile(
-    rf"(?P<mark>(?:{_MARK})(?:[!?…。！？؟.]|(?<=[.!?…])[   ](?=[!?]))*)(?P<close>(?:[   ]?»|[{re.escape(CLOSERS)}“])*)"
+    rf"(?P<mark>(?:{_MARK})(?:[!?…。！？؟.]|(?<=[.!?…])[ \u00a0\u202f](?=[!?]))*)(?P<close>(?:[\u00a0\u202f ]?»|[{re.escape(CLOSERS)}“])*)"
     r"|(?<=[ก-๛])(?P<thai>\s+)(?=\S)"
 )
 PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[^\S\n\r]*(?:\r\n|\n|\r)\s*|[^\S\f]*\f\s*")
 ITEM = re.compile(r"(?:\A|\n|\r)(?:[^\S\n\r]|\ufeff)*(?:[-*]|(?P<n>\d{1,3})\.)(?=[^\S\n\r]+\S)")
-VISIBLE = re.compile(r"[^\s﻿​-‏⁠­]")
+VISIBLE = re.compile(r"[^\s\ufeff\u200b-\u200f\u2060\u00ad]")
 NEXT = re.compile(rf"(?P<open>[{re.escape(OPENERS)}\s]*)(?P<word>[^\W\d_]+(?:[’'][^\W\d_]+)?|\d+|.)?", re.S)
 BREAK = re.compile(r"[\s\"'“”„‘‚«»‹›(\[{「『【《（〈〔¿¡—–…。！？]")
 #: First code points of the blocks told apart, with their names.

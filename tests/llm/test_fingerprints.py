@@ -21,7 +21,7 @@ def test_spellings(spark):
     rows = [
         ("w", "Foo Bar 3", "concept", None),
         ("w", None, None, '{"TYPE": "Concept", "Name": "foo-bar, 3"}'),
-        ("w", None, None, "type = CONCEPT; name= «Foo»­ Bar​3;"),
+        ("w", None, None, "type = CONCEPT; name= «Foo»\u00ad Bar\u200b3;"),
         ("w", None, None, "NAME: fooBAR3 | Type: con cept"),
         ("v", "Foo Bar 3", "concept", None),
         ("w", "Foo Bar 4", "concept", None),

@@ -67,9 +67,9 @@ def test_kinds():
     assert S.cut_kind(block + "\n" + block, 4000) == "inner"
     assert S.cut_kind(" " * 900 + block + " " * 900 + "\n\n" + block, 4000) == "block"
     assert S.cut_kind("x" * 4001 + " y", 4000) == "hard"
-    assert S.cut_kind("x" * 4000 + "　" + "y" * 4000, 4000) == "inner"
+    assert S.cut_kind("x" * 4000 + "\u3000" + "y" * 4000, 4000) == "inner"
     assert S.cut_kind("文" * 3999 + "。" + "文" * 3999, 4000) == "inner"
-    assert S.cut_kind("文" * 3999 + " " + "文" * 4001, 4000) == "hard"
+    assert S.cut_kind("文" * 3999 + "\u2009" + "文" * 4001, 4000) == "hard"
 
 
 def test_frames(spark):

@@ -30,7 +30,7 @@ def test_precedence(spark):
 
 
 def test_no_values(spark):
-    none = ["n/a", "N.A.", "null", "NONE", " unknown ", "-", "--", "?", "tbd", "", "\t", " ", "…", None, "Not available"]
+    none = ["n/a", "N.A.", "null", "NONE", " unknown ", "-", "--", "?", "tbd", "", "\t", "\u00a0", "…", None, "Not available"]
     rows = [(i, 1, v, "T", False, T0) for i, v in enumerate(none)] + [(99, 1, "NAB", None, False, T0 - timedelta(days=9))]
     assert best(spark, rows)[(1, "name")][:2] == (99, "NAB")
 
