@@ -210,5 +210,7 @@ def headline(documents: DataFrame, selected: str | None) -> DataFrame:
 
 def canvas_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(nodes, edges, prerequisites) as shown below the canvas. edges: prerequisite."""
-    n = nodes.agg(F.count("*").alias("nodes"))
-    return n.join(edges.agg(F.count("*").alias("edges"), F.count_if(F.coalesce("prerequisite", F.lit(False))).alias("prerequisites")))
+    e = edges.select(F.lit(0).alias("n"), F.lit(1).alias("e"), F.coalesce("prerequisite", F.lit(False)).cast("int").alias("p"))
+    both = nodes.select(F.lit(1).alias("n"), F.lit(0).alias("e"), F.lit(0).alias("p")).unionByName(e)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return both.agg(total("n").alias("nodes"), total("e").alias("edges"), total("p").alias("prerequisites"))

@@ -126,15 +126,15 @@ _WORDS = "[" + ", ".join(f"'{w}'" for w in sorted({*T.GREETINGS, *T.FILLER})) +
 @query(
     "WITH q AS (SELECT unnest(["
     + ", ".join("'" + q.replace("'", "''") + "'" for q in _TALK)
-    + f"""]) AS question UNION ALL SELECT DISTINCT e.event_type || ' ' || lower(r_name) FROM events e, region),
+    + f"""]) AS question UNION ALL SELECT DISTINCT 'hello ' || event_type FROM events UNION ALL SELECT 'hey ' || lower(r_name) FROM region),
     w AS (SELECT question, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM q)
     SELECT question, len(w) BETWEEN 1 AND 8 AND len(list_filter(w, lambda x: NOT list_contains({_WORDS}, x))) = 0 AS small_talk FROM w"""
 )
 def small_talk(spark, d):
     typed = spark.createDataFrame([(q,) for q in _TALK], "question string")
-    kinds = table(spark, d, "events").select("event_type").distinct()
-    named = table(spark, d, "region").select(F.lower("r_name").alias("r")).join(kinds).select(F.concat_ws(" ", "event_type", "r").alias("question"))
-    return typed.unionByName(named).select("question", T.is_small_talk(F.col("question")).alias("small_talk"))
+    kinds = table(spark, d, "events").select(F.concat(F.lit("hello "), "event_type").alias("question")).distinct()
+    named = table(spark, d, "region").select(F.concat(F.lit("hey "), F.lower("r_name")).alias("question"))
+    return typed.unionByName(kinds).unionByName(named).select("question", T.is_small_talk(F.col("question")).alias("small_talk"))
 
 
 @query(
