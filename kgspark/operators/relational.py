@@ -50,8 +50,14 @@ def even_sample(chunks: DataFrame, budget: int = QUIZ_CHARS) -> DataFrame:
     Every (n/keep)-th chunk is kept, keep being the number that fits at the mean length."""
     n = chunks.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("total"))
     keep = F.when(F.col("total") > budget, F.greatest(F.lit(1), F.floor(F.col("n") * budget / F.col("total")))).otherwise(F.col("n")).cast("long")
-    at = F.row_number().over(Window.partitionBy("document_id").orderBy("ord", "chunk_id")) - 1
-    j = chunks.withColumn("i", at).join(n.withColumn("keep", keep), "document_id")
+    # numbers within blocks of ords, then what the blocks before hold: no task gets a whole document
+    cut = chunks.withColumn("_b", F.floor(F.col("ord") / 1024))
+    sizes = cut.groupBy("document_id", "_b").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("document_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("document_id", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    at = F.row_number().over(Window.partitionBy("document_id", "_b").orderBy("ord", "chunk_id")) - 1
+    placed = cut.withColumn("_at", at).join(base, ["document_id", "_b"]).withColumn("i", F.col("_at") + F.col("_base")).drop("_at", "_base", "_b")
+    j = placed.join(n.withColumn("keep", keep), "document_id")
     # i is picked if it is floor(m * n / keep) for a whole m
     m = F.ceil(F.col("i") * F.col("keep") / F.col("n"))
     return j.where((F.floor(m * F.col("n") / F.col("keep")) == F.col("i")) & (m < F.col("keep"))).drop("n", "total", "keep", "i")
@@ -71,9 +77,14 @@ def new_attempts(attempts: DataFrame, existing: DataFrame, quizzes: DataFrame) -
 def within_limit(events: DataFrame, key: str, at: str, seconds: int, limit: int) -> DataFrame:
     """events with hits (those of the key in the window that ends with the row) and allowed. Rows that a live limiter
     refused count here; streaming.limits keeps its exact state."""
-    t = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(t).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("hits", F.count("*").over(w)).withColumn("allowed", F.col("hits") <= limit)
+    span = seconds * 1_000_000
+    own = events.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).where("_t is not null")
+    # a key's rows are cut into blocks one window long; each row also serves the block after its own, so no task gets a whole key
+    block = F.floor(F.col("_t") / span)
+    both = own.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_b", block + F.when(F.col("_own"), 0).otherwise(1))
+    w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-span, 0)
+    out = both.withColumn("hits", F.count("*").over(w)).where("_own").drop("_t", "_own", "_b")
+    return out.withColumn("allowed", F.col("hits") <= limit)
 
 
 def access(role: Column, is_owner: Column, method: Column, path: Column) -> Column:
