@@ -91,7 +91,7 @@ def before(text: str, at: int, mark: str, close: str) -> tuple[str, str]:
     if "." in token:
         return low, "dotted" if max(map(len, token.split("."))) <= 2 else "file"
     if len(token) == 1:
-        return low, "single"
+        return low, "singleU" if token.isupper() else "single"
     return low, ("short" if len(token) <= 4 else "long") + ("U" if token[0].isupper() else "l")
 
 
@@ -169,9 +169,9 @@ def attached(part: str, at: int, end: int, mark: str, k1: str, s1: str, case: st
     if not left:
         return False
     if case == "U":  # a lone capital is a word of its own, but no initial
-        word = then.islower() or (then.isspace() and s1 not in ("single", "dotted", "file"))
+        word = then.islower() or (then.isspace() and s1 not in ("single", "singleU", "dotted", "file"))
         return word and (left.islower() or left.isdigit() or left in CLOSERS)
-    return case == "o" and s1 not in ("single", "dotted", "file") and (left.isdigit() or not (left.islower() or left.isupper()))
+    return case == "o" and s1 not in ("single", "singleU", "dotted", "file") and (left.isdigit() or not (left.islower() or left.isupper()))
 
 
 def features(k1: str, s1: str, k2: str, case: str, gap: str, closed: bool, starters: frozenset) -> list[str]:
@@ -184,7 +184,7 @@ def features(k1: str, s1: str, k2: str, case: str, gap: str, closed: bool, start
 
 
 #: Weights before training, in logits.
-PRIOR = {"": 2.5, "c=l": -6.0, "st=l": 7.0, "abbr": -6.0, "s=single": -3.0, "s=dotted": -1.0, "q=True,o,none": -1.5, "q=True,U,none": -1.0}
+PRIOR = {"": 2.5, "c=l": -6.0, "st=l": 7.0, "abbr": -6.0, "s=single": -3.0, "s=singleU": -3.0, "s=dotted": -1.0, "q=True,o,none": -1.5, "q=True,U,none": -1.0}
 
 
 class Model:
@@ -278,7 +278,10 @@ def fit(texts: list[str], rounds: int = 2, steps: int = 60, least: int = 12) ->
         n1[c[0]] += 1
         f1[c[0]] += last
         l1[c[0]] += not last and c[3] == "l"
-    never = {k for k, n in n1.items() if n >= least and f1[k] < 0.02 * n}
+    # seldom seen tokens count as well if they are known abbreviations or initials, quotes from five on
+    shape = {c[0]: c[1] for c in rows}
+    enough = {"singleU": 1, "quote": 5}
+    never = {k for k, n in n1.items() if f1[k] < 0.02 * n and n >= (1 if k in ABBREVIATIONS else min(least, enough.get(shape[k], least)))}
     mixed = {k for k, n in n1.items() if n >= 4 and l1[k] > 0.1 * n}  # small letters follow these as a rule
     for c, last in zip(rows, final):
         if not last and c[0] not in never:
