@@ -76,7 +76,7 @@ def new_attempts(attempts: DataFrame, existing: DataFrame, quizzes: DataFrame) -
 
 def within_limit(events: DataFrame, key: str, at: str, seconds: int, limit: int) -> DataFrame:
     """events with hits (those of the key in the window that ends with the row) and allowed. Rows that a live limiter
-    refused count here; streaming.limits keeps its exact state."""
+    refused count here; streaming.limited keeps its exact state. Rows without a time are no hits and are left out."""
     span = seconds * 1_000_000
     own = events.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).where("_t is not null")
     # a key's rows are cut into blocks one window long; each row also serves the block after its own, so no task gets a whole key
