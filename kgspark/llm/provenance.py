@@ -138,6 +138,7 @@ def evidence(path: str | None, text: str | None) -> tuple[float, float, float, f
     if foreign:
         vendored += 5
     if not text or not text.strip():
+        minified += 8 if minified > -6 else 0  # the name is all there is to go by
         return 0.0, generated, minified, vendored, blob, foreign, ""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     prose = ext in PROSE

@@ -59,6 +59,7 @@ def test_odd_rows(spark):
     deep = "/".join(["d"] * 60) + "/a.py"
     files = [(None, None, None), ("r", "", ""), ("r", "vendor/x/a.c", None), ("r", deep, CODE), ("r", "a.py", "x = 1\n" * 200_000), ("r", "./src//b.py", "\ufeff" + CODE)]
     got = label(spark, files)
+    assert label(spark, [("r", "web/x.min.js", None), ("r", "web/x.js", None)]) == {0: "minified", 1: "hand"}
     assert len(got) == 6 and got[2] == "vendored" and got[3] == "hand" and got[5] == "hand"
     assert label(spark, []) == {}
 
