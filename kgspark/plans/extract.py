@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.plans.scratch import Scratch
+
 REGISTRY: dict[str, type] = {}
 
 
@@ -76,12 +78,19 @@ class PatternExtractor(Extractor):
         return [(m[1], self.VERBS[m[2]], m[3], "concept", "concept", 0.9) for m in self.rx.finditer(text)]
 
 
-def lexical_mentions(chunks: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
-    """(workspace_id, document_id, chunk_id, term): words of six Latin letters or more that occur in least to most
-    chunks of their workspace. Rare and bounded frequencies keep the later pairs within a bound, too."""
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))))
+#: A word of six letters or more, of any script, with the marks that belong to them.
+WORD = r"\p{L}[\p{L}\p{M}]{5,}"
+
+
+def lexical_mentions(chunks: DataFrame, least: int = 2, most: int | None = None, word: str = WORD) -> DataFrame:
+    """(workspace_id, document_id, chunk_id, term, df): words that occur in least chunks of their workspace or more.
+
+    With most, words of more chunks than that are left out; this is for a caller that wants rare words only."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0))))
     seen = chunks.select("workspace_id", "document_id", "chunk_id", words.alias("term")).distinct()
-    df = seen.groupBy("workspace_id", "term").agg(F.count("*").alias("df")).where(F.col("df").between(least, most))
+    df = seen.groupBy("workspace_id", "term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    if most is not None:
+        df = df.where(F.col("df") <= most)
     return seen.join(df, ["workspace_id", "term"]).select("workspace_id", "document_id", "chunk_id", "term", "df")
 
 
@@ -96,3 +105,20 @@ def lexical_edges(mentions: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("shared"), F.least(F.min("a"), F.min("b")).alias("rarer"))
         .select("workspace_id", "src", "dst", "shared", (F.col("shared") / F.col("rarer")).alias("confidence"))
     )
+
+
+def lexical_degrees(mentions: DataFrame) -> DataFrame:
+    """(workspace_id, term, mentions, degree): the chunks that mention a term, and the other terms in any of these.
+
+    Pairs are made from the terms of each chunk, so a chunk's length bounds them and not a term's frequency; they are
+    numbers while they are shuffled. mentions as lexical_mentions() yields them."""
+    scratch = Scratch(mentions.sparkSession)
+    m = scratch.save(mentions)
+    terms = m.groupBy("workspace_id", "term").agg(F.count("*").alias("mentions"))
+    terms = scratch.save(terms.withColumn("no", F.monotonically_increasing_id()))
+    numbered = m.join(terms, ["workspace_id", "term"]).where("document_id is not null and chunk_id is not null")
+    lists = numbered.groupBy("workspace_id", "document_id", "chunk_id").agg(F.array_sort(F.collect_set("no")).alias("l"))
+    ahead = lists.select("l", F.posexplode("l").alias("i", "a"))
+    pairs = ahead.select("a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b")).distinct()
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count("*").alias("degree"))
+    return terms.join(degree, "no", "left").select("workspace_id", "term", "mentions", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))

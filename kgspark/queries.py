@@ -249,9 +249,14 @@ f AS (SELECT workspace_id, term, count(*) AS df FROM seen GROUP BY ALL HAVING co
 m AS (SELECT s.*, f.df FROM seen s JOIN f USING (workspace_id, term))"""
 
 
+def rare_mentions(spark, d) -> DataFrame:
+    """What _MENTIONS asks for: Latin letters only, and no term of more than eight chunks. Queries without SQL take all terms."""
+    return extract.lexical_mentions(table(spark, d, "chunks"), most=8, word="[a-z]{6,}")
+
+
 @query(_MENTIONS + " SELECT workspace_id, document_id, chunk_id, term, df FROM m")
 def entity_mentions(spark, d):
-    return extract.lexical_mentions(table(spark, d, "chunks"))
+    return rare_mentions(spark, d)
 
 
 @query(
@@ -260,7 +265,7 @@ def entity_mentions(spark, d):
     FROM m a JOIN m b ON a.workspace_id = b.workspace_id AND a.document_id = b.document_id AND a.chunk_id = b.chunk_id AND a.term < b.term GROUP BY ALL"""
 )
 def entity_edges(spark, d):
-    return extract.lexical_edges(extract.lexical_mentions(table(spark, d, "chunks")))
+    return extract.lexical_edges(rare_mentions(spark, d))
 
 
 def sale_triples(spark, d) -> DataFrame:
@@ -345,7 +350,7 @@ def document_filter(spark, d):
     JOIN (SELECT DISTINCT document_id, chunk_id, ord, page, char_start, char_end FROM chunks) c USING (document_id, chunk_id) JOIN documents d ON d.doc_id = m.document_id"""
 )
 def node_passages(spark, d):
-    m = extract.lexical_mentions(table(spark, d, "chunks"))
+    m = rare_mentions(spark, d)
     c = table(spark, d, "chunks").select("document_id", "chunk_id", "ord", "page", "char_start", "char_end").distinct()
     return graph.passages(m, c, table(spark, d, "documents")).select("workspace_id", "term", "document_id", "chunk_id", "ord", "char_start", "char_end", "filename")
 
@@ -444,7 +449,7 @@ def link_entities(spark, d):
     SELECT document_id, chunk_id, hits, row_number() OVER (PARTITION BY document_id ORDER BY hits DESC, ord, chunk_id) AS rank FROM h QUALIFY rank <= 8"""
 )
 def chunk_hits(spark, d):
-    m = term_mentions(spark, d)
+    m = rare_mentions(spark, d).select("document_id", "chunk_id", F.col("term").alias("entity_id"))
     links = m.select(F.col("document_id").alias("question_id"), "document_id", F.col("entity_id").alias("id")).distinct()
     c = table(spark, d, "chunks").select("document_id", "chunk_id", "ord").distinct()
     return retrieval.gathered(links, m, c).select("document_id", "chunk_id", "hits", F.col("rank").cast("bigint").alias("rank"))
@@ -744,12 +749,7 @@ def flagship(spark, d):
     """Chunks of documents, the terms they mention, the graph these span, and each term's degree in its workspace."""
     docs = table(spark, d, "documents")
     c = chunking.chunks(docs).join(docs.select(F.col("doc_id").alias("document_id"), "workspace_id"), "document_id")
-    m = extract.lexical_mentions(c)
-    e = extract.lexical_edges(m)
-    ends = e.select("workspace_id", F.explode(F.array("src", "dst")).alias("term"))
-    deg = ends.groupBy("workspace_id", "term").agg(F.count("*").alias("degree"))
-    n = m.groupBy("workspace_id", "term").agg(F.count("*").alias("mentions"))
-    return n.join(deg, ["workspace_id", "term"], "left").select("workspace_id", "term", "mentions", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
+    return extract.lexical_degrees(extract.lexical_mentions(c))
 
 
 QUERIES["flagship"] = flagship

@@ -102,3 +102,19 @@ def test_upsert(spark):
     docs = spark.createDataFrame([("w", 1), ("v", 7)], "workspace_id string, doc_id int")
     assert [r.chunk_id for r in graph.write_chunks(c.limit(0), c, docs).collect()] == ["c1"]
     assert c.where(F.lit(False)).count() == 0
+
+
+def test_common_words_and_words_of_all_scripts_are_mentioned(spark):
+    from itertools import combinations
+
+    from kgspark.plans import extract
+
+    texts = [f"alphabet {'birdhouse' if i % 2 else 'überraschung'} only{'abcdefghijkl'[i] * 6}" for i in range(12)] + ["библиотека alphabet", "библиотека ἀλφάβητος"]
+    c = spark.createDataFrame([("w", i, f"c{i}", t) for i, t in enumerate(texts)], "workspace_id string, document_id bigint, chunk_id string, text string")
+    m = extract.lexical_mentions(c)
+    want = {"alphabet": 13, "birdhouse": 6, "überraschung": 6, "библиотека": 2}
+    assert {(r.term, r.df) for r in m.select("term", "df").distinct().collect()} == set(want.items())
+    pairs = {p for t in texts for p in combinations(sorted(set(t.split()) & set(want)), 2)}
+    got = {r.term: (r.mentions, r.degree) for r in extract.lexical_degrees(m).collect()}
+    assert got == {t: (n, sum(t in p for p in pairs)) for t, n in want.items()}
+    assert {(r.src, r.dst) for r in extract.lexical_edges(m).collect()} == pairs
