@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types
 from pyspark.sql.window import Window
 
-from kgspark.functions.text import is_acronym_pair, ratio, ratio_can_reach
+from kgspark.functions.text import acronym_of, is_acronym_pair, normalize, ratio, ratio_can_reach
+from kgspark.operators import vectors
 from kgspark.operators.canvas import components
 from kgspark.operators.graph import degree
 
 STRING_MERGE, FUZZY_FROM, EMBED_MERGE, EMBED_ASK, ACRONYM_ASK = 88.0, 5, 0.90, 0.55, 0.54
 MOST_ASKED = 200
+#: Rows of a block that are held against as many others at once.
+TILE_ROWS = 2_000
+#: Pairs whose cosine is taken again in double precision at once.
+EXACT_ROWS = 2_000
 
 
 def candidates(entities: DataFrame) -> DataFrame:
@@ -74,6 +82,74 @@ def string_pairs(entities: DataFrame, threshold: float = STRING_MERGE) -> DataFr
     return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
+def one_row_each(entities: DataFrame, order: str) -> DataFrame:
+    """entities with one row for each id: the first by order, edited by a user if any row of the id is."""
+    edited = F.coalesce("user_edited", F.lit(False))
+    first = entities.groupBy("id").agg(F.min_by(F.struct(*entities.columns), F.col(order)).alias("e"), F.max(edited).alias("edited"))
+    return first.select("e.*", "edited").withColumn("user_edited", F.col("edited")).drop("edited")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """pairs with id_a < id_b."""
+    ends = F.array_sort(F.array(*[F.struct(F.col(f"id_{x}").alias("id"), F.col(f"name_{x}").alias("name")) for x in "ab"]))
+    p = pairs.withColumn("_p", ends)
+    return p.select("block", *[F.col("_p")[i][k].alias(f"{k}_{x}") for i, x in enumerate("ab") for k in ("id", "name")], "score")
+
+
+def vector_pairs(named: DataFrame, embed: Callable, floor: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(block, id_a, name_a, id_b, name_b, score) with id_a < id_b: all pairs of a block whose names' vectors have that
+    cosine or more. named: block, id, name. A block is dealt out to tiles, and each two tiles are compared all with
+    all, so no task holds a whole block; the work still grows with the square of a block."""
+    sizes = named.groupBy("block").agg(F.count("*").alias("_n")).where("_n > 1")
+    sizes = sizes.select("block", F.ceil(F.col("_n") / tile_rows).cast("int").alias("_tiles"))
+    v = vectors.embedded(named.select("block", "id", "name"), "name", embed).join(sizes, "block")
+    v = v.withColumn("_t", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
+    v = v.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    v = v.select("block", "id", "name", "embedding", "_t", F.least("_t", "_o").alias("_low"), F.greatest("_t", "_o").alias("_high"))
+
+    def score(df: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(df["embedding"].to_list()).astype(np.float64)
+        size = np.linalg.norm(m, axis=1)
+        m = m / np.where(size > 0, size, 1)[:, None]  # a vector without length is like none
+        t, low, high = df["_t"].to_numpy(), df["_low"].iloc[0], df["_high"].iloc[0]
+        a, b = np.flatnonzero(t == low), np.flatnonzero(t == high)
+        rough = m[a].astype(np.float32) @ m[b].astype(np.float32).T
+        i, j = np.nonzero(rough >= floor - 1e-4)
+        i, j = a[i], b[j]
+        if low == high:
+            i, j = i[i < j], j[i < j]
+        exact = [np.einsum("ij,ij->i", m[i[k : k + EXACT_ROWS]], m[j[k : k + EXACT_ROWS]]) for k in range(0, len(i), EXACT_ROWS)]
+        c = np.concatenate(exact) if exact else np.zeros(0)
+        i, j, c = i[c >= floor], j[c >= floor], c[c >= floor]
+        ids, names = df["id"].to_numpy(), df["name"].to_numpy()
+        return pd.DataFrame({"block": df["block"].iloc[0], "id_a": ids[i], "name_a": names[i], "id_b": ids[j], "name_b": names[j], "score": c})
+
+    met = v.groupBy("block", "_low", "_high").applyInPandas(score, "block string, id_a string, name_a string, id_b string, name_b string, score double")
+    return _ordered(met)
+
+
+def acronym_pairs(named: DataFrame) -> DataFrame:
+    """(block, id_a, name_a, id_b, name_b, score) with id_a < id_b: pairs of a block of which one name is the other's
+    initials, met on these; score is ACRONYM_ASK. named: block, id, name."""
+    n = named.withColumn("n", normalize(F.col("name"))).where("n <> ''")
+    bare = F.regexp_replace("n", r"[^\w]", "")
+    short = n.where(~F.col("n").contains(" ")).select("block", F.col("id").alias("id_a"), F.col("name").alias("name_a"), F.col("n").alias("n_a"), F.explode(F.array_distinct(F.array(bare, F.regexp_replace(bare, "s+$", "")))).alias("key"))
+    long = n.select("block", F.col("id").alias("id_b"), F.col("name").alias("name_b"), F.col("n").alias("n_b"), acronym_of(F.col("n")).alias("key"))
+    met = short.join(long, ["block", "key"]).where(is_acronym_pair(F.col("n_a"), F.col("n_b")) & (F.col("id_a") != F.col("id_b")))
+    return _ordered(met.select("block", "id_a", "name_a", "id_b", "name_b", F.lit(ACRONYM_ASK).alias("score")).distinct())
+
+
+def near_pairs(entities: DataFrame, embed: Callable, ask: bool, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(block, id_a, name_a, id_b, name_b, score, tier) of the pairs that the embedding and acronym tiers merge or,
+    with ask, ask about; without it there is nobody to answer, so only those to be merged are looked for."""
+    named = candidates(entities).select("block", "id", F.coalesce("name", F.lit("")).alias("name")).where("name <> ''").distinct()
+    found = vector_pairs(named, embed, EMBED_ASK if ask else EMBED_MERGE, tile_rows)
+    if ask:
+        found = found.unionByName(acronym_pairs(named))
+        found = found.groupBy("block", "id_a", "name_a", "id_b", "name_b").agg(F.max("score").alias("score"))
+    return found.withColumn("tier", F.when(F.col("score") >= EMBED_MERGE, "merge").otherwise("ask"))
+
+
 def tier(score: Column, a: Column, b: Column) -> Column:
     """`merge`, `ask` or null by the cosine of two names' vectors; acronyms are asked about whatever their cosine."""
     return F.when(score >= EMBED_MERGE, "merge").when(score >= EMBED_ASK, "ask").when(is_acronym_pair(a, b), "ask")

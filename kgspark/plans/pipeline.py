@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kgspark.functions.text import is_small_talk
 from kgspark.operators import chunking, resolution, retrieval, triples, vectors
 from kgspark.plans import extract
+from kgspark.plans.scratch import Scratch
 
 # What is said where there is nothing to answer from or nothing was asked.
 NOTHING = "Nothing in this document answers that."
@@ -36,20 +37,26 @@ def build(documents: DataFrame, extractor: str = "pattern", embed: Callable = ve
 
 
 def resolve(entities: DataFrame, edges: DataFrame, judge: Callable | None = None, embed: Callable = vectors.hashing_embedder, near: DataFrame | None = None) -> DataFrame:
-    """(id, survivor) of entities to be merged: by their names, and by near pairs (id_a, id_b, name_a, name_b, block)
-    whose vectors are alike or whom the judge calls the same."""
-    pairs = resolution.string_pairs(entities)
+    """(id, survivor) of entities to be merged: by their names, by their names' vectors, and where the judge calls two
+    the same, asked about those whose vectors are less alike and about acronyms.
+
+    near (id_a, id_b, name_a, name_b, block) are pairs to be scored besides those found within workspace and type."""
+    scratch = Scratch(entities.sparkSession)
+    pairs = scratch.save(resolution.string_pairs(entities))
+    scored = resolution.near_pairs(entities, embed, judge is not None).join(pairs, ["id_a", "id_b"], "left_anti")
     if near is not None:
         v = vectors.embedded(
             near.select(F.explode(F.array("name_a", "name_b")).alias("text")).distinct(), embed=embed
         )
         a, b = v.select(F.col("text").alias("name_a"), F.col("embedding").alias("_a")), v.select(F.col("text").alias("name_b"), F.col("embedding").alias("_b"))
-        scored = near.join(a, "name_a").join(b, "name_b").withColumn("score", vectors.cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")
-        scored = scored.withColumn("tier", resolution.tier(F.col("score"), F.col("name_a"), F.col("name_b")))
+        own = near.join(a, "name_a").join(b, "name_b").withColumn("score", vectors.cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+        own = own.withColumn("tier", resolution.tier(F.col("score"), F.col("name_a"), F.col("name_b")))
         low = F.when(F.col("score") < resolution.EMBED_ASK, F.lit(resolution.ACRONYM_ASK)).otherwise(F.col("score"))
-        ask = resolution.asked(scored.where("tier = 'ask'").withColumn("score", low))
-        said = resolution.adjudicated(ask, judge).where("verdict").select("id_a", "id_b")
-        pairs = pairs.unionByName(scored.where("tier = 'merge'").select("id_a", "id_b")).unionByName(said).distinct()
+        scored = scored.unionByName(own.withColumn("score", low).where("tier is not null").select(scored.columns))
+    scored = scratch.save(scored)
+    ask = resolution.asked(scored.where("tier = 'ask'"))
+    said = resolution.adjudicated(ask, judge).where("verdict").select("id_a", "id_b")
+    pairs = pairs.unionByName(scored.where("tier = 'merge'").select("id_a", "id_b")).unionByName(said).distinct()
     return resolution.survivors(entities, edges, pairs)
 
 

@@ -729,8 +729,9 @@ def answers(spark, d):
 
 @query()
 def resolved_entities(spark, d):
-    e = table(spark, d, "entities").where("id is not null").dropDuplicates(["id"])
-    return pipeline.resolve(e, spark.createDataFrame([], "src string, type string, dst string"))
+    """Over the edges found in the documents; the first row of each id counts."""
+    e = resolution.one_row_each(table(spark, d, "entities").where("id is not null"), "entity_no")
+    return pipeline.resolve(e, corpus(spark, d).graph.edges)
 
 
 @query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

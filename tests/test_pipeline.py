@@ -118,3 +118,29 @@ def test_common_words_and_words_of_all_scripts_are_mentioned(spark):
     got = {r.term: (r.mentions, r.degree) for r in extract.lexical_degrees(m).collect()}
     assert got == {t: (n, sum(t in p for p in pairs)) for t, n in want.items()}
     assert {(r.src, r.dst) for r in extract.lexical_edges(m).collect()} == pairs
+
+
+def test_resolve_finds_its_own_candidates(spark):
+    import random
+
+    from kgspark.operators import resolution
+    from kgspark.operators.vectors import hashing_embedder
+
+    schema = "workspace_id string, id string, name string, canonical_name string, type string, user_edited boolean, entity_no int"
+    names = {"a": "graph database engine", "b": "database engine graph", "c": "ml", "d": "machine learning", "e": "MLs"}
+    rows = [("w", i, n, n.lower(), "concept", None, k) for k, (i, n) in enumerate(names.items())]
+    rows += [("v", "o", "graph database engine", "graph database engine", "concept", None, 9), ("w", "u", "engine graph database", "engine graph database", "concept", True, 11), ("w", "u", "engine graph database", "engine graph database", "concept", False, 10)]
+    ent = resolution.one_row_each(spark.createDataFrame(rows, schema), "entity_no")
+    assert {(r.id, r.entity_no, r.user_edited) for r in ent.where("id = 'u'").collect()} == {("u", 10, True)}
+    none = spark.createDataFrame([], "src string, type string, dst string")
+    assert {tuple(r) for r in pipeline.resolve(ent, none).collect()} == {("b", "a")}
+    same = lambda p: [{x.lower().rstrip("s") for x in y} == {"ml", "machine learning"} for y in p]
+    assert {tuple(r) for r in pipeline.resolve(ent, none, same).collect()} == {("b", "a"), ("c", "d"), ("e", "d")}
+
+    rnd = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "store", "cache"]
+    many = [("w", f"n{i:02d}", " ".join(rnd.sample(words, 3)), "x", "concept", False, i) for i in range(40)]
+    v = hashing_embedder([r[2] for r in many])
+    want = {(many[i][1], many[j][1]) for i in range(40) for j in range(i + 1, 40) if float(v[i] @ v[j]) >= 0.55}
+    got = resolution.near_pairs(spark.createDataFrame(many, schema), hashing_embedder, True, tile_rows=7)
+    assert {(r.id_a, r.id_b) for r in got.collect()} == want and 40 < len(want) < 780
