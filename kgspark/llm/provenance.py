@@ -40,8 +40,6 @@ COMPATIBLE = (
     (0.05, 0.01, 0.02, 0.91, 0.01),
     (0.28, 0.04, 0.02, 0.02, 0.64),
 )
-#: Directories below this depth hang together on the last level.
-DEEPEST = 24
 #: Code shorter than this, without comments and white space, may coincide by chance.
 LEAST_BODY = 80
 
@@ -190,8 +188,6 @@ def _evidence_rows(files: DataFrame) -> DataFrame:
             for no, repo, path, text in zip(df["no"], df["repo"], df["path"], df["text"]):
                 *e, foreign, code = evidence(path, text)
                 p = clean_path(path).split("/")[:-1]
-                if len(p) > DEEPEST:
-                    p = [*p[: DEEPEST - 1], "/".join(p[DEEPEST - 1 :])]
                 key = hashlib.blake2b(code.encode("utf-8", "replace"), digest_size=16).hexdigest() if code else None
                 out.append((no, repo, "/".join(["", *p]), len(p), *e, foreign, key))
             yield pd.DataFrame(out, columns=["file_no", "repo", "dir", "depth", *[f"e{i}" for i in range(5)], "foreign", "body"])

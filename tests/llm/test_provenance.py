@@ -99,3 +99,33 @@ def test_beliefs_are_exact(spark):
     got = {r.file_no: r.p_hand for r in P.labelled(spark.createDataFrame(rows, SCHEMA)).collect()}
     for i, w in enumerate(want):
         assert got[i] == pytest.approx(w, abs=1e-9)
+
+
+def test_beliefs_reach_through_deep_directories(spark):
+    def beliefs(files):
+        rows = [(i, "w", *f, "c", "c") for i, f in enumerate(files)]
+        found = P.labelled(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert len(found) == len(files)
+        return {r.file_no: (r.label, r.p_hand) for r in found}
+
+    names = ["node_modules", *[f"d{i}" for i in range(27)]]
+    files = [("r", "/".join([*names[:n], f"f{n}.py"]), None) for n in (0, 1, 2, 24, 28)]
+    got = beliefs(files)
+    own = lambda n: [0.0 if n else 5.0, 0.0, 0.0, 9.0 if n == "node_modules" else 0.0, 0.0]
+    up = lambda m, x: [sum(m[a][b] * x[b] for b in range(5)) for a in range(5)]
+    down = lambda m, x: [sum(x[a] * m[a][b] for a in range(5)) for b in range(5)]
+    times = lambda *v: [math.prod(x) for x in zip(*v)]
+    e = [[math.exp(x) for x in P.evidence(p, t)[:5]] for _, p, t in files]
+    chain = [[math.exp(x) for x in own(n)] for n in ["", *names]]
+    depth = {0: 0, 1: 1, 2: 2, 24: 3, 28: 4}
+    for target, at in enumerate(depth):
+        local = [times(c, up(P.COMPATIBLE, e[depth[k]])) if depth.get(k, target) != target else c for k, c in enumerate(chain)]
+        above = local[0]
+        for k in range(1, at + 1):
+            above = times(down(P.NESTED, above), local[k])
+        below = [1.0] * 5
+        for k in range(len(chain) - 1, at, -1):
+            below = up(P.NESTED, times(local[k], below))
+        belief = times(down(P.COMPATIBLE, times(above, below)), e[target])
+        assert got[target][1] == pytest.approx(belief[0] / sum(belief), abs=1e-9)
+        assert got[target][0] == P.LABELS[belief.index(max(belief))]
