@@ -63,6 +63,16 @@ def united(by_graph: DataFrame, by_vector: DataFrame, most: int = MOST_CHUNKS) -
     return _top(both, ["question_id"], ["ord", "chunk_id"], most)
 
 
+#: The lists of a concept's notes.
+NOTES = ("how_it_works", "strengths", "limitations", "when_to_use", "examples")
+
+
+def concept_notes(entities: DataFrame) -> DataFrame:
+    """(id, one_liner and NOTES) of entities; where they lack such a column it is null."""
+    kinds = {"one_liner": "string", **dict.fromkeys(NOTES, "array<string>")}
+    return entities.select("id", *[(F.col(c) if c in entities.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+
 def context(concepts: DataFrame, triples: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, context): concept notes, relations and numbered passages of a question, up to CONTEXT_CHARS.
 

@@ -84,8 +84,7 @@ def retrieve(corpus: Corpus, questions: DataFrame, embed: Callable = vectors.has
         .join(names.select(F.col("id").alias("dst"), F.col("name").alias("object")), "dst")
         .select("question_id", "rank", "subject", F.col("type").alias("predicate"), "object")
     )
-    empty = F.array().cast("array<string>")
-    notes = links.select("question_id", "rank", "name", F.lit(None).cast("string").alias("one_liner"), *[empty.alias(c) for c in ("how_it_works", "strengths", "limitations", "when_to_use", "examples")])
+    notes = links.select("question_id", "rank", "name", "id").join(retrieval.concept_notes(g.entities), "id", "left").drop("id")
     return {"links": links, "triples": said, "chunks": passages, "context": retrieval.context(notes, said, passages)}
 
 

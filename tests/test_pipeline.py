@@ -144,3 +144,14 @@ def test_resolve_finds_its_own_candidates(spark):
     want = {(many[i][1], many[j][1]) for i in range(40) for j in range(i + 1, 40) if float(v[i] @ v[j]) >= 0.55}
     got = resolution.near_pairs(spark.createDataFrame(many, schema), hashing_embedder, True, tile_rows=7)
     assert {(r.id_a, r.id_b) for r in got.collect()} == want and 40 < len(want) < 780
+
+
+def test_contexts_hold_the_notes_of_concepts(spark, corpus):
+    from dataclasses import replace
+
+    n = F.when(F.col("name") == "Alpha Store", "A store of alphas.")
+    told = corpus.graph.entities.withColumn("one_liner", n).withColumn("strengths", F.when(n.isNotNull(), F.array(F.lit("fast"), F.lit("small"))))
+    q = spark.createDataFrame([(1, "1", "What is Alpha Store?")], "question_id int, document_id string, question string")
+    said = pipeline.retrieve(replace(corpus, graph=replace(corpus.graph, entities=told)), q)["context"].first().context
+    assert said.startswith("Concept: Alpha Store\nA store of alphas.\nGood at: fast; small\n")
+    assert pipeline.retrieve(corpus, q)["context"].first().context in said
