@@ -527,8 +527,19 @@ def node_sizes(spark, d):
 
 @query()
 def layered_positions(spark, d):
-    nodes, edges = typed_graph(spark, d)
-    return canvas.layered(nodes.where("type <> 'product'"), places(edges))
+    return canvas.layered(*typed_graph(spark, d))
+
+
+@query()
+def graph_components(spark, d):
+    """Of the whole graph; connected_components has the places only, as its SQL does."""
+    return canvas.components(*typed_graph(spark, d))
+
+
+@query()
+def graph_levels(spark, d):
+    """Of the whole graph; bfs_levels has the places only, as its SQL does."""
+    return canvas.levels(*typed_graph(spark, d))
 
 
 @query()

@@ -220,3 +220,35 @@ def test_workspaces_are_scoped(spark):
     assert is_scoped(w.entities, "some-id")
     with pytest.raises(ValueError):
         w.table("nation")
+
+
+def test_the_whole_typed_graph_is_searched(spark):
+    from kgspark import queries as Q
+
+    d = "/root/testdata/sf0.001"
+    n, e = Q.typed_graph(spark, d)
+    ids, links = {r.id for r in n.collect()}, {(r.src, r.dst) for r in e.collect()}
+    assert any(i.startswith("p:") for i in ids)
+    near, ahead = {i: set() for i in ids}, {i: set() for i in ids}
+    for a, b in links:
+        near[a].add(b), near[b].add(a), ahead[a].add(b)
+
+    def reach(start, steps):
+        at, front, k = dict.fromkeys(start, 0), set(start), 0
+        while front:
+            k += 1
+            front = {y for x in front for y in steps[x]} - set(at)
+            at.update(dict.fromkeys(front, k))
+        return at
+
+    comp = {}
+    for i in sorted(ids):
+        if i not in comp:
+            comp.update(dict.fromkeys(reach([i], near), i))
+    assert {r.id: r.component for r in Q.graph_components(spark, d).collect()} == comp
+    roots = ids - {b for _, b in links}
+    rooted = {comp[i] for i in roots}
+    depth = reach(roots | {i for i in ids if comp[i] == i and i not in rooted}, ahead)
+    assert set(depth) == ids and {r.id: r.depth for r in Q.graph_levels(spark, d).collect()} == depth
+    at = Q.layered_positions(spark, d).collect()
+    assert {r.id: r.depth for r in at} == depth and len({(r.x, r.y) for r in at}) == len(ids)
