@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,7 +36,7 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame
     raise RuntimeError(f"no fixed point after {most} rounds")
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 500) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth): steps along edges from the nodes that no edge but a loop leads to; where a component has no such
     node, from its least node. What a search does not reach stands two levels below the deepest one it did."""
     scratch = Scratch(nodes.sparkSession)
@@ -47,7 +49,7 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 500) -> DataFrame:
     alone = comp.join(rooted, "component", "left_anti").groupBy("component").agg(F.min("id").alias("id")).select("id")
     seen = scratch.save(roots.unionByName(alone).withColumn("depth", F.lit(0)))
     front = seen
-    for d in range(1, most + 1):
+    for d in count(1):
         nxt = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         nxt = scratch.save(nxt.join(ids, "id", "left_semi").join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         if not nxt.limit(1).count():

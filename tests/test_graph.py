@@ -252,3 +252,10 @@ def test_the_whole_typed_graph_is_searched(spark):
     assert set(depth) == ids and {r.id: r.depth for r in Q.graph_levels(spark, d).collect()} == depth
     at = Q.layered_positions(spark, d).collect()
     assert {r.id: r.depth for r in at} == depth and len({(r.x, r.y) for r in at}) == len(ids)
+
+
+def test_levels_have_no_limit_of_rounds():
+    """By its signature only; a chain of more than 500 nodes takes too long here."""
+    import inspect
+
+    assert list(inspect.signature(canvas.levels).parameters) == ["nodes", "edges"]
