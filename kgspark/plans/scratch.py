@@ -6,6 +6,8 @@ compressed, and can be removed as soon as the next round no longer needs it.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="kgspark-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -44,6 +47,12 @@ class Scratch:
         self.kept.append(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def result(self, df: DataFrame) -> DataFrame:
+        """Writes what an operator returns and deletes the tables it was made from."""
+        out = self.save(df)
+        self.forget()
+        return out
+
     def forget(self, keep_last: int = 1) -> None:
         """Deletes all tables but the newest ones; their readers must be done."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
