@@ -1,17 +1,22 @@
 """Hand-written sources among generated, minified, vendored files and data saved as code (problem 3).
 
-Method: belief propagation over directory trees. Every file has evidence for five labels from its name and text, and
-from files with the same code anywhere in the corpus; every directory has evidence from its name. A compatibility
-matrix couples each file and directory with its parent, and through it with its siblings. On a tree, one pass of
-messages upwards and one downwards gives exact beliefs; a file's label is its most believed one.
+Method: belief propagation over directory trees. Every file has evidence for five labels from its own name and text, and
+from other files with the same code; every directory has evidence from its name. A compatibility matrix couples each
+file and directory with its parent, and through it with its siblings. On a tree, one pass of messages upwards and one
+downwards gives exact beliefs; a file's label is its most believed one.
 
-Messages are columns of DataFrames: those of a directory's children are summed in map tasks before they are shuffled,
+What a file shows weighs a few logits, about as much as its place: where it lies reaches it by messages alone.
+Directories named as third-party are told apart from those that are found to hold third-party files: what lies in the
+former is third-party though nothing in it says so, in the latter plain files speak for hand-written ones. The name cuts
+the tie to the directory above, which may be anybody's.
+
+Messages are arrays of five numbers: those of a directory's children are summed in map tasks before they are shuffled,
 and beliefs return to the files of a large directory without bringing these together.
 """
 
 from __future__ import annotations
 
-
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,30 +29,51 @@ from kgspark.plans.scratch import Scratch
 from kgspark.plans.skew import lookup
 
 LABELS = ("hand", "generated", "minified", "vendored", "blob")
-#: Compatibility of a directory's label (row) with that of a directory in it (column), in the order of LABELS.
+#: Directories have one label more: third-party by their place, that is, named so or below one named so.
+PLACES = (*LABELS, "placed")
+#: Logits of a clear cue, and of a text that shows none.
+CUE, NONE = 7.0, {"generated": -2.5, "minified": -3.0, "vendored": -2.5, "blob": -3.0}
+#: Logits of a repository's root for hand-written.
+ROOT = 8.0
+#: The logarithm of 0 in messages.
+NEVER = -1e9
+#: Compatibility of a directory's label (row) with that of a directory in it (column), in the order of PLACES. No row
+#: but the last leads to `placed`; only names do. The last row is as the first with `hand` and `placed` exchanged in part.
 NESTED = (
-    (0.96, 0.01, 0.01, 0.01, 0.01),
-    (0.10, 0.84, 0.02, 0.02, 0.02),
-    (0.10, 0.04, 0.82, 0.02, 0.02),
-    (0.02, 0.01, 0.02, 0.94, 0.01),
-    (0.10, 0.03, 0.02, 0.02, 0.83),
+    (0.968, 0.01, 0.01, 0.002, 0.01, 0.0),
+    (0.10, 0.84, 0.02, 0.02, 0.02, 0.0),
+    (0.10, 0.04, 0.82, 0.02, 0.02, 0.0),
+    (0.02, 0.01, 0.02, 0.94, 0.01, 0.0),
+    (0.10, 0.03, 0.02, 0.02, 0.83, 0.0),
+    (0.028, 0.01, 0.01, 0.002, 0.01, 0.94),
 )
-#: The same for a file in it.
+
+
+def _in_place(hand: tuple, odds: float) -> tuple:
+    """Compatibilities of a `placed` directory with its files: those of a hand-written one, but a file without any cue,
+    while it fits both alike, is odds times as likely vendored as hand-written. So a third-party directory is not
+    talked out of its name by the plain files in it, however many."""
+    clean = math.exp(NONE["vendored"])
+    own = (hand[0] + hand[3] * clean) / (1 + odds * clean)
+    return own, hand[1], hand[2], odds * own, hand[4]
+
+
+_HAND = (0.57, 0.06, 0.03, 0.30, 0.04)
+#: The same for a file (column, in the order of LABELS) in a directory (row, in the order of PLACES).
 COMPATIBLE = (
-    (0.70, 0.06, 0.03, 0.17, 0.04),
+    _HAND,
     (0.15, 0.78, 0.02, 0.03, 0.02),
     (0.22, 0.04, 0.66, 0.06, 0.02),
     (0.05, 0.01, 0.02, 0.91, 0.01),
     (0.28, 0.04, 0.02, 0.02, 0.64),
+    _in_place(_HAND, 60.0),
 )
-#: Code shorter than this, without comments and white space, may coincide by chance.
-LEAST_BODY = 80
 
 #: Directory names (lower case) with the label they speak for and its weight in logits.
 DIRECTORIES = {
     **dict.fromkeys(
         "node_modules bower_components vendor _vendor third_party thirdparty third-party 3rdparty external externals deps libs extern".split(),
-        ("vendored", 9.0),
+        ("placed", 5.0),
     ),
     **dict.fromkeys("__generated__ generated".split(), ("generated", 5.0)),
     **dict.fromkeys("gen codegen autogen".split(), ("generated", 2.0)),
@@ -78,7 +104,10 @@ NOTICE = re.compile(
     re.I,
 )
 FOREIGN = re.compile(r"https?://|\bv?\d+\.\d+(?:\.\d+)+\b|\bversion \d|contributors|upstream", re.I)
-COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|--|;|<!--|%|\"\"\"|''')")
+#: What opens a comment to the line's end, what opens and closes one over lines, and first lines that are no code.
+COMMENT = re.compile(r"(?:#|//|\*|--|;|%)")
+SPANS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"), ("(*", "*)"), ("{-", "-}"))
+DECLARED = re.compile(r"<\?|#!|<!doctype\b|[\"']use strict[\"']|@charset\b|---$", re.I)
 BLOCKS = re.compile(r"/\*.*?\*/|<!--.*?-->", re.S)
 LINES = re.compile(r"^[^\S\n]*(?:#|//|--).*$", re.M)
 VERSIONED = re.compile(r"[-.]v?\d+\.\d+(?:\.\d+)+\.[a-z]+$", re.I)
@@ -86,6 +115,9 @@ PROSE = frozenset("md markdown txt rst adoc".split())
 NUMBER = re.compile(r"0x[0-9a-fA-F]+|[-+]?\d[\d.eE_]*")
 QUOTED = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'')
 WORDS = re.compile(r"[A-Za-z_]+|\d+")
+RUN = re.compile(r"(?<![\w+/])[A-Za-z0-9+/]{40,}={0,2}")
+YACC = re.compile(r"\byy(?:table|check|pact|defact|translate|r1|r2|pgoto|defgoto|stos)\b")
+DECLARES = re.compile(r"^\s*(?:export|public|type|interface|class|def|func)\b")
 
 
 def clean_path(path: str | None) -> str:
@@ -95,15 +127,23 @@ def clean_path(path: str | None) -> str:
 
 
 def head(text: str, prose: bool) -> str:
-    """The comments before the first line of code, without the marks of comments."""
-    out = []
-    for line in text.lstrip("\ufeff").split("\n", 40)[:40]:
-        if line.strip() and not COMMENT.match(line):
-            block = "\n".join(out)
-            if not (block.count("/*") > block.count("*/")):
+    """The comments before the first line of code, to their end; prose has its own lines for headings and lists."""
+    out, closer = [], ""
+    for line in text.lstrip("\ufeff").split("\n"):
+        bare = line.strip()
+        if closer:
+            if closer in bare:
+                closer = ""
+        elif bare and not DECLARED.match(bare):
+            span = next(((o, c) for o, c in SPANS if bare.startswith(o)), None)
+            if span:
+                if span[1] not in bare[len(span[0]) :]:
+                    closer = span[1]
+            elif not COMMENT.match(bare):
                 break
-        if not (prose and line.lstrip().startswith(("#", "*", "--"))):
-            out.append(line)
+            elif prose and bare.startswith(("#", "*", "--")):
+                continue
+        out.append(line)
     return "\n".join(out)
 
 
@@ -113,84 +153,91 @@ def body_of(text: str) -> str:
     return "".join(t.split())
 
 
-def repeated(lines: list[str]) -> float:
-    """Share of the lines that have the commonest shape, if that has four signs or more; words and numbers count alike."""
+def repeated(lines: list[str]) -> tuple[float, int]:
+    """Share and number of the lines that have the commonest shape of four signs or more; words and numbers count alike."""
     shapes = Counter(WORDS.sub("w", x.strip()).replace("-w", "w") for x in lines)
     best = max((n for s, n in shapes.items() if len(re.sub(r"[\w\s]", "", s)) >= 4), default=0)
-    return best / max(1, len(lines))
+    return best / max(1, len(lines)), best
+
+
+def grown(n: float, scale: float, most: float = CUE) -> float:
+    """The logits of a cue that n characters or lines show: little for few of them, most for many."""
+    return most * (1 - math.exp(-n / scale))
 
 
 def evidence(path: str | None, text: str | None) -> tuple[float, float, float, float, float, bool, str]:
-    """Log-likelihoods of LABELS, whether name or notice shows third-party code, and the code without comments."""
-    p = clean_path(path).lower()
-    name = p.rpartition("/")[2]
+    """Log-likelihoods of LABELS by a file's own name and text, whether a notice shows third-party code, and the code
+    without comments. Directories are left to the tree."""
+    name = clean_path(path).lower().rpartition("/")[2]
     ext = name.rpartition(".")[2]
-    generated, minified, vendored, blob = -4.0, -6.0, -3.0, -6.0
-    foreign = any(DIRECTORIES.get(x, ("", 0))[0] == "vendored" for x in p.split("/")[:-1])
+    generated, minified, vendored, blob = (NONE[x] for x in LABELS[1:])
     if TOOL_NAMES.search(name) or LOCKS.match(name):
-        generated += 12
-    if re.search(r"[-.]min\.\w+$", name):
-        minified += 4
+        generated += CUE
     if VERSIONED.search(name):
         vendored += 2
-    if foreign:
-        vendored += 5
+    minified_name = re.search(r"[-.]min\.\w+$", name)
     if not text or not text.strip():
-        minified += 8 if minified > -6 else 0  # the name is all there is to go by
-        return 0.0, generated, minified, vendored, blob, foreign, ""
+        return 0.0, generated, 5.0 if minified_name else minified, vendored, blob, False, ""  # the name is all there is to go by
+    if minified_name:
+        minified += 4
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    prose = ext in PROSE
+    prose, noticed = ext in PROSE, False
     top = head(text, prose)
     if MARKERS.search(top):
-        generated += 12
+        generated += CUE
     if NOTICE.search(top) and FOREIGN.search(top):
-        vendored += 11
-        foreign = True
+        vendored += CUE
+        noticed = True
     code = body_of(text)
-    lines = [x for x in text.split("\n") if x.strip()]
     size = len(code)
-    if not prose and size >= 300:
+    if not prose and size:
         rest = LINES.sub("", BLOCKS.sub("", text)).strip()
         blank = 1 - size / max(1, len(rest))
         mean = len(rest) / max(1, rest.count("\n") + 1)
+        lines = [x for x in text.split("\n") if x.strip()]
         numbers = sum(map(len, NUMBER.findall(code)))
         signs = sum(code.count(c) for c in ",()[]{};:")
-        long = max((len(m) for m in re.findall(r"[A-Za-z0-9+/=_-]{40,}", text)), default=0)
-        base64 = sum(len(m) for m in re.findall(r"(?<![\w+/])[A-Za-z0-9+/]{40,}={0,2}", text)) if long else 0
-        if (numbers + signs) / size > 0.75 and numbers / size > 0.3:
-            blob += 12
+        base64 = sum(len(m) for m in RUN.findall(text))
+        dull = (numbers + signs) / size
+        if dull > 0.75 and numbers / size > 0.3:
+            blob += grown(size, 100)
         if base64 / size > 0.6:
-            blob += 12
-        if re.search(r"\byy(?:table|check|pact|defact|translate|r1|r2|pgoto|defgoto|stos)\b", text) and (numbers + signs) / size > 0.4:
-            generated += 12
-        same = repeated(lines) if len(lines) >= 20 else 0.0
-        quoted = sum(map(len, QUOTED.findall(text))) if ext != "json" else 0
-        if same > 0.7:
-            if re.search(r"^\s*(?:export|public|type|interface|class|def|func)\b", lines[len(lines) // 2]):
-                generated += 12
+            blob += grown(size, 100)
+        if YACC.search(text) and dull > 0.4:
+            generated += CUE
+        share, times = repeated(lines)
+        if share > 0.7 and times > 1:
+            if DECLARES.search(lines[len(lines) // 2]):
+                generated += grown(times - 1, 10)
             else:
-                blob += 12
-        elif size > 800 and (quoted + numbers + signs) / size > 0.9 and numbers / size > 0.05:
-            blob += 12
-        dense = blank < 0.12 and mean > 100
-        if dense and base64 / size < 0.5 and re.search(r"[;{}()=]", code):
-            minified += 12
-    return 0.0, generated, minified, vendored, blob, foreign, code if size >= LEAST_BODY else ""
+                blob += grown(times - 1, 10)
+        else:
+            quoted = sum(map(len, QUOTED.findall(text))) if ext != "json" else 0
+            if (quoted + numbers + signs) / size > 0.9 and numbers / size > 0.05:
+                blob += grown(size, 400)
+        if blank < 0.12 and mean > 100 and base64 / size < 0.5 and re.search(r"[;{}()=]", code):
+            minified += grown(size, 100)
+    return 0.0, generated, minified, vendored, blob, noticed, code
+
+
+def placed(path: str | None) -> bool:
+    """Whether a directory on the path is named as third-party code."""
+    return any(DIRECTORIES.get(x, ("", 0))[0] == "placed" for x in clean_path(path).lower().split("/")[:-1])
 
 
 def _evidence_rows(files: DataFrame) -> DataFrame:
-    """file_no, repo key, directory, log-likelihoods, foreign, and a hash of the code (null if too short)."""
+    """file_no, repo key, directory, log-likelihoods e, foreign (notice or place), and hash and length of the code."""
     import hashlib
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             out = []
             for no, repo, path, text in zip(df["no"], df["repo"], df["path"], df["text"]):
-                *e, foreign, code = evidence(path, text)
+                *e, noticed, code = evidence(path, text)
                 p = clean_path(path).split("/")[:-1]
                 key = hashlib.blake2b(code.encode("utf-8", "replace"), digest_size=16).hexdigest() if code else None
-                out.append((no, repo, "/".join(["", *p]), len(p), *e, foreign, key))
-            yield pd.DataFrame(out, columns=["file_no", "repo", "dir", "depth", *[f"e{i}" for i in range(5)], "foreign", "body"])
+                out.append((no, repo, "/".join(["", *p]), len(p), e, noticed or placed(path), key, len(code)))
+            yield pd.DataFrame(out, columns=["file_no", "repo", "dir", "depth", "e", "foreign", "body", "size"])
 
     own = files.select(
         F.col("file_no").alias("no"),
@@ -198,12 +245,12 @@ def _evidence_rows(files: DataFrame) -> DataFrame:
         F.col("filename").alias("path"),
         "text",
     ).where("no is not null")
-    es = ", ".join(f"e{i} double" for i in range(5))
-    return own.mapInPandas(scan, f"file_no bigint, repo string, dir string, depth int, {es}, foreign boolean, body string")
+    return own.mapInPandas(scan, "file_no bigint, repo string, dir string, depth int, e array<double>, foreign boolean, body string, size int")
 
 
 def _with_copies(rows: DataFrame, n: int) -> DataFrame:
-    """Adds the evidence of equal code elsewhere: in a file known to be third-party, or in another repository.
+    """Adds the evidence of equal code in other files: in one known to be third-party, or in another repository. The
+    longer the code, the less it coincides by chance.
 
     Files without a repository may be the same upload again and show nothing of the kind."""
     named = F.when(~F.col("repo").endswith("|"), F.xxhash64("repo"))
@@ -211,47 +258,65 @@ def _with_copies(rows: DataFrame, n: int) -> DataFrame:
         rows.where("body is not null")
         .groupBy("body")
         .agg(
-            F.max("foreign").alias("known"),
+            F.count_if("foreign").alias("known"),
             F.coalesce(F.min(named) != F.max(named), F.lit(False)).alias("spread"),
             F.count("*").alias("n"),
         )
-        .where("known or spread")
+        .where("n > 1 and (known > 0 or spread)")
     )
-    marked = lookup(rows.where("body is not null").select("file_no", "body"), ["body"], groups, "n", n)
-    marked = marked.select("file_no", F.lit(11.0).alias("more")).groupBy("file_no").agg(F.max("more").alias("more"))
-    return rows.join(marked, "file_no", "left").withColumn("e3", F.col("e3") + F.when(F.col("e1") < 0, F.coalesce("more", F.lit(0.0))).otherwise(0.0)).drop("more")
+    met = lookup(rows.where("body is not null").select("file_no", "body", "foreign", "size"), ["body"], groups, "n", n)
+    met = met.where(F.col("spread") | (F.col("known") > F.col("foreign").cast("int")))
+    more = met.groupBy("file_no").agg((F.lit(CUE) * (1 - F.exp(-F.max("size") / F.lit(100.0)))).alias("more"))
+    e = F.col("e")
+    added = F.when(e[1] < 0, F.coalesce("more", F.lit(0.0))).otherwise(F.lit(0.0))
+    return rows.join(more, "file_no", "left").withColumn("e", F.array(e[0], e[1], e[2], e[3] + added, e[4])).drop("more")
 
 
-def _directory_evidence(name: Column) -> list[Column]:
-    """Log-likelihoods of LABELS from a directory's name; a repository itself is hand-written by five."""
-    by = {label: F.lit(0.0) for label in LABELS}
+def _directory_evidence(name: Column) -> Column:
+    """Log-likelihoods of PLACES from a directory's name; a repository itself is hand-written by ROOT."""
+    by = {label: F.lit(0.0) for label in PLACES}
     named = F.lower(name)
-    for label in LABELS[1:]:
+    for label in PLACES[1:]:
         for w in sorted({v[1] for v in DIRECTORIES.values() if v[0] == label}):
             words = [k for k, v in DIRECTORIES.items() if v == (label, w)]
             by[label] = F.when(named.isin(words), F.lit(w)).otherwise(by[label])
-    by["hand"] = F.when(named == "", F.lit(5.0)).otherwise(F.lit(0.0))
-    return [by[x] for x in LABELS]
+    by["hand"] = F.when(named == "", F.lit(ROOT)).otherwise(F.lit(0.0))
+    by["placed"] = F.when(named == "", F.lit(NEVER)).otherwise(by["placed"])
+    return F.array(*[by[x] for x in PLACES])
+
+
+def _tied(name: Column, message: Column) -> Column:
+    """message between a directory and the one above it; none, that is all alike, if its name tells its place."""
+    cut = F.lower(name).isin([k for k, v in DIRECTORIES.items() if v[0] == "placed"])
+    return F.when(cut, F.array(*[F.lit(0.0)] * len(PLACES))).otherwise(message)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def _less(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
 
+def _totals(c: str) -> Column:
+    """The element-wise sum of a group's messages to a directory."""
+    return F.array(*[F.sum(F.col(c)[i]) for i in range(len(PLACES))])
 
-def _through(df: DataFrame, logs: list[Column], upwards: bool, names: list[str], matrix=COMPATIBLE) -> DataFrame:
-    """Adds, as names, the log of a compatibility matrix applied to exp of logs, shifted by their maximum.
 
-    In steps, so that the optimizer keeps each shared term as a column of its own."""
-    kept = df.columns
-    df = df.select("*", *[x.alias(f"_l{i}") for i, x in enumerate(logs)])
-    df = df.select("*", F.greatest(*[f"_l{i}" for i in range(5)]).alias("_top"))
-    df = df.select("*", *[F.exp(F.col(f"_l{i}") - F.col("_top")).alias(f"_x{i}") for i in range(5)])
-    out = []
-    for a in range(5):
-        terms = [F.col(f"_x{b}") * F.lit(matrix[a][b] if upwards else matrix[b][a]) for b in range(5)]
-        out.append((F.log(sum(terms[1:], terms[0])) + F.col("_top")).alias(names[a]))
-    return df.select(*kept, *out)
+def _through(df: DataFrame, logs: Column, upwards: bool, name: str, matrix=None) -> DataFrame:
+    """Adds, as name, the log of a compatibility matrix applied to exp of logs; each sum is shifted by its largest term."""
+    matrix = COMPATIBLE if matrix is None else matrix
+    rows = matrix if upwards else tuple(zip(*matrix))
+    table = F.array(*[F.array(*[F.lit(math.log(x) if x else NEVER) for x in row]) for row in rows])
+    terms = F.transform(table, lambda row: _sum(row, F.col("_l")))
+    topped = F.transform(terms, lambda t: F.struct(t.alias("t"), F.array_max(t).alias("top")))
+    total = lambda r: F.aggregate(r["t"], F.lit(0.0), lambda s, v: s + F.exp(v - r["top"]))
+    return df.withColumn("_l", logs).withColumn(name, F.transform(topped, lambda r: r["top"] + F.log(total(r)))).drop("_l")
 
 
-M = [f"m{i}" for i in range(5)]
-B = [f"b{i}" for i in range(5)]
-D = [f"d{i}" for i in range(5)]
+def _name(c: str) -> Column:
+    return F.regexp_extract(c, r"([^/]*)$", 1)
 
 
 def _parent(c: Column) -> Column:
@@ -268,44 +333,33 @@ def labelled(files: DataFrame) -> DataFrame:
     scratch = Scratch(files.sparkSession)
     rows = scratch.save(_evidence_rows(files))
     n = rows.count()
-    e = [f"e{i}" for i in range(5)]
-    leaf = _with_copies(rows, n).select("file_no", "repo", "dir", "depth", *e)
-    leaf = scratch.save(_through(leaf, [F.col(x) for x in e], True, M))
-    sums = leaf.groupBy("repo", "dir", "depth").agg(*[F.sum(m).alias(m) for m in M], F.count("*").alias("files"))
-    sums = scratch.save(sums)
+    leaf = _with_copies(rows, n).select("file_no", "repo", "dir", "depth", "e")
+    leaf = scratch.save(_through(leaf, F.col("e"), True, "m"))
+    sums = scratch.save(leaf.groupBy("repo", "dir", "depth").agg(_totals("m").alias("m"), F.count("*").alias("files")))
     deepest = sums.agg(F.max("depth")).first()[0]
     if deepest is None:
         return leaf.select("file_no", F.lit("hand").alias("label"), F.lit(1.0).alias("p_hand"))
     levels: dict[int, DataFrame] = {}
     arriving = None
     for depth in range(deepest, -1, -1):  # upwards
-        here = sums.where(F.col("depth") == depth).select("repo", "dir", *M, "files")
+        here = sums.where(F.col("depth") == depth).select("repo", "dir", "m", "files")
         if arriving is not None:
-            here = here.unionByName(arriving)
-            here = here.groupBy("repo", "dir").agg(*[F.sum(m).alias(m) for m in M], F.sum("files").alias("files"))
-        name = F.regexp_extract("dir", r"([^/]*)$", 1)
-        own = _directory_evidence(name)
-        here = here.select("repo", "dir", "files", *[(F.col(m) + own[i]).alias(B[i]) for i, m in enumerate(M)])
-        levels[depth] = here = scratch.save(here)
-        sent = _through(here.select("repo", "dir", *B), [F.col(b) for b in B], True, M, NESTED)
-        arriving = sent.select("repo", _parent(F.col("dir")).alias("dir"), *M, F.lit(0).cast("bigint").alias("files"))
-    believed = levels[0]
-    done = [believed]
+            here = here.unionByName(arriving).groupBy("repo", "dir").agg(_totals("m").alias("m"), F.sum("files").alias("files"))
+        own = _directory_evidence(_name("dir"))
+        levels[depth] = here = scratch.save(here.select("repo", "dir", "files", _sum(F.col("m"), own).alias("b")))
+        sent = _through(here.select("repo", "dir", "b"), F.col("b"), True, "m", NESTED)
+        arriving = sent.select("repo", _parent(F.col("dir")).alias("dir"), _tied(_name("dir"), F.col("m")).alias("m"), F.lit(0).cast("bigint").alias("files"))
+    believed = dirs = levels[0]
     for depth in range(1, deepest + 1):  # downwards
-        low = _through(levels[depth], [F.col(b) for b in B], True, M, NESTED).withColumn("up", _parent(F.col("dir")))
-        high = believed.select("repo", F.col("dir").alias("up"), *[F.col(b).alias(f"u{i}") for i, b in enumerate(B)])
-        both = low.join(high, ["repo", "up"])
-        both = _through(both, [F.col(f"u{i}") - F.col(M[i]) for i in range(5)], False, D, NESTED)
-        believed = scratch.save(both.select("repo", "dir", "files", *[(F.col(b) + F.col(D[i])).alias(b) for i, b in enumerate(B)]))
-        done.append(believed)
-    dirs = done[0]
-    for d in done[1:]:
-        dirs = dirs.unionByName(d)
+        low = _through(levels[depth], F.col("b"), True, "m", NESTED).withColumn("up", _parent(F.col("dir")))
+        high = believed.select("repo", F.col("dir").alias("up"), F.col("b").alias("u"))
+        both = low.join(high, ["repo", "up"]).withColumn("m", _tied(_name("dir"), F.col("m")))
+        both = _through(both, _less(F.col("u"), F.col("m")), False, "d", NESTED)
+        believed = scratch.save(both.select("repo", "dir", "files", _sum(F.col("b"), _tied(_name("dir"), F.col("d"))).alias("b")))
+        dirs = dirs.unionByName(believed)
     joined = lookup(leaf, ["repo", "dir"], dirs, "files", n)
-    joined = _through(joined, [F.col(B[i]) - F.col(M[i]) for i in range(5)], False, D)
-    joined = joined.select("file_no", *[(F.col(e[i]) + F.col(D[i])).alias(f"f{i}") for i in range(5)])
-    f = [F.col(f"f{i}") for i in range(5)]
-    top = F.greatest(*f)
-    label = F.coalesce(*[F.when(f[i] == top, F.lit(LABELS[i])) for i in range(5)])
-    total = sum((F.exp(x - top) for x in f[1:]), F.exp(f[0] - top))
-    return joined.select("file_no", label.alias("label"), (F.exp(f[0] - top) / total).alias("p_hand"))
+    joined = _through(joined, _less(F.col("b"), F.col("m")), False, "d").select("file_no", _sum(F.col("e"), F.col("d")).alias("f"))
+    top = F.array_max("f")
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.array_position("f", top).cast("int"))
+    total = F.aggregate("f", F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return scratch.result(joined.select("file_no", label.alias("label"), (F.exp(F.col("f")[0] - top) / total).alias("p_hand")))

@@ -64,6 +64,38 @@ def test_odd_rows(spark):
     assert label(spark, []) == {}
 
 
+def test_places_reach_files_through_the_tree_alone(spark, monkeypatch):
+    """Plain files below a directory named as third-party, and short data files among many: the tree tells them."""
+    number = lambda n: "P = [" + "".join(f"(0.{i}71, 0.{i}3, {i}),\n" for i in range(n)) + "]\n"
+    plain = lambda i: CODE.replace("walk", f"walk{i}").replace("other", f"other{i}")
+    files = [("r", f"node_modules/pad/lib/f{i}.py", plain(i)) for i in range(40)]
+    files += [("r", f"src/f{i}.py", plain(100 + i)) for i in range(10)]
+    files += [("r", f"tables/t{i}.py", number(60 + i)) for i in range(6)] + [("r", "tables/short.py", number(4)), ("r", "src/short.py", number(5))]
+    want = ["vendored"] * 40 + ["hand"] * 10 + ["blob"] * 7 + ["hand"]
+    assert label(spark, files) == dict(enumerate(want))
+    assert P.evidence("node_modules/pad/lib/a.py", CODE)[:5] == P.evidence("src/a.py", CODE)[:5]
+    flat = tuple((0.2,) * 5 for _ in P.PLACES)
+    monkeypatch.setattr(P, "COMPATIBLE", flat)
+    without = label(spark, files)
+    assert [without[i] for i in range(40)] == ["hand"] * 40 and sum(without[i] != w for i, w in enumerate(want)) >= 41
+
+
+def test_many_plain_files_do_not_undo_a_name_nor_do_notices_take_a_repository(spark):
+    notice = "/*! pad v1.2.3, (c) pad contributors, released under the MIT License */\n"
+    files = [("r", f"vendor/p{i % 30}/f{i}.py", CODE.replace("walk", f"walk{i}")) for i in range(300)]
+    files += [("r", f"d{i % 12}/n{i}.js", notice + LIB.replace("pad", f"pad{i}")) for i in range(36)]
+    files += [("r", f"d{i % 12}/h{i}.py", CODE.replace("walk", f"go{i}")) for i in range(60)]
+    got = label(spark, files)
+    assert {got[i] for i in range(336)} == {"vendored"} and {got[i] for i in range(336, 396)} == {"hand"}
+
+
+def test_heads_are_read_to_their_end():
+    long = "/*\n" + " * all rights as stated\n" * 90 + " */\n// Code generated by tool. DO NOT EDIT.\n"
+    assert P.evidence("a.js", long + LIB)[1] > 0 and P.evidence("a.js", LIB + long)[1] < 0
+    assert P.evidence("a.php", "<?php\n<!-- \nsome words\n@generated\n-->\n" + LIB)[1] > 0
+    assert P.evidence("a.py", '"""First line.\n\nThis file is automatically generated.\n"""\n' + CODE)[1] > 0
+
+
 def brute(tree, files):
     """Beliefs of files by summing over all labels of all directories."""
     import itertools
@@ -72,12 +104,12 @@ def brute(tree, files):
     out = []
     for target in range(len(files)):
         belief = [0.0] * 5
-        for d in itertools.product(range(5), repeat=len(dirs)):
+        for d in itertools.product(range(6), repeat=len(dirs)):
             at = dict(zip(dirs, d))
             w = 1.0
             for name in dirs:
                 w *= math.exp(tree[name][1][at[name]])
-                if tree[name][0] is not None:
+                if tree[name][0] is not None and not name.endswith("/vendor"):
                     w *= P.NESTED[at[tree[name][0]]][at[name]]
             for i, (where, e) in enumerate(files):
                 if i != target:
@@ -89,9 +121,12 @@ def brute(tree, files):
     return out
 
 
+def own(name):
+    return [0.0 if name else P.ROOT, 0.0, 0.0, 0.0, 0.0, (5.0 if name in ("vendor", "node_modules") else 0.0) if name else P.NEVER]
+
+
 def test_beliefs_are_exact(spark):
     files = [("r", "a.py", CODE), ("r", "lib/x/m.min.js", MIN), ("r", "lib/x/b.py", CODE), ("r", "lib/vendor/c.c", None), ("r", "lib/d_pb2.py", CODE)]
-    own = lambda n: [0.0, 0, 0, 9.0, 0] if n == "vendor" else [0.0 if n else 5.0, 0, 0, 0, 0]
     tree = {"": (None, own("")), "/lib": ("", own("lib")), "/lib/x": ("/lib", own("x")), "/lib/vendor": ("/lib", own("vendor"))}
     e = [P.evidence(p, t)[:5] for _, p, t in files]
     want = brute(tree, list(zip(["", "/lib/x", "/lib/x", "/lib/vendor", "/lib"], e)))
@@ -108,12 +143,11 @@ def test_beliefs_reach_through_deep_directories(spark):
         assert len(found) == len(files)
         return {r.file_no: (r.label, r.p_hand) for r in found}
 
-    names = ["node_modules", *[f"d{i}" for i in range(27)]]
-    files = [("r", "/".join([*names[:n], f"f{n}.py"]), None) for n in (0, 1, 2, 24, 28)]
+    names = ["web", *[f"d{i}" for i in range(27)]]
+    files = [("r", "/".join([*names[:n], f"f{n}.py"]), None) for n in (0, 1, 2, 24)] + [("r", "/".join([*names, "f28_pb2.py"]), CODE)]
     got = beliefs(files)
-    own = lambda n: [0.0 if n else 5.0, 0.0, 0.0, 9.0 if n == "node_modules" else 0.0, 0.0]
-    up = lambda m, x: [sum(m[a][b] * x[b] for b in range(5)) for a in range(5)]
-    down = lambda m, x: [sum(x[a] * m[a][b] for a in range(5)) for b in range(5)]
+    up = lambda m, x: [sum(m[a][b] * x[b] for b in range(len(x))) for a in range(6)]
+    down = lambda m, x: [sum(x[a] * m[a][b] for a in range(6)) for b in range(len(m[0]))]
     times = lambda *v: [math.prod(x) for x in zip(*v)]
     e = [[math.exp(x) for x in P.evidence(p, t)[:5]] for _, p, t in files]
     chain = [[math.exp(x) for x in own(n)] for n in ["", *names]]
@@ -123,7 +157,7 @@ def test_beliefs_reach_through_deep_directories(spark):
         above = local[0]
         for k in range(1, at + 1):
             above = times(down(P.NESTED, above), local[k])
-        below = [1.0] * 5
+        below = [1.0] * 6
         for k in range(len(chain) - 1, at, -1):
             below = up(P.NESTED, times(local[k], below))
         belief = times(down(P.COMPATIBLE, times(above, below)), e[target])
