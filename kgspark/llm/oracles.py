@@ -33,14 +33,25 @@ _NO = ", ".join(
     ).split()
 )
 
-_PATCH = f"""WITH long AS (
+_GOOD = f"""WITH long AS (
   SELECT entity_no, patch_no, user_edited, patched_at, unnest(['name', 'type', 'color', 'notes']) AS field_name,
          unnest([name, type, color, notes]) AS value FROM node_patches WHERE entity_no IS NOT NULL),
 bare AS (SELECT *, lower(regexp_replace(value, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS b FROM long),
-good AS (SELECT * FROM bare WHERE b <> '' AND b NOT IN ({_NO})),
+good AS (SELECT * FROM bare WHERE b <> '' AND b NOT IN ({_NO}))"""
+
+_PATCH = f"""{_GOOD},
 won AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY entity_no, field_name
   ORDER BY coalesce(user_edited, false) DESC, patched_at DESC NULLS LAST, patch_no DESC) = 1)"""
 
+_VOTES = f"""{_GOOD},
+voted AS (SELECT entity_no, field_name, lower(trim(regexp_replace(value, '[\\s\\p{{Z}}]+', ' ', 'g'), ' ')) AS norm, value, patch_no,
+  coalesce(user_edited, false) AS e, patched_at, floor((1::bigint << 40) * pow(0.5, greatest(coalesce((epoch_us(TIMESTAMP '2026-01-01') - epoch_us(patched_at)) / (86400e6 * 180), 10.0), 0.0)))::hugeint AS v FROM good),
+sums AS (SELECT entity_no, field_name, norm, sum(v * CASE WHEN e THEN 8 ELSE 1 END) AS votes,
+  max({{e: e, t: coalesce(epoch_us(patched_at), -100000000000000000), n: patch_no, v: value}}) AS top FROM voted GROUP BY ALL),
+won AS (SELECT entity_no, field_name, top.v AS value FROM sums QUALIFY row_number() OVER (PARTITION BY entity_no, field_name ORDER BY votes DESC, top DESC) = 1)"""
+
+_GOLDEN = " SELECT e.entity_no, max(value) FILTER (field_name = 'name') AS name, max(value) FILTER (field_name = 'type') AS type, max(value) FILTER (field_name = 'color') AS color, max(value) FILTER (field_name = 'notes') AS notes FROM (SELECT DISTINCT entity_no FROM node_patches WHERE entity_no IS NOT NULL) e LEFT JOIN won USING (entity_no) GROUP BY 1"
+
 _WHITE = "[\\t-\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 
 _WORD_RUNS = """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
@@ -54,7 +65,8 @@ SQL = {
     "p2_found": f"{_KEYS} SELECT import_no, group_no FROM g WHERE n_copies > 1",
     "p2_records": f"{_KEYS} SELECT workspace_id, group_no, trim(name, ' ') AS name, trim(type, ' ') AS type, n_copies FROM g WHERE import_no = group_no",
     "p4_found": f"{_PATCH} SELECT entity_no, field_name, patch_no FROM won WHERE entity_no IN (SELECT entity_no FROM node_patches GROUP BY 1 HAVING count(DISTINCT patch_no) > 1)",
-    "p4_nodes": f"{_PATCH} SELECT e.entity_no, max(value) FILTER (field_name = 'name') AS name, max(value) FILTER (field_name = 'type') AS type, max(value) FILTER (field_name = 'color') AS color, max(value) FILTER (field_name = 'notes') AS notes FROM (SELECT DISTINCT entity_no FROM node_patches WHERE entity_no IS NOT NULL) e LEFT JOIN won USING (entity_no) GROUP BY 1",
+    "p4_nodes": _PATCH + _GOLDEN,
+    "p4_voted": _VOTES + _GOLDEN,
     "p5_found": f"""SELECT DISTINCT chunk_no, CASE
       WHEN list_max(list_transform(string_split_regex(text, '{_WHITE}。！？]'), lambda x: length(x))) > 4000 THEN 'hard'
       WHEN list_max(list_transform(string_split_regex(text, '(\\r\\n|\\n|\\r)([ \\t\\f]*(\\r\\n|\\n|\\r))+'), lambda x: length(regexp_replace(x, '^{_WHITE}]+|{_WHITE}]+$', '', 'g')))) > 4000 THEN 'inner'

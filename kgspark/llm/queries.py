@@ -50,9 +50,7 @@ def p4_nodes(spark, d):
 
 
 def p4_voted(spark, d):
-    return survivors.golden(
-        table(spark, d, "node_patches"), PATCH_FIELDS, strict=False, half_life_days=180.0, as_of="2026-01-01"
-    )
+    return survivors.golden(table(spark, d, "node_patches"), PATCH_FIELDS, strict=False, half_life_days=180.0, as_of="2026-01-01")
 
 
 def p5_found(spark, d):

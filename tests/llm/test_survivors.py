@@ -12,7 +12,8 @@ def frame(spark, rows):
 
 
 def best(spark, rows, **how):
-    w = S.winners(S.field_votes(frame(spark, rows), ("name", "type"), **how), strict="half_life_days" not in how)
+    strict, trust = "half_life_days" not in how, how.pop("trust", 8)
+    w = S.winners(S.field_votes(frame(spark, rows), ("name", "type"), **how), strict=strict, trust=trust)
     return {(r.entity_no, r.field_name): (r.patch_no, r.value, r.rivals) for r in w.collect()}
 
 
@@ -45,8 +46,25 @@ def test_weighted_votes_add_up(spark):
 
 def test_trust_outweighs(spark):
     rows = [(i, 1, "bot", None, False, T0) for i in range(5)] + [(9, 1, "user", None, True, T0)]
-    assert best(spark, rows, half_life_days=10.0, as_of="2024-01-02", trust=8.0)[(1, "name")][1] == "user"
-    assert best(spark, rows, half_life_days=10.0, as_of="2024-01-02", trust=2.0)[(1, "name")][1] == "bot"
+    assert best(spark, rows, half_life_days=10.0, as_of="2024-01-02", trust=8)[(1, "name")][1] == "user"
+    assert best(spark, rows, half_life_days=10.0, as_of="2024-01-02", trust=2)[(1, "name")][1] == "bot"
+
+
+def test_the_newest_vote_outweighs_all_others_together(spark):
+    crowd = [(i, 1, "crowd", "many", False, T0 - timedelta(seconds=i)) for i in range(1, 400)]
+    rows = crowd + [(500, 1, "new", None, False, T0)] + [(i, 2, "old edits", None, True, T0 - timedelta(days=i)) for i in range(1, 90)] + [(600, 2, "new edit", None, True, T0)]
+    got = S.winners(S.field_votes(frame(spark, rows), ("name", "type")))
+    assert {(r.entity_no, r.field_name): (r.patch_no, r.value) for r in got.collect()} == {(1, "name"): (500, "new"), (1, "type"): (1, "many"), (2, "name"): (600, "new edit")}
+    votes = {r.entity_no: int(r.votes) for r in got.where("field_name = 'name'").collect()}
+    assert votes[1] >= 400 * 0.5**4 * S.UNIT and votes[2] >= 91 * 90 * S.UNIT
+
+
+def test_hot_keys_keep_their_winner(spark, monkeypatch):
+    from kgspark.plans import skew
+
+    monkeypatch.setattr(skew, "HOT_FLOOR", 5)
+    rows = [(i, 1, f"v{i % 50}", None, False, T0 + timedelta(seconds=i)) for i in range(200)] + [(300, 2, "b", "t", False, T0)]
+    assert {k: v[0] for k, v in best(spark, rows).items()} == {(1, "name"): 199, (2, "name"): 300, (2, "type"): 300}
 
 
 def test_against_brute_force(spark):
