@@ -1,9 +1,9 @@
 """Records that differ only in white space, letter case, punctuation or field order (problem 2).
 
 Method: every normalised (field name, value) pair is hashed, the hashes of a record are added (a commutative
-multiset hash in two lanes of 56 bits), records are grouped by that fingerprint, and the fields themselves are
-compared where the hash table probes for the group, so equal fingerprints of unequal records stay apart. Nothing is
-sorted, and the copies within one map task are added up before anything is shuffled.
+multiset hash in two lanes of 56 bits) and records are grouped by scope and fingerprint alone. Each record's fields are
+then compared with those of its group's first record; groups in which any differ are divided by the fields themselves.
+Nothing is sorted, and the copies within one map task are added up before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -84,29 +84,59 @@ def fingerprinted(
     )
 
 
+PRINT = ["_scope", "_a", "_b"]
+
+
 def copy_groups(prints: DataFrame) -> DataFrame:
-    """One row for each distinct record: the columns of prints but _id, then group_no (least _id) and n_copies."""
-    same = [c for c in prints.columns if c != "_id"]
-    return prints.groupBy(*same).agg(F.min("_id").alias("group_no"), F.count("*").alias("n_copies"))
+    """One row for each scope and fingerprint: group_no (least _id) and n_copies."""
+    return prints.groupBy(*PRINT).agg(F.min("_id").alias("group_no"), F.count("*").alias("n_copies"))
+
+
+def verified(scratch: Scratch, prints: DataFrame) -> DataFrame:
+    """(_id, group_no, n_copies) of the records that have at least one copy, equal in every field.
+
+    prints: a written table as fingerprinted() makes it, with unique _id."""
+    fields = [c for c in prints.columns if c not in ("_id", *PRINT)]
+    groups = copy_groups(prints).where("n_copies > 1")
+    first = prints.select(F.col("_id").alias("group_no"), *[F.col(c).alias(f"_f{c}") for c in fields])
+    groups = scratch.save(first.join(groups.hint("shuffle_hash"), "group_no"))
+    same = F.lit(True)
+    for c in fields:
+        same = same & (F.col(c) == F.col(f"_f{c}"))
+    met = lookup(prints, PRINT, groups.withColumn("_n", F.col("n_copies")), "_n", prints.count())
+    met = scratch.save(met.select("_id", "group_no", "n_copies", same.alias("same")))
+    torn = met.where("not same").select("group_no").distinct()
+    if not torn.limit(1).count():
+        return met.select("_id", "group_no", "n_copies")
+    # fingerprints that unequal records share: these groups are divided by their fields
+    torn = scratch.save(torn)
+    whole = met.join(torn, "group_no", "left_anti").select("_id", "group_no", "n_copies")
+    mixed = scratch.save(prints.join(met.join(torn, "group_no", "left_semi").select("_id"), "_id", "left_semi"))
+    parts = mixed.groupBy(*PRINT, *fields).agg(F.min("_id").alias("group_no"), F.count("*").alias("n_copies")).where("n_copies > 1")
+    parts = scratch.save(parts).withColumn("_n", F.col("n_copies"))
+    divided = lookup(mixed, [*PRINT, *fields], parts, "_n", mixed.count()).select("_id", "group_no", "n_copies")
+    return whole.unionByName(divided)
 
 
 def copies(rows: DataFrame, *, key: str, scope: str, fields: tuple[str, ...], record: str | None = None) -> DataFrame:
-    """(key, group_no) of every row that has at least one copy; group_no is the least key among its copies."""
-    # written once: the groups and both ways of the lookup read it
-    prints = Scratch(rows.sparkSession).save(fingerprinted(rows, key=key, scope=scope, fields=fields, record=record))
-    groups = copy_groups(prints).where(F.col("n_copies") > 1)
-    same = [c for c in prints.columns if c != "_id"]
-    return lookup(prints, same, groups, "n_copies", prints.count()).select(F.col("_id").alias(key), "group_no")
+    """(key, group_no) of every row that has at least one copy; group_no is the least key among its copies. key is unique."""
+    scratch = Scratch(rows.sparkSession)
+    prints = scratch.save(fingerprinted(rows, key=key, scope=scope, fields=fields, record=record))
+    return scratch.result(verified(scratch, prints).select(F.col("_id").alias(key), "group_no"))
 
 
 def collapsed(rows: DataFrame, *, key: str, scope: str, fields: tuple[str, ...], record: str | None = None) -> DataFrame:
     """One row for each distinct record: scope, group_no, the fields as its first row spells them, n_copies."""
-    prints = fingerprinted(rows, key=key, scope=scope, fields=fields, record=record)
-    groups = copy_groups(prints).select("group_no", "n_copies")
+    scratch = Scratch(rows.sparkSession)
+    prints = scratch.save(fingerprinted(rows, key=key, scope=scope, fields=fields, record=record))
+    found = scratch.save(verified(scratch, prints))
+    firsts = found.where(F.col("_id") == F.col("group_no")).select("group_no", "n_copies")
+    alone = prints.select(F.col("_id").alias("group_no")).join(found.select(F.col("_id").alias("group_no")), "group_no", "left_anti")
+    groups = firsts.unionByName(alone.select("group_no", F.lit(1).cast("bigint").alias("n_copies")))
     pairs = parsed_pairs(F.col(record)) if record else F.lit(None)
     spelled = [
         F.trim(F.when(F.col(record).isNotNull(), _first(pairs, f)).otherwise(F.col(f)) if record else F.col(f)).alias(f)
         for f in fields
     ]
     first = rows.select(F.col(key).alias("group_no"), F.col(scope).alias(scope), *spelled)
-    return groups.join(first, "group_no").select(scope, "group_no", *fields, "n_copies")
+    return scratch.result(groups.join(first, "group_no").select(scope, "group_no", *fields, "n_copies"))
