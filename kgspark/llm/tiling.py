@@ -2,192 +2,201 @@
 
 Method: greedy string tiling [Wise, String Similarity via Greedy String Tiling and Running Karp-Rabin Matching, 1993].
 Runs of `least` words that a document shares with an item are seeds; for each document and item that share a seed,
-the longest match of unmarked words is marked in both, again and again, with Karp-Rabin hashes finding the matches,
-until none of `least` words is left. The marked share of the item's words is its coverage, in whatever order its
-passages appear. A word is an unbroken run of letters and digits; letter case counts for nothing.
+the longest match of unmarked words is marked in both, again and again, until none of `least` words is left. Matches
+are found by running Karp-Rabin: hashes of all windows of a search length, which falls from the longest match there is
+to `least`. The marked share of the item's words is its coverage, in whatever order its passages appear. A word is an
+unbroken run of letters and digits; letter case counts for nothing.
+
+Documents stay where they are. Items go to all tasks in blocks of a bounded size, one block after the other if there
+are several: a stated query set against all rows. So a passage that very many documents or items share brings nothing together.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-#: Items are sent to all tasks up to this many bytes of text; beyond it, seeds are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
-#: Hashes are kept modulo 2^64; windows of equal hashes are compared word by word.
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Items are sent to all tasks in blocks of about this many bytes of text; a worker holds four times as much for a block.
+BLOCK_BYTES = 8 << 20
+#: Hashes are kept modulo 2^64; windows of equal hashes are compared word by word. BASE is odd, so it has an inverse.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.casefold())
 
 
-def rolling(ids: np.ndarray, k: int) -> np.ndarray:
-    """Karp-Rabin hashes of all windows of k ids, modulo 2^64."""
-    n = len(ids) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    x = ids.astype(np.uint64) + np.uint64(1)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(31)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h *= BASE
-        h += x[j : j + n]
-    return h
+def numbers(listed: list[str]) -> np.ndarray:
+    """A number for each word, the same in every process."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, listed), np.uint64, len(listed))
+
+
+class Rolling:
+    """Karp-Rabin hashes of the windows of one text, for any length of window, from one running sum."""
+
+    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(ids * self.powers(n)[1], out=self.sums[1:])
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of BASE and of its inverse modulo 2^64, n at least."""
+        if len(cls._powers[0]) < n + 1:
+            both = []
+            for b in (BASE, INVERSE):
+                p = np.full(2 * n + 2, b, np.uint64)
+                p[0] = 1
+                both.append(np.cumprod(p))
+            cls._powers = tuple(both)
+        return cls._powers[0][:n], cls._powers[1][:n]
+
+    def windows(self, k: int) -> np.ndarray:
+        n = len(self.sums) - k
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        return (self.sums[k:] - self.sums[:n]) * self.powers(len(self.sums))[0][:n]
+
+
+def _free(hashes: np.ndarray, marked: np.ndarray, k: int) -> np.ndarray:
+    """Where the windows of k words start in which no word is marked."""
+    upto = np.concatenate(([0], np.cumsum(marked)))
+    return np.flatnonzero(upto[k:][: len(hashes)] == upto[: len(hashes)])
+
+
+def _matches(a: list, b: list, ra: Rolling, rb: Rolling, ma: np.ndarray, mb: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, length) of the matches of k unmarked words or more that cannot be extended."""
+    ha, hb = ra.windows(k), rb.windows(k)
+    pa, pb = _free(ha, ma, k), _free(hb, mb, k)
+    both = np.intersect1d(ha[pa], hb[pb])
+    if not len(both):
+        return []
+    at = defaultdict(list)
+    for j in pb[np.isin(hb[pb], both)].tolist():
+        at[int(hb[j])].append(j)
+    out = []
+    for i in pa[np.isin(ha[pa], both)].tolist():
+        for j in at[int(ha[i])]:
+            if i and j and a[i - 1] == b[j - 1] and not (ma[i - 1] or mb[j - 1]):
+                continue  # part of the match that starts one word earlier
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not (ma[i + n] or mb[j + n]):
+                n += 1
+            if n >= k:
+                out.append((i, j, n))
+    return out
 
 
 def tiles(a: list, b: list, least: int) -> list[tuple[int, int, int]]:
     """(start in a, start in b, length) of the tiles of greedy string tiling, longest first; ties go to the earliest."""
+    ra, rb = Rolling(numbers(a)), Rolling(numbers(b))
+    ma, mb = np.zeros(len(a), bool), np.zeros(len(b), bool)
     out: list[tuple[int, int, int]] = []
-    ma, mb = [False] * len(a), [False] * len(b)
-    where = defaultdict(list)
-    ids: dict = {}
-    ia = np.array([ids.setdefault(w, len(ids)) for w in a], dtype=np.int64)
-    ib = np.array([ids.setdefault(w, len(ids)) for w in b], dtype=np.int64)
-    for j, h in enumerate(rolling(ib, least).tolist()):
-        where[h].append(j)
-    seeds = [(i, j) for i, h in enumerate(rolling(ia, least).tolist()) for j in where.get(h, ())]
+    length = max(least, min(len(a), len(b)))
     while True:
-        best, found = least, []
-        for i, j in seeds:
-            if i and j and a[i - 1] == b[j - 1] and not (ma[i - 1] or mb[j - 1]):
-                continue  # part of the match that starts one word earlier
-            k = 0
-            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not (ma[i + k] or mb[j + k]):
-                k += 1
-            if k > best:
-                best, found = k, [(i, j)]
-            elif k == best:
-                found.append((i, j))
-        marked = False
-        for i, j in found:
-            if not (any(ma[i : i + best]) or any(mb[j : j + best])):
-                ma[i : i + best] = mb[j : j + best] = [True] * best
-                out.append((i, j, best))
-                marked = True
-        if not marked:
+        queue = [(-n, i, j) for i, j, n in _matches(a, b, ra, rb, ma, mb, length)]
+        heapq.heapify(queue)
+        while queue:
+            n, i, j = heapq.heappop(queue)
+            taken = ma[i : i - n] | mb[j : j - n]
+            if not taken.any():
+                ma[i : i - n] = mb[j : j - n] = True
+                out.append((i, j, -n))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate(([1], taken.view(np.int8), [1]))))
+            for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):  # what is still unmarked of it
+                if e - s >= length:
+                    heapq.heappush(queue, (s - e, i + s, j + s))
+        if length <= least or mb.all():
             return out
-        seeds = [(i, j) for i, j in seeds if not (any(ma[i : i + least]) or any(mb[j : j + least]))]
+        length = max(least, length // 2)
 
 
 class Seeds:
-    """The items' words and windows of `least` words."""
+    """The items' windows of `least` words as a sorted array of hashes, and their texts."""
 
     def __init__(self, items: list[tuple[int, str]], least: int):
-        self.least, self.items = least, {i: words(t) for i, t in items}
-        self.vocabulary: dict[str, int] = {}
-        for w in self.items.values():
-            for x in w:
-                self.vocabulary.setdefault(x, len(self.vocabulary))
-        self.at = defaultdict(set)
-        for i, w in self.items.items():
-            for h in rolling(np.array([self.vocabulary[x] for x in w], dtype=np.int64), least).tolist():
-                self.at[h].add(i)
-
-    def candidates(self, ids: np.ndarray) -> set[int]:
-        """Items that share a window with a document, given its words' numbers in the vocabulary (-1: not in it)."""
-        k, out = self.least, set()
-        known = ids >= 0
-        if len(ids) < k or not known.any():
-            return out
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], known.view(np.int8), [0]))))
-        for s, e in zip(edges[::2], edges[1::2]):
-            if e - s >= k:
-                for h in rolling(ids[s:e], k).tolist():
-                    out |= self.at.get(h, set())
-        return out
+        self.least, self.texts, self.cut = least, dict(items), {}
+        hashed, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, t in items:
+            h = np.unique(Rolling(numbers(words(t))).windows(least))
+            hashed.append(h)
+            owner.append(np.full(len(h), i, np.int64))
+        h, o = np.concatenate(hashed), np.concatenate(owner)
+        order = np.argsort(h, kind="stable")
+        self.hashed, self.owner = h[order], o[order]
+
+    def candidates(self, ids: np.ndarray) -> np.ndarray:
+        """Items that share a window with a document of these words' numbers."""
+        own = Rolling(ids).windows(self.least)
+        lo = np.searchsorted(self.hashed, own)
+        lo[lo == len(self.hashed)] = 0
+        met = np.unique(own[self.hashed[lo] == own]) if len(self.hashed) else own[:0]
+        lo, hi = np.searchsorted(self.hashed, met), np.searchsorted(self.hashed, met, "right")
+        return np.unique(np.concatenate([self.owner[:0], *(self.owner[x:y] for x, y in zip(lo, hi))]))
+
+    def words(self, item: int) -> list[str]:
+        """An item's words; those of the last few are kept."""
+        if item not in self.cut:
+            if len(self.cut) > 500:
+                self.cut.clear()
+            self.cut[item] = words(self.texts[item])
+        return self.cut[item]
 
 
 RESULT = "doc_id bigint, item_id bigint, tiles int, longest int, words_found int, coverage double"
 
 
-def _tiled(doc, item, a: list[str], b: list[str], least: int, cover: float):
-    t = tiles(a, b, least)
-    n = sum(x[2] for x in t)
-    if t and n >= cover * len(b):
-        yield doc, item, len(t), max(x[2] for x in t), n, n / len(b)
-
-
-def _frame(rows) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-
-
-def _broadcast(docs: DataFrame, items: list[tuple[int, str]], least: int, cover: float) -> DataFrame:
+def _scanned(docs: DataFrame, items: list[tuple[int, str]], least: int, cover: float) -> DataFrame:
+    """Documents against one block of items."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = Seeds(shared.value, least)
-        number = seeds.vocabulary.get
         for df in batches:
             out = []
             for d, t in zip(df["d"], df["t"]):
                 w = words(t)
                 if len(w) < least:
                     continue
-                ids = np.fromiter((number(x, -1) for x in w), np.int64, len(w))
-                for i in sorted(seeds.candidates(ids)):
-                    out += _tiled(d, i, w, seeds.items[i], least, cover)
-            yield _frame(out)
+                for i in seeds.candidates(numbers(w)).tolist():
+                    own = seeds.words(i)
+                    found = tiles(w, own, least)
+                    n = sum(x[2] for x in found)
+                    if found and n >= cover * len(own):
+                        out.append((d, i, len(found), found[0][2], n, n / len(own)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     return docs.mapInPandas(scan, RESULT)
 
 
-def _windows(rows: DataFrame, least: int) -> DataFrame:
-    """(id, h) of every distinct window of each row, for items beyond BROADCAST_BYTES."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for df in batches:
-            for d, t in zip(df["d"], df["t"]):
-                w = words(t)
-                ids = np.fromiter((xxhash.xxh64_intdigest(x) >> 1 for x in w), np.int64, len(w))
-                h = np.unique(rolling(ids, least).view(np.int64))
-                if len(h):
-                    yield pd.DataFrame({"d": d, "h": h})
-
-    return rows.mapInPandas(scan, "d bigint, h bigint")
-
-
-def _shuffled(docs: DataFrame, items: DataFrame, least: int, cover: float) -> DataFrame:
-    pairs = (
-        _windows(docs, least)
-        .join(_windows(items, least).withColumnRenamed("d", "i"), "h")
-        .select("d", "i")
-        .distinct()
-    )
-    both = pairs.join(docs, "d").join(items.select(F.col("d").alias("i"), F.col("t").alias("u")), "i")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            out = []
-            for d, i, t, u in zip(df["d"], df["i"], df["t"], df["u"]):
-                out += _tiled(d, i, words(t), words(u), least, cover)
-            yield _frame(out)
-
-    return both.select("d", "i", "t", "u").mapInPandas(verify, RESULT)
-
-
-def leaks(
-    docs: DataFrame, items: DataFrame, *, least: int = 13, cover: float = 0.0, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, least: int = 13, cover: float = 0.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, tiles, longest, words_found, coverage) of documents and items with a tile of least words.
 
     docs: doc_id and text; items: item_id and text. cover: least share of the item's words that the tiles must hold.
     Null ids and null texts give nothing, texts shorter than least words neither; repeated rows give repeated pairs
-    once each row. Items are sent to the tasks only while their text is within broadcast_bytes.
+    once each row. Items are dealt out to blocks of about block_bytes of text by a hash of their ids, and documents are
+    read once for each block.
     """
     docs = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("t")).dropna()
     items = items.select(F.col("item_id").alias("d"), F.col("text").alias("t")).dropna().dropDuplicates(["d"])
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if size <= broadcast_bytes:
-        return _broadcast(docs, [(r.d, r.t) for r in items.collect()], least, cover)
-    return _shuffled(docs, items, least, cover)
+    blocks = -(-size // block_bytes) or 1
+    own = items.withColumn("b", F.pmod(F.xxhash64("d"), F.lit(blocks)))
+    found = [_scanned(docs, [(r.d, r.t) for r in own.where(F.col("b") == b).collect()], least, cover) for b in range(blocks)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out

@@ -40,10 +40,10 @@ def texts(seed):
 
 
 @pytest.mark.parametrize("least", [5, 13])
-@pytest.mark.parametrize("way", [1 << 20, 0])
+@pytest.mark.parametrize("way", [1 << 20, 100])
 def test_both_ways_find_what_brute_force_finds(spark, least, way):
     docs, items = texts(least)
-    got = run(spark, list(enumerate(docs)), list(enumerate(items)), least=least, broadcast_bytes=way)
+    got = run(spark, list(enumerate(docs)), list(enumerate(items)), least=least, block_bytes=way)
     want = {(d, i): n for d, t in enumerate(docs) for i, u in enumerate(items) if (n := runs(t, u)) >= least}
     assert {k: r.longest for k, r in got.items()} == want
 
@@ -68,14 +68,56 @@ def test_threshold_of_words(spark):
     assert set(got) == {(2, 9), (3, 9)}
 
 
-@pytest.mark.parametrize("way", [1 << 20, 0])
+@pytest.mark.parametrize("way", [1 << 20, 100])
 def test_odd_rows(spark, way):
     t = " ".join(f"a{i}" for i in range(20))
     docs = [(1, None), (2, ""), (3, "...!?"), (None, t), (4, t), (4, t), (5, "filler " * 50_000 + t)]
     items = [(1, t), (1, t), (2, None), (None, t), (3, "too short"), (4, "")]
-    got = run(spark, docs, items, broadcast_bytes=way)
+    got = run(spark, docs, items, block_bytes=way)
     assert set(got) == {(4, 1), (5, 1)}
-    assert run(spark, [], items, broadcast_bytes=way) == {} and run(spark, docs, [], broadcast_bytes=way) == {}
+    assert run(spark, [], items, block_bytes=way) == {} and run(spark, docs, [], block_bytes=way) == {}
+
+
+def test_a_window_that_all_share_in_one_block_and_in_many(spark):
+    """A notice in every document and item: both ways give every pair, and as many rows as there are pairs."""
+    notice = " ".join(f"n{i}" for i in range(15))
+    docs = [(i, f"d{i} {notice} e{i}") for i in range(400)]
+    items = [(i, f"q{i} {notice} " + " ".join(f"z{i}x{k}" for k in range(9))) for i in range(30)]
+    one, many = (run(spark, docs, items, block_bytes=b) for b in (1 << 20, 1500))
+    assert one == many and len(one) == 400 * 30 and {r.longest for r in one.values()} == {15}
+
+
+def slow_tiles(a, b, least):
+    """Greedy string tiling word by word."""
+    ma, mb, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (0,)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not (ma[i + k] or mb[j + k]):
+                    k += 1
+                best = max(best, (k, -i, -j))
+        if best[0] < least:
+            return out
+        k, i, j = best[0], -best[1], -best[2]
+        ma[i : i + k] = mb[j : j + k] = [True] * k
+        out.append((i, j, k))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_tiles_against_brute_force(seed):
+    r = random.Random(seed)
+    v = [f"w{i}" for i in range(r.choice([1, 2, 3, 30]))]
+    a, b = r.choices(v, k=r.randrange(0, 45)), r.choices(v, k=r.randrange(0, 45))
+    if r.random() < 0.5:
+        a = a + b[5:30] + a[:10] + b[:12]
+    assert T.tiles(a, b, 3) == slow_tiles(a, b, 3)
+
+
+def test_repetitive_texts_end_soon():
+    assert T.tiles(["la"] * 50_000, ["la"] * 200, 13) == [(0, 0, 200)]
+    assert len(T.tiles(["la"] * 20_000 + ["x"], ["x"] + ["la"] * 300, 13)) == 1
 
 
 def test_tiles_take_the_longest_first():
