@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents the model is fitted on, taken by the order of a hash of their ids; a bound, whatever the corpus holds.
-SAMPLE_DOCS = 3000
+#: Documents the model is fitted on, taken by the order of a hash of their ids, and different candidates (with their
+#: contexts) that the driver takes of these, the most frequent first; bounds, whatever the corpus holds.
+SAMPLE_DOCS, SAMPLE_ROWS = 3000, 200_000
 #: Common abbreviations that hardly ever close a sentence; a prior for tokens the sample lacks.
 ABBREVIATIONS = frozenset(
     """dr mr mrs ms prof st rev capt gen col lt sgt hon fr sr jr mt vs cf fig figs no nos vol vols ch chap sec art tab eq
@@ -66,18 +67,30 @@ def _script(ch: str) -> str:
     return s
 
 
+def since_break(text: str, at: int) -> str:
+    """What stands before `at` since the last break, however long."""
+    width = 24
+    while True:
+        lo = max(0, at - width)
+        cut = -1
+        for m in BREAK.finditer(text, lo, at):
+            cut = m.end()
+        if cut >= 0:
+            return text[cut:at]
+        if not lo:
+            return text[:at]
+        width *= 4
+
+
 def before(text: str, at: int, mark: str, close: str) -> tuple[str, str]:
     """Key of what stands before a boundary at `at`, and its shape.
 
     A dot without closing quote is told by its token; other marks by mark, quotes and script."""
-    left = text[max(0, at - 24) : at]
     if mark != "." or close:
-        ch = left.rstrip()[-1:]
-        return f"{mark}{close.strip()}|{_script(ch)}", "mark" if not close else "quote"
-    cut = 0
-    for m in BREAK.finditer(left):
-        cut = m.end()
-    token = left[cut:]
+        while at and text[at - 1].isspace():
+            at -= 1
+        return f"{mark}{close.strip()}|{_script(text[at - 1 : at])}", "mark" if not close else "quote"
+    token = since_break(text, at)
     if not token:
         return ".|none", "mark"
     if token.isdigit():
@@ -175,7 +188,8 @@ def attached(part: str, at: int, end: int, mark: str, k1: str, s1: str, case: st
 
 
 def features(k1: str, s1: str, k2: str, case: str, gap: str, closed: bool, starters: frozenset) -> list[str]:
-    f = ["", f"a={k1}", f"b={k2}", f"s={s1}", f"c={case}", f"g={gap}", f"sc={s1},{case}", f"q={closed},{case},{gap}"]
+    own = _script(k1[-1:]) if "|" not in k1 and k1[-1:] != ">" else k1.rpartition("|")[2]
+    f = ["", f"a={k1}", f"b={k2}", f"s={s1}", f"c={case}", f"g={gap}", f"sc={s1},{case}", f"q={closed},{case},{gap}", f"z={own},{case}"]
     if k1 in ABBREVIATIONS:
         f.append("abbr")
     if k2 in starters:
@@ -222,7 +236,7 @@ def contexts(part: str):
         if uncapped and case == "l" and s1 in ("longl", "shortl"):
             case = "o"
         if gap == "none" and case != "e" and mark == "." and not close and not attached(part, at, end, mark, k1, s1, case):
-            yield end, None, k2 == "<sym>" and False
+            yield end, None, False
             continue
         yield end, (k1, s1, k2, case, gap, bool(close)), None
 
@@ -247,45 +261,58 @@ def sentence_ends(text: str, model: Model) -> list[int]:
     return out
 
 
-def fit(texts: list[str], rounds: int = 2, steps: int = 60, least: int = 12) -> Model:
-    """Trains the model on the boundaries that the layout of texts makes reliable."""
-    rows, final, starts = [], [], Counter()
-    for text in texts:
-        parts = [text[a:b] for a, b in paragraphs(text)]
-        for i, part in enumerate(parts):
-            if not VISIBLE.search(part):
+def examples(text: str) -> Iterator[tuple]:
+    """What a text has for training: (context..., whether the layout ends a sentence there) of each candidate that is
+    not decided by rules, and (None, None, start, None, None, None, None) of each paragraph's start."""
+    parts = [text[a:b] for a, b in paragraphs(text)]
+    for i, part in enumerate(parts):
+        if not VISIBLE.search(part):
+            continue
+        size = len(part.rstrip())
+        lines = items(part)
+        first = after(part, lines[0][1] if lines and not lines[0][0] else 0, True)
+        begun = [first[0]]
+        if first[1] == "o" and "^" not in first[0]:  # the same start after a missing blank
+            begun.append(re.sub(r"^(\W?)(\w).*", r"\1^\2", first[0], flags=re.S))
+        for k in begun:
+            yield None, None, k, None, None, None, None
+        item_at = {len(part[:a].rstrip()) for a, _ in lines if a}
+        for end, context, _ in contexts(part):
+            if context is None:
                 continue
-            size = len(part.rstrip())
-            lines = items(part)
-            first = after(part, lines[0][1] if lines and not lines[0][0] else 0, True)
-            starts[first[0]] += 1
-            if first[1] == "o" and "^" not in first[0]:  # the same start after a missing blank
-                starts[re.sub(r"^(\W?)(\w).*", r"\1^\2", first[0], flags=re.S)] += 1
-            item_at = {len(part[:a].rstrip()) for a, _ in lines if a}
-            for end, context, _ in contexts(part):
-                if context is None:
-                    continue
-                last = end >= size
-                if last and i + 1 < len(parts):  # what follows is the next paragraph
-                    k2, case, _gap = after(parts[i + 1], 0, True)
-                    context = (*context[:2], k2, case, "line", context[5])
-                rows.append(context)
-                final.append(last or end in item_at)
+            last = end >= size
+            if last and i + 1 < len(parts):  # what follows is the next paragraph
+                k2, case, _gap = after(parts[i + 1], 0, True)
+                context = (*context[:2], k2, case, "line", context[5])
+            yield *context, last or end in item_at
+
+
+def fit(found: list[tuple], rounds: int = 2, steps: int = 60, least: int = 12) -> Model:
+    """Trains the model on the boundaries that the layout makes reliable. found: examples() with their numbers."""
+    starts: Counter = Counter()
+    rows, final, times = [], [], []
+    for *row, n in found:
+        if row[0] is None:
+            starts[row[2]] += n
+        else:
+            rows.append(tuple(row[:6]))
+            final.append(row[6])
+            times.append(n)
     if not rows:
         return Model(dict(PRIOR))
     n1, f1, l1, n2 = Counter(), Counter(), Counter(), Counter()
-    for c, last in zip(rows, final):
-        n1[c[0]] += 1
-        f1[c[0]] += last
-        l1[c[0]] += not last and c[3] == "l"
+    for c, last, n in zip(rows, final, times):
+        n1[c[0]] += n
+        f1[c[0]] += n * last
+        l1[c[0]] += n * (not last and c[3] == "l")
     # seldom seen tokens count as well if they are known abbreviations or initials, quotes from five on
     shape = {c[0]: c[1] for c in rows}
     enough = {"singleU": 1, "quote": 5}
     never = {k for k, n in n1.items() if f1[k] < 0.02 * n and n >= (1 if k in ABBREVIATIONS else min(least, enough.get(shape[k], least)))}
     mixed = {k for k, n in n1.items() if n >= 4 and l1[k] > 0.1 * n}  # small letters follow these as a rule
-    for c, last in zip(rows, final):
+    for c, last, n in zip(rows, final, times):
         if not last and c[0] not in never:
-            n2[c[2]] += 1
+            n2[c[2]] += n
     starters = frozenset(k for k, n in starts.items() if n >= 5 and k[0] != "<" and n >= 0.05 * n2[k])
     inner = {k for k, n in n2.items() if n >= least and k[0] != "<" and starts[k] < 0.01 * n}
 
@@ -300,8 +327,9 @@ def fit(texts: list[str], rounds: int = 2, steps: int = 60, least: int = 12) ->
             y[i] = not (small(c) or c[0] in never or (c[1] != "mark" and c[2] in inner))
     counts: Counter = Counter()
     listed = [features(*c, starters) for c in rows]
-    for f in listed:
-        counts.update(f)
+    for f, n in zip(listed, times):
+        for x in f:
+            counts[x] += n
     number = {f: i for i, f in enumerate(f for f, n in counts.items() if n >= 4 or f in PRIOR)}
     for f in PRIOR:
         number.setdefault(f, len(number))
@@ -311,12 +339,12 @@ def fit(texts: list[str], rounds: int = 2, steps: int = 60, least: int = 12) ->
     prior = np.zeros(len(number))
     for f, w in PRIOR.items():
         prior[number[f]] = w
-    w = prior.copy()
+    w, n = prior.copy(), np.array(times, dtype=np.float64)
     for r in range(rounds):
         square = np.full(len(number), 1e-6)
         for _ in range(steps):  # AdaGrad on the whole sample, drawn towards the prior
             z = np.bincount(row, w[col], len(rows))
-            g = np.bincount(col, (1 / (1 + np.exp(-z)) - y)[row], len(number)) + 0.05 * (w - prior)
+            g = np.bincount(col, (n * (1 / (1 + np.exp(-z)) - y))[row], len(number)) + 0.05 * (w - prior)
             square += g * g
             w -= 0.8 * g / np.sqrt(square)
         if r + 1 < rounds:  # the unsure ones take the model's opinion
@@ -325,14 +353,25 @@ def fit(texts: list[str], rounds: int = 2, steps: int = 60, least: int = 12) ->
     return Model({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}, starters)
 
 
-def fitted(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """The model fitted on at most `sample` documents, the same ones whatever the partitions."""
+def fitted(docs: DataFrame, sample: int = SAMPLE_DOCS, most: int = SAMPLE_ROWS) -> Model:
+    """The model fitted on at most `sample` documents, the same ones whatever the partitions. Executors make the
+    examples and count them; the driver gets at most `most` different ones, the most frequent first."""
+    names = ("k1", "s1", "k2", "kind", "gap", "closed", "final")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                found = list(zip(*examples(t.as_py())))
+                if found:
+                    types = [pa.string()] * 5 + [pa.bool_()] * 2
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, types)], names=list(names))
+
     ids = docs.select("doc_id").dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = [r[0] for r in ids.collect()]
-    spark = docs.sparkSession
-    few = spark.createDataFrame([(i,) for i in chosen], "doc_id bigint")  # at most `sample` rows
-    rows = docs.select("doc_id", "text").dropna().join(F.broadcast(few), "doc_id", "left_semi").collect()
-    return fit([r.text for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])
+    few = docs.sparkSession.createDataFrame([(r[0],) for r in ids.collect()], "doc_id bigint")  # at most `sample` rows
+    texts = docs.select("doc_id", "text").dropna().join(F.broadcast(few), "doc_id", "left_semi").select("text")
+    rows = texts.mapInArrow(scan, "k1 string, s1 string, k2 string, kind string, gap string, closed boolean, final boolean")
+    counted = rows.groupBy(*names).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *names).limit(most)
+    return fit([tuple(r) for r in counted.collect()])
 
 
 def sentence_units(docs: DataFrame, model: Model | None = None, *, texts: bool = False, sample: int = SAMPLE_DOCS) -> DataFrame:

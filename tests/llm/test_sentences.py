@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from kgspark.llm import sentences as S
@@ -36,7 +38,7 @@ def model():
     for text, ends in PARAGRAPHS:
         cut = [text[a:b].strip() for a, b in zip([0, *ends], ends)]
         texts += ["\n\n".join(cut), text] * 12
-    return S.fit(texts)
+    return S.fit([(*row, n) for row, n in Counter(x for t in texts for x in S.examples(t)).items()])
 
 
 @pytest.mark.parametrize("text,ends", PARAGRAPHS)
@@ -88,6 +90,30 @@ def test_without_training_the_priors_hold():
     assert [e for e in S.sentence_ends("Dr. Lee came. He sat, cf. Fig. 3. Good.", m)] == [13, 33, 39]
 
 
+def test_tokens_count_to_their_last_break_however_long(model):
+    word = "ver" + "y" * 300
+    assert S.since_break(f"a {word}", len(word) + 2) == word and S.since_break(word, len(word)) == word
+    assert S.before(f"x {word}.", len(word) + 2, ".", "") == (word, "longl")
+    text = f"The {word}. Then it ended."
+    assert S.sentence_ends(text, model) == [len(word) + 5, len(text)]
+    assert S.before("한국어 “끝” ", 7, "?", "")[0] == "?|other"
+
+
+def test_the_script_counts_at_dots_too():
+    assert "z=cyrillic,U" in S.features("конец", "longl", "узел", "U", "space", False, frozenset())
+    assert "z=latin,U" in S.features("end", "longl", "then", "U", "space", False, frozenset())
+
+
+def test_fitting_takes_bounded_counts_from_the_executors(spark):
+    rows = [(i, "One ends. Two goes on, e.g. here.\n\nThree.") for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = S.fit([(*row, n) for row, n in Counter(x for _, t in rows[:40] for x in S.examples(t)).items()])
+    got = S.fitted(df)
+    assert got.starters == want.starters and set(got.weights) == set(want.weights)
+    assert all(abs(got.weights[k] - w) < 1e-6 for k, w in want.weights.items())
+    assert S.fitted(df, most=1).weights and S.fitted(df.limit(0)).weights == S.PRIOR
+
+
 def test_frames(spark):
     rows = [(1, "A b. C d.", 9), (1, "A b. C d.", 9), (2, None, 9), (3, "", 9), (None, "E f.", 9), (4, "word " * 60_000 + "end. " * 9000, 9)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, char_end int")
