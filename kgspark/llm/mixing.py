@@ -3,10 +3,13 @@
 Method: Pareto order sampling [Rosén, On sampling with probability proportional to size, 1997]. Each source is
 allotted tokens, and each of its documents an expected number of copies in proportion to its weight, no more than
 the source's cap. The whole part of that number is certain; for the rest, documents are ranked by random odds
-over the odds of their fractional part, and the first ones that fill the source's remaining tokens get one more copy.
+over the odds of their fractional part, and the first ones get one more copy until the source's remaining tokens are
+filled. Large documents, of which few fit, are drawn before the others, size by size, so that these make up for what
+the large ones miss or exceed. What is then left, less than the next document in rank, is filled by documents of any
+size that fit and may still be repeated, those drawn least first.
 
 Ranks are never sorted as a whole: the place where a source is full is found by sums over equal intervals of the
-rank, twice, and only the documents of the interval in which it lies are put in order.
+rank, and only the documents of the interval in which it lies are put in order.
 """
 
 from __future__ import annotations
@@ -25,10 +28,13 @@ from kgspark.plans.skew import lookup
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Intervals of the rank a source is divided into at each of the two levels.
-INTERVALS = 4096
-#: A source is filled up again, by documents that fit, while more than CLOSE of its tokens are wanting, PASSES times at most.
-CLOSE, PASSES = 0.005, 3
+#: Intervals of the rank a source is divided into.
+INTERVALS = 1 << 16
+#: A document is large if it holds more than this share of its source's remaining tokens.
+LARGE = 0.01
+#: Documents of a source and size (by powers of two), first in rank, that the driver draws from: more than fit of the
+#: large ones, and enough to fill what is left.
+MOST_LARGE, MOST_FILLING = 128, 16
 #: Targets are held by the driver and all tasks.
 MOST_TARGETS = 10_000
 #: Classes of weights, from 1 downwards, each half of the one before.
@@ -42,13 +48,15 @@ def source_key(c: Column) -> Column:
 
 
 def counted(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, key, h, tokens): tokens of each document's whole text, and a hash of the text."""
+    """(doc_id, key, h, tokens): tokens of each document's whole text, and a hash of the text. The driver reads the
+    vocabulary, a file of a few megabytes, and sends it to all tasks."""
+    with open(tokenizer, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for b in batches:
             n = [len(encode(t.as_py() or "")) for t in b.column(3)]
@@ -96,48 +104,91 @@ def _weights(rows: DataFrame, n: int) -> DataFrame:
     return lookup(rows, ["key", "h"], groups, "n", n)
 
 
-def _fill(rows: DataFrame, bounds: DataFrame, level: int) -> DataFrame:
-    """For each source the interval in which it fills up, at the next finer level, and the tokens before it."""
-    step = F.floor(F.pmod(F.col("z") * F.lit(float(INTERVALS ** (level + 1))), F.lit(float(INTERVALS)))).cast("int")
-    near = rows if level == 0 else rows.join(F.broadcast(bounds.select("key", F.col("at").alias("_at"))), "key").where(
-        F.floor(F.col("z") * F.lit(float(INTERVALS**level))).cast("bigint") == F.col("_at")
-    )
-    sums = near.groupBy("key", step.alias("step")).agg(F.sum("tokens").alias("t"))
-    w = Window.partitionBy("key").orderBy("step")
-    run = sums.join(F.broadcast(bounds), "key").withColumn("upto", F.col("before") + F.sum("t").over(w))
-    return (
-        run.where(F.col("upto") > F.col("rest"))
-        .groupBy("key")
-        .agg(F.min(F.struct("step", "upto", "t", "at")).alias("m"))
-        .select(
-            "key",
-            (F.col("m.at") * INTERVALS + F.col("m.step")).alias("at"),
-            (F.col("m.upto") - F.col("m.t")).alias("before"),
-        )
-    )
+def _firsts(rows: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows of each key and size; Spark keeps the best n of each task before it shuffles."""
+    w = Window.partitionBy("key", "size").orderBy(*order, "doc_id")
+    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).orderBy("key", F.desc("size"), "r")
+
+
+def _by_key(spark, values: dict[str, float], name: str) -> DataFrame:
+    """A row for each target, for broadcasts."""
+    return F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in values.items()], f"key string, {name} double"))
 
 
-def _drawn(scratch: Scratch, able: DataFrame, rests: dict[str, float]) -> DataFrame:
-    """(doc_id, key, tokens) of the documents that come first by rank until their source's rest is filled. The one at
-    which it fills up is taken if at least half of it fits."""
-    spark = able.sparkSession
-    first = [(k, 0, 0.0, float(t)) for k, t in rests.items()]
-    bounds = spark.createDataFrame(first, "key string, at bigint, before double, rest double")
-    rest = F.broadcast(bounds.select("key", "rest"))
-    able = able.join(rest, "key")
-    for level in (0, 1):
-        bounds = scratch.save(_fill(able.drop("rest"), bounds, level)).join(rest, "key")
-    fine = F.floor(F.col("z") * F.lit(float(INTERVALS**2))).cast("bigint")
-    ranked = able.withColumn("fine", fine).join(F.broadcast(bounds.select("key", "at", "before")), "key", "left")
-    below = ranked.where("at is null or fine < at").select("doc_id", "key", "tokens")
+def _large(able: DataFrame, rests: dict[str, float]) -> list[tuple[int, str, int]]:
+    """(doc_id, key, tokens) drawn of the large documents: from the largest size down, in the order of rank, as many as
+    come nearest to what is expected of this and the larger sizes."""
+    big = able.where(F.col("tokens") > F.col("rest") * LARGE)
+    due: dict[str, dict[int, float]] = {}
+    for r in big.groupBy("key", "size").agg(F.sum(F.col("p") * F.col("tokens")).alias("t")).collect():  # a row for each target and size
+        due.setdefault(r["key"], {})[r["size"]] = r["t"]
+    got, taken = dict.fromkeys(due, 0.0), []
+    for r in _firsts(big.where("tokens <= rest"), MOST_LARGE, "q").select("key", "size", "doc_id", "tokens").collect():
+        k, t = r["key"], r["tokens"]
+        wanted = sum(x for size, x in due[k].items() if size >= r["size"])
+        if got[k] + t / 2 <= wanted and got[k] + t <= rests[k]:
+            got[k] += t
+            taken.append((r["doc_id"], k, t))
+    return taken
+
+
+def _in_order(scratch: Scratch, able: DataFrame, rests: dict[str, float]) -> tuple[DataFrame, set[str]]:
+    """(doc_id, key, tokens) of the documents that come first by rank (q; z is the same between 0 and 1) up to the one
+    that no longer fits their source's rest, and the sources in which there is such a one."""
+    able = able.join(_by_key(able.sparkSession, rests, "rest"), "key").withColumn("step", F.floor(F.col("z") * F.lit(float(INTERVALS))).cast("int"))
+    sums = able.groupBy("key", "step").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
+    run = sums.withColumn("upto", F.sum("t").over(Window.partitionBy("key").orderBy("step")))
+    edge = run.where("upto > rest").groupBy("key").agg(F.min(F.struct("step", (F.col("upto") - F.col("t")).alias("before"))).alias("m"))
+    edge = scratch.save(edge.select("key", F.col("m.step").alias("at"), F.col("m.before").alias("before")))  # a row for each target
+    placed = able.join(F.broadcast(edge), "key", "left")
     w = Window.partitionBy("key").orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (
-        ranked.where("fine = at")
-        .withColumn("mid", F.col("before") + F.sum("tokens").over(w) - F.col("tokens") / 2)
-        .where("mid <= rest")
-        .select("doc_id", "key", "tokens")
-    )
-    return below.unionByName(edge)
+    near = placed.where("step = at").withColumn("upto", F.col("before") + F.sum("tokens").over(w)).where("upto <= rest")
+    first = placed.where("at is null or step < at").select("doc_id", "key", "tokens").unionByName(near.select("doc_id", "key", "tokens"))
+    return first, {r["key"] for r in edge.collect()}
+
+
+def _drawn(scratch: Scratch, rows: DataFrame, rests: dict[str, float]) -> DataFrame:
+    """(doc_id, key, extra): copies beyond the certain ones. rows: doc_id, key, tokens, whole, cap, p, q, z, rest."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("size", F.floor(F.log2("tokens")).cast("int"))
+    able = rows.where("p > 0 and rest > 0")
+    large = _large(able, rests)
+    left = dict(rests)
+    for _, k, t in large:
+        left[k] -= t
+    first, edged = _in_order(scratch, able.where(F.col("tokens") <= F.col("rest") * LARGE).drop("rest"), left)
+    first = first.unionByName(spark.createDataFrame(large, "doc_id bigint, key string, tokens bigint"))
+    copies = scratch.save(first.select("doc_id", "key", "tokens", F.lit(1).alias("extra")))
+
+    def rest_of(copies: DataFrame) -> dict[str, float]:
+        sums = copies.groupBy("key").agg(F.sum(F.col("tokens") * F.col("extra")).alias("t")).collect()  # a row for each target
+        return {k: t - {r["key"]: r["t"] for r in sums}.get(k, 0) for k, t in rests.items()}
+
+    def spared(copies: DataFrame, left: dict[str, float]) -> DataFrame:
+        """Documents that fit and may be repeated once more; the next copy ranks behind the one before."""
+        had = rows.drop("rest").join(copies.select("doc_id", "key", "extra"), ["doc_id", "key"], "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
+        had = had.withColumn("spare", F.col("cap") - F.col("whole") - F.col("extra")).join(_by_key(spark, left, "left"), "key")
+        return had.where((F.col("spare") > 0) & (F.col("tokens") <= F.col("left")))
+
+    left = rest_of(copies)
+    todo = {k for k, t in left.items() if t >= 1} - edged
+    while todo:  # all that could be drawn was, and large ones did not fit: everything else is repeated, max_repeats times at most
+        again = spared(copies, {k: left[k] for k in todo})
+        u = F.coalesce("z", F.lit(0.5))
+        more, edged = _in_order(scratch, again.select("doc_id", "key", "tokens", u.alias("z"), F.coalesce("q", F.lit(1.0)).alias("q")), {k: left[k] for k in todo})
+        both = copies.unionByName(more.withColumn("extra", F.lit(1)))
+        copies = scratch.save(both.groupBy("doc_id", "key", "tokens").agg(F.sum("extra").cast("int").alias("extra")))
+        before, left = left, rest_of(copies)
+        todo = {k for k in todo if left[k] >= 1 and left[k] < before[k]} - edged
+    filling = []
+    last = spared(copies, left)
+    for r in _firsts(last, MOST_FILLING, "extra", F.asc_nulls_last("q")).select("key", "doc_id", "tokens", "spare").collect():
+        n = int(min(r["spare"], left[r["key"]] // r["tokens"]))
+        if n:
+            left[r["key"]] -= n * r["tokens"]
+            filling.append((r["doc_id"], r["key"], n))
+    fill = spark.createDataFrame(filling, "doc_id bigint, key string, extra int")
+    return copies.select("doc_id", "key", "extra").unionByName(fill).groupBy("doc_id", "key").agg(F.sum("extra").cast("int").alias("extra"))
 
 
 def mixture(
@@ -197,22 +248,10 @@ def mixture(
         .withColumn("p", F.greatest(copies - F.floor(copies) - F.lit(2e-9), F.lit(0.0)))
         .withColumn("q", F.when(F.col("p") > 0, (u / (F.lit(1.0) - u)) / (F.col("p") / (F.lit(1.0) - F.col("p")))))
         .withColumn("z", F.col("q") / (F.lit(1.0) + F.col("q")))
-        .select("doc_id", "key", "tokens", "whole", "q", "z", "rest")
+        .select("doc_id", "key", "tokens", "whole", "cap", "p", "q", "z", "rest")
     )
     drawn = scratch.save(drawn)
-    able = drawn.where("z is not null and rest > 0").select("doc_id", "key", "tokens", "q", "z")
-    todo = {k: tokens[k] - certain[k] for k in shares if tokens[k] - certain[k] > 0}
-    extra = spark.createDataFrame([], "doc_id bigint, key string, tokens bigint")
-    for _ in range(PASSES):
-        if not todo:
-            break
-        picked = scratch.save(_drawn(scratch, able, todo))
-        extra = extra.unionByName(picked)
-        got = {r["key"]: r["t"] for r in picked.groupBy("key").agg(F.sum("tokens").alias("t")).collect()}  # a row for each target
-        todo = {k: t - got.get(k, 0) for k, t in todo.items() if t - got.get(k, 0) > CLOSE * tokens[k]}
-        room = F.broadcast(spark.createDataFrame([(k, 2 * t) for k, t in todo.items()], "key string, room double"))
-        able = able.join(picked.select("doc_id", "key"), ["doc_id", "key"], "left_anti").join(room, "key").where("tokens <= room").drop("room")
-    extra = extra.select("doc_id", "key", F.lit(1).alias("extra"))
+    extra = _drawn(scratch, drawn, {k: tokens[k] - certain[k] for k in shares if tokens[k] - certain[k] > 0})
     mixed = (
         drawn.join(extra, ["doc_id", "key"], "left")
         .withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
@@ -220,7 +259,7 @@ def mixture(
         .join(F.broadcast(names.select("key", "source")), "key")
         .select("doc_id", "source", "tokens", "copies")
     )
-    mixed = scratch.save(mixed)
+    mixed = scratch.result(mixed)
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"))
     ask = spark.createDataFrame(
         [(r.source, float(r.share), int(r.cap), int(have[r.key]), tokens[r.key]) for r in listed],
@@ -230,3 +269,15 @@ def mixture(
     whole = mixed.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0] or 0
     report = both.withColumn("actual_share", F.col("mixed_tokens") / F.lit(float(max(1, whole))))
     return mixed, report
+
+
+def checked(mixed: DataFrame, report: DataFrame, docs: DataFrame, near: float = 0.01) -> DataFrame:
+    """(source, own, capped, near) of each target: whether all its documents are of that source, none is repeated beyond
+    the cap, and its tokens are within that share of what it was allotted, without exceeding it."""
+    from_ = docs.select("doc_id", source_key(F.col("source")).alias("_s"))
+    m = mixed.join(from_, "doc_id").groupBy("source").agg(
+        F.bool_and(F.col("_s") == source_key(F.col("source"))).alias("own"), F.max("copies").alias("most")
+    )
+    both = report.join(m, "source", "left")
+    fits = (F.col("mixed_tokens") <= F.col("wanted_tokens") + 0.5) & (F.col("mixed_tokens") >= F.col("wanted_tokens") * (1 - near) - 0.5)
+    return both.select("source", F.coalesce("own", F.lit(True)).alias("own"), F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("capped"), fits.alias("near"))

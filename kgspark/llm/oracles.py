@@ -76,4 +76,5 @@ SQL = {
     "p5_checks": f"SELECT DISTINCT chunk_no, char_start::int AS first, char_end::int AS last, true AS short, true AS shared, {_KIND} AS cut_kind FROM chunks WHERE length(text) > 4000",
     "p5_orders": "SELECT document_id, true AS single, min(ord)::int AS least, true AS gapless FROM chunks GROUP BY 1",
     "p6_found": f"{_WORD_RUNS} SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g)",
+    "p7_checks": "SELECT source, true AS own, true AS capped, true AS near FROM mix_targets",
 }

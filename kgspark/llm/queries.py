@@ -91,6 +91,12 @@ def p7_shares(spark, d):
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_checks(spark, d):
+    """Whether each source's part of the mixture is its own, within its cap and within 1 % of the tokens it can have."""
+    docs = table(spark, d, "documents")
+    return mixing.checked(*mixing.mixture(docs, table(spark, d, "mix_targets")), docs)
+
+
 def p8_found(spark, d):
     return sentences.sentence_units(table(spark, d, "documents"))
 
@@ -101,5 +107,5 @@ def p8_sentences(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_records, p3_found, p3_labels, p4_found, p4_nodes, p4_voted, p5_found, p5_pieces, p5_checks, p5_orders, p6_found, p6_coverage, p7_mixture, p7_shares, p8_found, p8_sentences)
+    for f in (p1_found, p1_groups, p2_found, p2_records, p3_found, p3_labels, p4_found, p4_nodes, p4_voted, p5_found, p5_pieces, p5_checks, p5_orders, p6_found, p6_coverage, p7_mixture, p7_shares, p7_checks, p8_found, p8_sentences)
 }
