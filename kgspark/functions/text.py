@@ -10,22 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
-# Shapes of known entity types, the default, and the shapes other types share out by hash.
+# Shapes of known entity types, and the shapes other types share out by hash.
 ENTITY_SHAPES = {
     "person": "ellipse", "organization": "round-rectangle", "location": "diamond", "concept": "hexagon",
     "technology": "octagon", "method": "rhomboid", "metric": "barrel", "event": "triangle", "product": "tag",
     "date": "cut-rectangle", "code_artifact": "rectangle",
 }
-ENTITY_TYPES = tuple(ENTITY_SHAPES)
-RELATION_TYPES = (
-    "is_a", "part_of", "uses", "causes", "created_by", "works_for", "located_in", "defined_as", "measures",
-    "depends_on", "precedes", "example_of", "contradicts", "related_to",
-)
 SPARE_SHAPES = (
     "hexagon", "ellipse", "round-rectangle", "diamond", "octagon", "rhomboid", "barrel", "triangle", "tag",
     "cut-rectangle", "rectangle", "pentagon", "star", "vee", "concave-hexagon",
 )
-DEFAULT_SHAPE = "hexagon"
 # Greetings, and words without a subject of their own.
 GREETINGS = tuple(
     """hi hii hiya hello helo hey heya yo howdy sup greetings morning afternoon evening gm thanks thank thankyou thx ty
@@ -64,6 +58,18 @@ def normalize(c: Column) -> Column:
     return F.when(ascii_, normalize_ascii(plain)).otherwise(_fold_udf(F.when(~ascii_, plain)))  # Arrow carries nulls for the rest
 
 
+@F.pandas_udf(types.ArrayType(types.StringType()))
+def _fold_list_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: None if xs is None else [fold(x) for x in xs])
+
+
+def normalized_list(c: Column) -> Column:
+    """normalize() of each item of a list. Lists of ASCII text stay in the JVM."""
+    plain = F.transform(c, lambda x: F.coalesce(x, F.lit("")))
+    ascii_ = F.coalesce(F.forall(plain, lambda x: x.rlike(r"^[\x00-\x7f]*$")), F.lit(True))
+    return F.when(ascii_, F.transform(plain, normalize_ascii)).otherwise(_fold_list_udf(F.when(~ascii_, plain)))
+
+
 def normalize_type(c: Column, fallback: str = "concept") -> Column:
     """Lower snake case of at most 40 characters; fallback where nothing is left."""
     t = F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9_]+", "_")
@@ -108,14 +114,19 @@ def acronym_of(norm: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_join(F.transform(words, lambda w: F.left(w, F.lit(1))), ""))
 
 
+def acronym_forms(norm: Column) -> Column:
+    """The letters of a normalised name without blanks, and the same without a plural s."""
+    bare = F.regexp_replace(norm, r"[^\p{L}\p{M}\p{N}_]", "")
+    return F.array(bare, F.regexp_replace(bare, "s+$", ""))
+
+
 def is_acronym_pair(a: Column, b: Column) -> Column:
-    """Whether one normalised name is the other's initials (2 to 6 letters), a plural s aside."""
+    """Whether one normalised name is the other's initials (2 to 6 letters of any script), a plural s and blanks aside."""
 
     def one(short: Column, long: Column) -> Column:
-        bare = F.regexp_replace(short, r"[^\w]", "")
         initials = acronym_of(long)
-        same = (bare == initials) | (F.regexp_replace(bare, "s+$", "") == initials)
-        return F.coalesce(same & F.length(bare).between(2, 6) & ~short.contains(" "), F.lit(False))
+        forms = acronym_forms(short)
+        return F.coalesce(initials.isNotNull() & F.exists(forms, lambda x: (x == initials) & F.length(x).between(2, 6)), F.lit(False))
 
     return one(a, b) | one(b, a)
 

@@ -2,62 +2,65 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgspark.operators.graph import degree
 from kgspark.plans.scratch import Scratch
+from kgspark.plans.skew import lookup
+from kgspark.plans.stars import star_edges
 
+#: Tables of levels that a search reads before they are written as one.
+MOST_TABLES = 20
+#: Characters of an id that divide the nodes of one level and degree.
+LEAD = 4
 CELL_W, CELL_H, GAP = 175, 125, 80
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
-    """(id, component): the least id that each node is connected with.
-
-    Labels spread along edges and then jump to their label's label, so rounds grow with the logarithm of the diameter.
-    """
-    scratch = Scratch(nodes.sparkSession)
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    both = scratch.save(both)
-    state = scratch.save(nodes.select("id").distinct().withColumn("component", F.col("id")))
-    for _ in range(most):
-        near = both.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("near"))
-        spread = state.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = state.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = spread.join(jump, "component", "left").select("id", F.coalesce(F.least("component", "further"), "component").alias("component"), "old")
-        new = scratch.save(new)
-        changed = new.where("component <> old").limit(1).count()
-        state = new.select("id", "component")
-        if not changed:
-            return state
-    raise RuntimeError(f"no fixed point after {most} rounds")
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least id that each node is connected with. Edges to what is no node do not connect."""
+    ids = nodes.select("id").dropna().distinct()
+    stars = star_edges(ids, edges.select("src", "dst")).select(F.col("hi").alias("id"), F.col("lo").alias("component"))
+    return ids.join(stars, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth): steps along edges from the nodes that no edge but a loop leads to; where a component has no such
-    node, from its least node. What a search does not reach stands two levels below the deepest one it did."""
+    node, from its least node. What a search does not reach stands two levels below the deepest one it did.
+
+    Each round writes the nodes it reaches and nothing else; those reached before are never written again."""
     scratch = Scratch(nodes.sparkSession)
-    ids = nodes.select("id").distinct()
-    edges = scratch.save(edges.where("src <> dst").select("src", "dst").distinct())
-    entered = edges.select(F.col("dst").alias("id")).distinct()
-    roots = ids.join(entered, "id", "left_anti")
-    comp = components(ids, edges)
+    ids = scratch.save(nodes.select("id").dropna().distinct())
+    edges = edges.where("src <> dst").select("src", "dst").distinct().join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    edges = scratch.save(edges.select("src", "dst"))
+    n = edges.count()
+    roots = ids.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    comp = scratch.save(components(ids, edges))
     rooted = comp.join(roots, "id", "left_semi").select("component").distinct()
     alone = comp.join(rooted, "component", "left_anti").groupBy("component").agg(F.min("id").alias("id")).select("id")
-    seen = scratch.save(roots.unionByName(alone).withColumn("depth", F.lit(0)))
-    front = seen
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
+    reached = [scratch.save(roots.unionByName(alone).withColumn("depth", F.lit(0)))]
     for d in count(1):
-        nxt = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        nxt = scratch.save(nxt.join(ids, "id", "left_semi").join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
+        front = reached[-1].select("id").join(out, "id").withColumnRenamed("id", "src")
+        nxt = lookup(edges, ["src"], front, "deg", n).select(F.col("dst").alias("id")).distinct()
+        for seen in reached:
+            nxt = nxt.join(seen.select("id"), "id", "left_anti")
+        nxt = scratch.save(nxt.withColumn("depth", F.lit(d)))
         if not nxt.limit(1).count():
             break
-        front, seen = nxt, scratch.save(seen.unionByName(nxt))
-    found = comp.join(seen, "id", "left")
-    deepest = found.groupBy("component").agg((F.max("depth") + 2).alias("below"))
-    return found.join(deepest, "component").select("id", F.coalesce("depth", "below").alias("depth"))
+        reached.append(nxt)
+        if len(reached) > MOST_TABLES:  # long chains: one table again, so plans stay short
+            reached = [scratch.save(reduce(DataFrame.unionByName, reached[:-1])), nxt]
+    found = comp.join(reduce(DataFrame.unionByName, reached), "id", "left")
+    deepest = scratch.save(found.groupBy("component").agg((F.max("depth") + 2).alias("below"), F.count("*").alias("n")))
+    placed = lookup(scratch.save(found), ["component"], deepest, "n", ids.count())
+    return scratch.result(placed.select("id", F.coalesce("depth", "below").alias("depth")))
 
 
 def node_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,41 +72,60 @@ def node_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def layered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, depth, x, y): nodes in rows by depth, the busiest first; a row wraps at 1.6 times the root of their number."""
-    n = nodes.select("id").distinct().count()
+    """(id, depth, x, y): nodes in rows by depth, the busiest first; a row wraps at 1.6 times the root of their number.
+
+    Places within a level are counted within each degree and behind the higher degrees, so no task orders a whole level
+    unless all its nodes have one degree; these are dealt out by a hash of their ids and counted in two steps."""
+    scratch = Scratch(nodes.sparkSession)
+    at = scratch.save(levels(nodes, edges).join(degree(nodes, edges), "id"))
+    n = at.count()
     cols = max(4, int(n**0.5 * 1.6 + 0.5))
-    at = levels(nodes, edges).join(degree(nodes, edges), "id")
-    w = Window.partitionBy("depth").orderBy(F.desc("degree"), "id")
-    at = at.withColumn("i", F.row_number().over(w) - 1)
-    per = at.groupBy("depth").agg(F.count("*").alias("n")).withColumn("rows", F.ceil(F.col("n") / cols))
+    # text order in two steps: by the first characters, then within those
+    lead = F.left("id", F.lit(LEAD))
+    part = at.groupBy("depth", "degree", lead.alias("lead")).agg(F.count("*").alias("c"))
+    before = Window.partitionBy("depth").orderBy(F.desc("degree"), "lead").rowsBetween(Window.unboundedPreceding, -1)
+    part = scratch.save(part.withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0))))
+    within = Window.partitionBy("depth", "degree", "lead").orderBy("id")
+    at = at.withColumn("lead", lead).withColumn("r", F.row_number().over(within) - 1)
+    at = lookup(at, ["depth", "degree", "lead"], part, "c", n).withColumn("i", F.col("base") + F.col("r"))
+    per = part.groupBy("depth").agg(F.sum("c").alias("n")).withColumn("rows", F.ceil(F.col("n") / cols))
     above = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)  # one row for each level
     per = per.withColumn("rows_above", F.coalesce(F.sum("rows").over(above), F.lit(0))).withColumn("gaps", F.row_number().over(Window.orderBy("depth")) - 1)
     row = F.floor(F.col("i") / cols)
     inrow = F.least(F.lit(cols), F.col("n") - row * cols)
-    return at.join(per, "depth").select(
+    per = scratch.save(per.withColumn("_n", F.col("n")))
+    return scratch.result(lookup(at, ["depth"], per, "_n", n).select(
         "id", "depth",
         ((F.col("i") % cols) * CELL_W - (inrow - 1) * CELL_W / 2).cast("double").alias("x"),
         ((F.col("rows_above") + row) * CELL_H + F.col("gaps") * CELL_H * 0.35).cast("double").alias("y"),
-    )
+    ))
 
 
 def shelf_pack(boxes: DataFrame, by: str = "canvas") -> DataFrame:
-    """(by, box, w, h, x, y): the boxes of each canvas in rows, the largest first, without overlap."""
-    import pandas as pd
+    """(by, box, w, h, x, y): the boxes of each canvas in shelves, the largest first, without overlap.
+
+    A shelf is as wide as the largest box or 1.35 times the root of all areas, GAP lies between boxes and shelves. Which
+    box opens a shelf is a chain of searches in the running width of the sorted boxes; a canvas is what one drawing
+    holds, so its boxes are numbers in one array."""
+
+    def opened(widths: np.ndarray, wide: float) -> np.ndarray:
+        """Places in the order of boxes at which shelves begin."""
+        left = np.concatenate(([0.0], np.cumsum(widths + GAP)))  # where each box would stand on one endless shelf
+        at, i = [], 0
+        while i < len(widths):
+            at.append(i)
+            i = max(i + 1, int(np.searchsorted(left[1:] - GAP - left[i], wide, "right")))
+        return np.array(at)
 
     def place(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.assign(area=df["w"] * df["h"]).sort_values(["area", "box"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        wide = max(df["w"].iloc[0], df["area"].sum() ** 0.5 * 1.35)
-        x = y = tall = 0.0
-        xs, ys = [], []
-        for w, h in zip(df["w"], df["h"]):
-            if x > 0 and x + w > wide:
-                x, y, tall = 0.0, y + tall + GAP, 0.0
-            xs.append(x)
-            ys.append(y)
-            x += w + GAP
-            tall = max(tall, h)
-        return df.assign(x=xs, y=ys)[[by, "box", "w", "h", "x", "y"]]
+        area = df["w"] * df["h"]
+        df = df.assign(area=area).sort_values(["area", "box"], ascending=[False, True], kind="stable")
+        w, h = df["w"].to_numpy(), df["h"].to_numpy()
+        at = opened(w, max(w[0], area.sum() ** 0.5 * 1.35))
+        shelf = np.searchsorted(at, np.arange(len(w)), "right") - 1
+        left = np.cumsum(w + GAP) - w - GAP
+        top = np.concatenate(([0.0], np.cumsum(np.maximum.reduceat(h, at) + GAP)))
+        return df.assign(x=left - left[at][shelf], y=top[shelf])[[by, "box", "w", "h", "x", "y"]]
 
     own = boxes.select(by, "box", F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h"))
     kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}

@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgspark.functions.text import normalize, short_name
+from kgspark.functions.text import normalize, normalized_list, short_name
+from kgspark.operators.triples import EXTRACTED, entity_id
+from kgspark.plans.scratch import Scratch
 
-MOST_CONCEPTS = 14
+MOST_CONCEPTS, SECTION_CAP = 14, 28
 # Relations that say nothing, and the list fields of a concept.
 VAGUE = ("related_to", "related to", "associated with", "relates to", "linked to")
 LISTS = ("how_it_works", "strengths", "limitations", "when_to_use", "examples")
 
 
 def _merged_list(c: str):
-    """All items of a group's lists in order, each once by its normalised form."""
-    seen = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c]))
-    return F.array_distinct(F.filter(F.transform(seen, lambda x: F.trim(x)), lambda x: x != ""))
+    """All items of a group's lists in order, the first spelling of each normalised form; `c` and `c`_norm are alike."""
+    pairs = F.arrays_zip(F.col(c).alias("v"), F.col(f"_n_{c}").alias("n"))
+    seen = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", pairs.alias("p")))), lambda x: x["p"]))
+    numbered = F.transform(seen, lambda x, i: F.struct(x["v"].alias("v"), x["n"].alias("n"), i.alias("i")))
+    told = F.filter(numbered, lambda x: x["n"] != "")
+    first = F.filter(told, lambda x: ~F.exists(told, lambda y: (y["n"] == x["n"]) & (y["i"] < x["i"])))
+    return F.transform(first, lambda x: F.trim(x["v"]))
 
 
 def folded(concepts: DataFrame, cap: int = MOST_CONCEPTS) -> DataFrame:
@@ -31,17 +38,18 @@ def folded(concepts: DataFrame, cap: int = MOST_CONCEPTS) -> DataFrame:
     c = concepts.withColumn("original", normalize(F.col("name"))).withColumn("name", short_name(F.col("name"))).withColumn("key", normalize(F.col("name")))
     c = c.where("key <> ''")
     for x in ("requires", *LISTS):
-        c = c.withColumn(x, F.coalesce(x, F.array().cast("array<string>")))
+        c = c.withColumn(x, F.coalesce(x, F.array().cast("array<string>"))).withColumn(f"_n_{x}", normalized_list(F.col(x)))
     blank = lambda x: F.nullif(F.col(x), F.lit(""))
     one = c.groupBy("document_id", "key").agg(
         F.min_by("name", "seq").alias("name"),
-        F.min("seq").alias("seq"),
+        F.min("seq").alias("_first"),
         F.when(F.bool_or(F.col("importance") == "core"), "core").otherwise(F.min_by("importance", "seq")).alias("importance"),
         F.min_by(blank("one_liner"), F.when(blank("one_liner").isNotNull(), F.col("seq"))).alias("one_liner"),
         F.min_by(blank("quote"), F.when(blank("quote").isNotNull(), F.col("seq"))).alias("quote"),
         F.collect_set("original").alias("aliases"),
         *[_merged_list(x).alias(x) for x in ("requires", *LISTS)],
     )
+    one = one.withColumnRenamed("_first", "seq")
     weight = sum((F.size(x) for x in LISTS[1:]), F.size(LISTS[0]))
     w = Window.partitionBy("document_id").orderBy(F.desc(F.col("importance") == "core"), F.desc("weight"), "seq")
     return one.withColumn("weight", weight).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
@@ -144,6 +152,79 @@ def prerequisite_edges(links: DataFrame, needs: DataFrame) -> DataFrame:
     return out.unionByName(made)
 
 
+@dataclass
+class MapTables:
+    """What a concept map adds to a graph."""
+
+    entities: DataFrame
+    entity_documents: DataFrame
+    mentions: DataFrame
+    edges: DataFrame
+    documents: DataFrame
+
+
+def map_tables(kept: DataFrame, links: DataFrame, needs: DataFrame, documents: DataFrame, chunks: DataFrame) -> MapTables:
+    """Upsert tables of tidied maps. kept as folded() yields it, links as tidy_links(), needs as without_cycles();
+    documents: workspace_id, document_id, seq (the order of writing), teaches, contrasts; chunks as grounded() asks for.
+
+    All entities are concepts; the latest map that names one gives its name and fields. A concept is mentioned where its
+    quote is grounded, and nowhere if it is not. Edges keep the relation as it is stated, and those whose ends are not
+    on the map vanish."""
+    ws = documents.select("document_id", "workspace_id", F.col("seq").alias("_w"))
+    node = kept.join(ws, "document_id").withColumn("id", entity_id(F.col("workspace_id"), F.lit("concept"), F.col("key")))
+    fields = ["name", "importance", "one_liner", "quote", *LISTS]
+    latest = F.max_by(F.struct(*fields), F.struct("_w", "seq")).alias("f")
+    entities = node.groupBy("workspace_id", "id", F.col("key").alias("canonical_name")).agg(latest).select("workspace_id", "id", "canonical_name", F.lit("concept").alias("type"), "f.*")
+    at = grounded(node.select("document_id", F.col("id").alias("key"), "quote"), chunks)
+    mentions = at.join(ws, "document_id").select("workspace_id", F.col("key").alias("entity_id"), "document_id", "chunk_id", F.array(F.struct("start", "end")).alias("spans"))
+    ids = node.select("document_id", "key", "id", "workspace_id")
+    end = lambda c, to: ids.select("document_id", F.col("key").alias(c), F.col("id").alias(to))
+    l = links.withColumn("_s", normalize(F.col("source"))).withColumn("_t", normalize(F.col("target")))
+    l = l.join(end("_s", "src"), ["document_id", "_s"]).join(end("_t", "dst"), ["document_id", "_t"]).select("document_id", "seq", "src", "dst", F.col("relation").alias("type"), "why")
+    n = needs.join(end("key", "src"), ["document_id", "key"]).join(end("need", "dst"), ["document_id", "need"]).select("document_id", "src", "dst")
+    e = prerequisite_edges(l, n).join(ws, "document_id")
+    last = F.max_by(F.struct("why", "prerequisite"), F.struct("_w", "prerequisite")).alias("f")
+    edges = e.groupBy("workspace_id", "src", "type", "dst").agg(last).select("workspace_id", "src", "type", "dst", "f.*", F.lit(EXTRACTED).alias("confidence"))
+    return MapTables(entities, node.select("workspace_id", F.col("id").alias("entity_id"), "document_id").distinct(), mentions, edges, documents.select("workspace_id", "document_id", "teaches", "contrasts"))
+
+
+def consolidated(concepts: DataFrame, links: DataFrame, consolidate, cap: int = MOST_CONCEPTS) -> tuple[DataFrame, DataFrame]:
+    """Concepts (folded at cap) and links of documents whose sections were mapped one by one.
+
+    Where more than cap concepts are left, consolidate(list of names) -> [{name, from: [names], importance, requires}]
+    says which of them stay, which are one, and what these require; links follow the new names. If it fails, the first
+    cap concepts stay, with all links."""
+    first = folded(concepts, SECTION_CAP)
+    many = first.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("l")).where(F.size("l") > cap)
+    many = many.select("document_id", F.transform("l", lambda x: x["name"]).alias("names"))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = []
+            for d, names in zip(df["document_id"], df["names"]):
+                try:
+                    for c in consolidate(list(names)):
+                        out += [(d, old, c["name"], c.get("importance"), c.get("requires")) for old in {c["name"], *c.get("from", [])}]
+                except Exception:  # noqa: BLE001 - the first ones stay
+                    out = [x for x in out if x[0] != d]
+            yield pd.DataFrame(out, columns=["document_id", "old", "new", "imp", "req"])
+
+    kind = concepts.schema["document_id"].dataType.simpleString()
+    scratch = Scratch(concepts.sparkSession)
+    told = scratch.save(many.mapInPandas(ask, f"document_id {kind}, old string, new string, imp string, req array<string>"))
+    told = told.withColumn("_k", normalize(F.col("old"))).dropDuplicates(["document_id", "_k"]).drop("old")
+    done = told.select("document_id").distinct()
+    named = concepts.withColumn("_k", normalize(short_name(F.col("name")))).join(told, ["document_id", "_k"])
+    named = named.withColumn("name", F.col("new")).withColumn("importance", F.coalesce("imp", "importance")).withColumn("requires", F.coalesce("req", "requires"))
+    rest = concepts.join(done, "document_id", "left_anti")
+    kept = folded(named.select(*concepts.columns).unionByName(rest.select(*concepts.columns)), cap)
+    out = links
+    for c in ("source", "target"):
+        to = told.select("document_id", F.col("_k").alias("_l"), F.col("new").alias("_n"))
+        out = out.withColumn("_l", normalize(short_name(F.col(c)))).join(to, ["document_id", "_l"], "left").withColumn(c, F.coalesce("_n", c)).drop("_l", "_n")
+    return kept, out.select(*links.columns)
+
+
 def sections(docs: DataFrame, budget: int, text: str = "text") -> DataFrame:
     """(document_id, section, text): a document's headed sections, joined while they fit the budget of tokens."""
     from kgspark.operators.chunking import HEADING
@@ -196,7 +277,7 @@ def parsed_maps(replies: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-SINGLE_PASS_TOKENS, SECTION_CAP = 50_000, 28
+SINGLE_PASS_TOKENS = 50_000
 
 
 def replies(docs: DataFrame, mapper, budget: int = SINGLE_PASS_TOKENS) -> DataFrame:

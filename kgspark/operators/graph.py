@@ -154,6 +154,43 @@ def delete_documents(entities: DataFrame, gone: DataFrame) -> DataFrame:
     return kept.withColumn("documents", F.when(F.col("_gone").isNull(), F.col("documents")).otherwise(F.col("_left"))).drop("_n", "_gone", "_left")
 
 
+def delete_document_subgraph(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """All tables of a graph without the documents of gone (workspace_id, document_id).
+
+    tables: documents (doc_id), chunks, mentions, entities and edges; each has workspace_id. Chunks, mentions and the
+    documents go; entities lose the documents and go if none is left; edges of entities that went go with them, others
+    stay. A workspace's documents are its own: the same number elsewhere is another document."""
+    gone = gone.select("workspace_id", F.col("document_id").cast("string").alias("document_id")).distinct()
+    named = lambda df, c: df.withColumn("_d", F.col(c).cast("string")).join(gone.withColumnRenamed("document_id", "_d"), ["workspace_id", "_d"], "left_anti").select(*df.columns)
+    scope = lambda df: F.concat_ws("\n", "workspace_id", df)
+    keyed = tables["entities"].withColumn("_own", F.col("documents")).withColumn("documents", F.transform("documents", lambda x: F.concat_ws("\n", "workspace_id", x)))
+    left = delete_documents(keyed, gone.select(scope("document_id").alias("document_id")))
+    cut = F.transform("documents", lambda x: F.substring_index(x, "\n", -1))
+    left = left.withColumn("documents", F.when(F.size("_own") == F.size("documents"), F.col("_own")).otherwise(cut)).drop("_own")
+    dead = tables["entities"].select("workspace_id", "id").join(left.select("workspace_id", "id"), ["workspace_id", "id"], "left_anti").distinct()
+    end = lambda c: dead.withColumnRenamed("id", c)
+    return {
+        "documents": named(tables["documents"], "doc_id"),
+        "chunks": named(tables["chunks"], "document_id"),
+        "mentions": named(tables["mentions"], "document_id").join(end("entity_id"), ["workspace_id", "entity_id"], "left_anti").select(*tables["mentions"].columns),
+        "entities": left.select(*tables["entities"].columns),
+        "edges": tables["edges"].join(end("src"), ["workspace_id", "src"], "left_anti").join(end("dst"), ["workspace_id", "dst"], "left_anti").select(*tables["edges"].columns),
+    }
+
+
+def matched(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """wanted (key columns) with matched: whether an edit of these finds any row."""
+    hit = rows.select(*key).join(wanted.select(*key), key, "left_semi").distinct().withColumn("_m", F.lit(True))
+    return wanted.select(*key).distinct().join(hit, key, "left").select(*key, F.coalesce("_m", F.lit(False)).alias("matched"))
+
+
+def passages_in_order(entities: DataFrame, mentions: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, filename, document_id, chunk_id, ord, page) of each entity's passages with n, their number by document name
+    and ord; an entity without any keeps one row of nulls. One row a passage, so a much mentioned entity is no long list."""
+    p = passages(mentions, chunks, documents).select(F.col("entity_id").alias("id"), "filename", "document_id", "chunk_id", "ord", "page").distinct()
+    return entities.select("id").distinct().join(p, "id", "left")
+
+
 def shared_color(entities: DataFrame) -> DataFrame:
     """(color) the one colour of all entities, null if they differ; a missing colour is a value of its own."""
     n = F.countDistinct(F.coalesce("color", F.lit("\0")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,23 @@ def without_furniture(lines: DataFrame) -> DataFrame:
     return kept.drop("key", "_f")
 
 
+def bodies_of(pages: list[list[tuple[str, float]]]) -> list[list[str]]:
+    """without_furniture() for the pages (lines with their place) of one document that a reader holds in memory."""
+
+    def key(line: str) -> str:
+        return re.sub(r"\d+", "#", " ".join(line.split()).casefold())
+
+    def where(y: float) -> str | None:
+        return "top" if y <= BAND else "bottom" if y >= 1 - BAND else None
+
+    if len(pages) < LEAST_PAGES:
+        return [[line for line, _ in page] for page in pages]
+    seen = Counter(x for page in pages for x in {(where(y), key(line)) for line, y in page} if x[0] and x[1])
+    least = max(LEAST_PAGES - 1, int(len(pages) * SHARE))
+    marks = {k for (_, k), n in seen.items() if n >= least}
+    return [[line for line, y in page if not (where(y) and key(line) in marks)] for page in pages]
+
+
 def strip_references_of(text: str) -> str:
     """text up to a heading of references that stands in its last 40 percent of lines."""
     lines = text.splitlines(keepends=True)

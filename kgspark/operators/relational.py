@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kgspark.streaming.ingest import limited_table
+
 # Progress shown for the stages of an ingest, and the roles of a share link.
 PROGRESS = {"parse": 5, "chunk": 15, "write": 70, "embed": 90, "ready": 100}
 ROLES = ("viewer", "editor")
+#: Hits and seconds of the limits in use.
+LIMITS = {"signup": (5, 3600), "login": (10, 900), "chat": (200, 86_400), "quiz": (200, 86_400)}
 QUIZ_CHARS, OPTIONS = 24_000, 4
 
 
@@ -68,6 +72,16 @@ def responses(quizzes: DataFrame, attempts: DataFrame) -> DataFrame:
     return quizzes.join(attempts.groupBy("quiz_id").agg(F.count("*").alias("responses")), "quiz_id", "left").select("quiz_id", F.coalesce("responses", F.lit(0)).cast("bigint").alias("responses"))
 
 
+def attempts_of(attempts: DataFrame, quizzes: DataFrame, users: DataFrame) -> DataFrame:
+    """Attempts with their quiz's title and their user's email, for the pages of a quiz and of a user."""
+    return attempts.join(quizzes.select("quiz_id", "title"), "quiz_id").join(users.select("user_id", "email"), "user_id")
+
+
+def token_hash(token: Column) -> Column:
+    """What is stored of a session's token."""
+    return F.sha2(token, 256)
+
+
 def new_attempts(attempts: DataFrame, existing: DataFrame, quizzes: DataFrame) -> DataFrame:
     """Attempts of users who have none at that quiz and do not own it."""
     fresh = attempts.dropDuplicates(["quiz_id", "user_id"]).join(existing.select("quiz_id", "user_id"), ["quiz_id", "user_id"], "left_anti")
@@ -114,18 +128,14 @@ def safe_next(c: Column) -> Column:
     return F.coalesce(c.startswith("/") & ~c.startswith("//") & ~c.contains("\\"), F.lit(False))
 
 
-def from_cache(requests: DataFrame, key: str, at: str, expires: str, ttl_seconds: int = 30) -> DataFrame:
-    """requests with hit: whether the key was looked up no more than ttl_seconds before and its session, as known then,
-    still runs. Hits do not renew an entry. In a run of lookups without a longer pause, entries are taken to be filled
-    by the first lookup of each ttl_seconds counted from the run's start; a live cache may differ within one such step."""
-    t = F.unix_micros(F.col(at).cast("timestamp"))
-    end = F.unix_micros(F.col(expires).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy("_t")
-    own = requests.withColumn("_t", t).withColumn("_gap", F.col("_t") - F.lag("_t").over(w))
-    # a pause longer than the time to live starts a new run; in a run, entries are filled at its start and each time to live after
-    runs = own.withColumn("_run", F.sum(F.when(F.coalesce("_gap", F.lit(1 << 62)) > ttl_seconds * 1_000_000, 1).otherwise(0)).over(w))
-    start = Window.partitionBy(key, "_run")
-    span = F.floor((F.col("_t") - F.min("_t").over(start)) / (ttl_seconds * 1_000_000))
-    first = Window.partitionBy(key, "_run", "_span").orderBy("_t")
-    out = runs.withColumn("_span", span).withColumn("_n", F.row_number().over(first))
-    return out.withColumn("hit", (F.col("_n") > 1) & (end > F.col("_t"))).drop("_t", "_gap", "_run", "_span", "_n")
+def from_cache(requests: DataFrame, key: str, at: str, tie: str, expires: str, ttl_seconds: int = 30) -> DataFrame:
+    """requests with hit: whether the key was put in the cache no more than ttl_seconds before and its session, as known
+    then, still runs. Hits do not renew an entry: a lookup that finds none fills it, which is a limit of one fill in
+    ttl_seconds. Equal times go by tie; rows without key or time are left out."""
+    filled = limited_table(requests, key, at, tie, ttl_seconds, 1).select(key, tie, F.col("allowed").alias("_fills"))
+    out = requests.join(filled, [key, tie])
+    return out.withColumn("hit", ~F.col("_fills") & (F.col(expires) > F.col(at))).drop("_fills")
+
+
+def quiz_title(title: Column, most: int = 300) -> Column:
+    return F.left(title, F.lit(most))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 from pyspark.sql.window import Window
 
-from kgspark.functions.text import acronym_of, is_acronym_pair, normalize, ratio, ratio_can_reach
+from kgspark.functions.text import acronym_forms, acronym_of, is_acronym_pair, normalize, ratio, ratio_can_reach
 from kgspark.operators import vectors
 from kgspark.operators.canvas import components
 from kgspark.operators.graph import degree
@@ -132,8 +132,7 @@ def acronym_pairs(named: DataFrame) -> DataFrame:
     """(block, id_a, name_a, id_b, name_b, score) with id_a < id_b: pairs of a block of which one name is the other's
     initials, met on these; score is ACRONYM_ASK. named: block, id, name."""
     n = named.withColumn("n", normalize(F.col("name"))).where("n <> ''")
-    bare = F.regexp_replace("n", r"[^\w]", "")
-    short = n.where(~F.col("n").contains(" ")).select("block", F.col("id").alias("id_a"), F.col("name").alias("name_a"), F.col("n").alias("n_a"), F.explode(F.array_distinct(F.array(bare, F.regexp_replace(bare, "s+$", "")))).alias("key"))
+    short = n.select("block", F.col("id").alias("id_a"), F.col("name").alias("name_a"), F.col("n").alias("n_a"), F.explode(F.array_distinct(acronym_forms(F.col("n")))).alias("key")).where(F.length("key").between(2, 6))
     long = n.select("block", F.col("id").alias("id_b"), F.col("name").alias("name_b"), F.col("n").alias("n_b"), acronym_of(F.col("n")).alias("key"))
     met = short.join(long, ["block", "key"]).where(is_acronym_pair(F.col("n_a"), F.col("n_b")) & (F.col("id_a") != F.col("id_b")))
     return _ordered(met.select("block", "id_a", "name_a", "id_b", "name_b", F.lit(ACRONYM_ASK).alias("score")).distinct())
@@ -197,3 +196,21 @@ def redirected(edges: DataFrame, renames: DataFrame, keep_loops: bool = True) ->
     moved = moved.withColumn("_from", F.coalesce("_s", "src")).withColumn("_to", F.coalesce("_d", "dst"))
     out = moved.groupBy(F.col("_from").alias("src"), "type", F.col("_to").alias("dst")).agg(F.max("confidence").alias("confidence"))
     return out if keep_loops else out.where("src <> dst")
+
+
+def redirected_mentions(mentions: DataFrame, renames: DataFrame) -> DataFrame:
+    """mentions (workspace_id, entity_id, document_id, chunk_id and spans, if there are any) of merged entities as their
+    survivor's; mentions of the same chunk become one, with the spans of all."""
+    to = renames.select(F.col("id").alias("entity_id"), "survivor")
+    moved = mentions.join(to, "entity_id", "left").withColumn("entity_id", F.coalesce("survivor", "entity_id")).drop("survivor")
+    key = ["workspace_id", "entity_id", "document_id", "chunk_id"]
+    if "spans" not in mentions.columns:
+        return moved.select(*key).distinct()
+    own = moved.select(*key, F.explode_outer("spans").alias("s"))
+    return own.groupBy(*key).agg(F.array_sort(F.collect_set("s")).alias("spans"))
+
+
+def merge_counts(entities: DataFrame, renames: DataFrame) -> DataFrame:
+    """(examined, groups, merged): candidates looked at, groups of two or more found in them, and entities merged away."""
+    n = candidates(entities).agg(F.count("*").alias("examined"))
+    return n.join(F.broadcast(renames.agg(F.countDistinct("survivor").alias("groups"), F.count("*").alias("merged"))))

@@ -31,7 +31,9 @@ def linked_entities(questions: DataFrame, candidates: DataFrame, threshold: floa
     q = questions.select("question_id", "document_id", normalize(F.col("question")).alias("q"))
     c = candidates.withColumn("n", normalize(F.col("name"))).where("n <> ''")
     met = q.join(c, "document_id").where((F.length("n") > 3) | F.array_contains(F.split("q", " "), F.col("n")))
-    met = met.withColumn("score", F.when(F.contains("q", "n"), F.lit(100.0)).otherwise(partial_ratio("n", "q"))).where(F.col("score") >= threshold)
+    whole = F.contains("q", "n")
+    score = F.lit(100.0) if threshold >= 100 else F.when(whole, F.lit(100.0)).otherwise(partial_ratio("n", "q"))
+    met = (met.where(whole) if threshold >= 100 else met).withColumn("score", score).where(F.col("score") >= threshold)
     return _top(met, ["question_id"], [F.desc("score"), F.desc(F.length("name")), "id"], most).select("question_id", "id", "name", "score", "rank")
 
 
@@ -121,3 +123,12 @@ def route(question: Column, found: Column) -> Column:
 def sources(chunks: DataFrame) -> DataFrame:
     """Numbered passages of an answer with previews. chunks: question_id, rank, document, page, chunk_id, text."""
     return chunks.select("question_id", F.col("rank").alias("n"), "document", "page", "chunk_id", F.left("text", F.lit(PREVIEW_CHARS)).alias("preview"))
+
+
+def stats(questions: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """(question_id, entities, triples, chunks) found for each question; 0 where there is nothing."""
+    out = questions.select("question_id").distinct()
+    for name, part in (("entities", "links"), ("triples", "triples"), ("chunks", "chunks")):
+        n = found[part].groupBy("question_id").agg(F.count("*").alias(name))
+        out = out.join(n, "question_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out

@@ -55,6 +55,8 @@ class GraphTables:
     edges: DataFrame
     edge_chunks: DataFrame
     mentions: DataFrame
+    #: (written): the number of triples that survived.
+    written: DataFrame
 
 
 def graph_of_triples(triples: DataFrame) -> GraphTables:
@@ -62,7 +64,12 @@ def graph_of_triples(triples: DataFrame) -> GraphTables:
 
     triples: workspace_id, document_id, chunk_id, seq, subject, subject_type, predicate, object, object_type, confidence.
     The first name of an entity stays; an edge keeps its best confidence; rows whose names normalise to nothing vanish.
+    With subject_span and object_span (struct of start and end) mentions hold the spans of all their triples in order; a
+    null span adds nothing.
     """
+    for c in ("subject_span", "object_span"):
+        if c not in triples.columns:
+            triples = triples.withColumn(c, F.lit(None).cast("struct<start:int,end:int>"))
     t = (
         triples.withColumn("st", normalize_type(F.col("subject_type")))
         .withColumn("ot", normalize_type(F.col("object_type")))
@@ -77,8 +84,8 @@ def graph_of_triples(triples: DataFrame) -> GraphTables:
         "workspace_id", "document_id", "chunk_id", "seq",
         F.explode(
             F.array(
-                F.struct(F.col("src").alias("id"), F.col("subject").alias("name"), F.col("sn").alias("canonical_name"), F.col("st").alias("type"), F.lit(0).alias("side")),
-                F.struct(F.col("dst").alias("id"), F.col("object").alias("name"), F.col("on").alias("canonical_name"), F.col("ot").alias("type"), F.lit(1).alias("side")),
+                F.struct(F.col("src").alias("id"), F.col("subject").alias("name"), F.col("sn").alias("canonical_name"), F.col("st").alias("type"), F.lit(0).alias("side"), F.col("subject_span").alias("span")),
+                F.struct(F.col("dst").alias("id"), F.col("object").alias("name"), F.col("on").alias("canonical_name"), F.col("ot").alias("type"), F.lit(1).alias("side"), F.col("object_span").alias("span")),
             )
         ).alias("e"),
     ).select("workspace_id", "document_id", "chunk_id", "seq", "e.*")
@@ -94,10 +101,20 @@ def graph_of_triples(triples: DataFrame) -> GraphTables:
         ends.select("workspace_id", F.col("id").alias("entity_id"), "document_id").distinct(),
         edges,
         t.where("chunk_id is not null").select("workspace_id", "src", F.col("kind").alias("type"), "dst", "chunk_id").distinct(),
-        ends.where("chunk_id is not null").select("workspace_id", F.col("id").alias("entity_id"), "document_id", "chunk_id").distinct(),
+        ends.where("chunk_id is not null")
+        .groupBy("workspace_id", F.col("id").alias("entity_id"), "document_id", "chunk_id")
+        .agg(F.array_sort(F.collect_set("span")).alias("spans")),
+        t.agg(F.count("*").alias("written")),
     )
 
 
+def merge_mentions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Mentions of both, one for each entity and chunk, with the spans of all; a null list adds nothing."""
+    key = ["workspace_id", "entity_id", "document_id", "chunk_id"]
+    both = old.select(*key, "spans").unionByName(new.select(*key, "spans"))
+    return both.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))))).alias("spans"))
+
+
 def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """Edges of both, one for each (workspace_id, src, type, dst), with the better confidence."""
     return old.unionByName(new).groupBy("workspace_id", "src", "type", "dst").agg(F.max("confidence").alias("confidence"))

@@ -38,6 +38,17 @@ def mean_pooled(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
 
 
+def pooled(rows: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
+    """(by, embedding): unit vectors of the means of each group's vectors, summed place by place before the shuffle; a mean
+    without length stays as it is. Null vectors count for nothing."""
+    places = rows.where(F.col(vector).isNotNull()).select(by, F.posexplode(vector).alias("i", "v"))
+    means = places.groupBy(by, "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    whole = means.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p"))  # as many as there are dimensions
+    m = whole.select(by, F.transform("p", lambda x: x["v"]).alias("m"))
+    size = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x))
+    return m.withColumn("_n", size).select(by, F.transform("m", lambda x: x / F.greatest("_n", F.lit(1e-12))).alias("embedding"))
+
+
 def embedded(rows: DataFrame, text: str = "text", embed: Callable[[list[str]], np.ndarray] = hashing_embedder) -> DataFrame:
     """rows with embedding, of the first EMBED_CHARS characters of text."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "embedding")

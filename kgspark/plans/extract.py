@@ -25,7 +25,8 @@ def register(key: str):
 
 
 class Extractor:
-    """load() runs once in each worker; extract() returns (subject, predicate, object, subject_type, object_type, confidence)."""
+    """load() runs once in each worker; extract() returns (subject, predicate, object, subject_type, object_type, confidence)
+    and, if it knows them, the (start, end) of subject and object in the text."""
 
     def load(self) -> None: ...
 
@@ -35,8 +36,15 @@ class Extractor:
 
 SCHEMA = (
     "workspace_id string, document_id string, chunk_id string, seq bigint, subject string, predicate string, object string, "
-    "subject_type string, object_type string, confidence double, seconds double, error string"
+    "subject_type string, object_type string, confidence double, subject_span struct<start:int,end:int>, object_span struct<start:int,end:int>, seconds double, error string"
 )
+NAMES = "workspace_id document_id chunk_id seq subject predicate object subject_type object_type confidence subject_span object_span seconds error".split()
+
+
+def _spanned(found: tuple) -> tuple:
+    """What an extractor returned, with its spans as structs or null."""
+    spans = [{"start": a, "end": b} for a, b in found[6:8]]
+    return (*found[:6], *spans, *[None] * (2 - len(spans)))
 
 
 def run(chunks: DataFrame, key: str) -> DataFrame:
@@ -53,10 +61,10 @@ def run(chunks: DataFrame, key: str) -> DataFrame:
                 try:
                     found = model.extract(t)
                     took = time.perf_counter() - t0
-                    out += [(w, d, c, int(o) * 100_000 + i, *x, took, None) for i, x in enumerate(found)]
+                    out += [(w, d, c, int(o) * 100_000 + i, *_spanned(x), took, None) for i, x in enumerate(found)]
                 except Exception as e:  # noqa: BLE001
-                    out.append((w, d, c, int(o) * 100_000, *[None] * 6, time.perf_counter() - t0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+                    out.append((w, d, c, int(o) * 100_000, *[None] * 8, time.perf_counter() - t0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=NAMES)
 
     own = chunks.select("workspace_id", F.col("document_id").cast("string").alias("document_id"), "chunk_id", "ord", "text")
     return own.mapInPandas(scan, SCHEMA)
@@ -75,7 +83,7 @@ class PatternExtractor(Extractor):
         self.rx = re.compile(rf"\b({name}) ({'|'.join(self.VERBS)}) ({name})")
 
     def extract(self, text: str) -> list[tuple]:
-        return [(m[1], self.VERBS[m[2]], m[3], "concept", "concept", 0.9) for m in self.rx.finditer(text)]
+        return [(m[1], self.VERBS[m[2]], m[3], "concept", "concept", 0.9, m.span(1), m.span(3)) for m in self.rx.finditer(text)]
 
 
 #: A word of six letters or more, of any script, with the marks that belong to them.
@@ -83,7 +91,8 @@ WORD = r"\p{L}[\p{L}\p{M}]{5,}"
 
 
 def lexical_mentions(chunks: DataFrame, least: int = 2, most: int | None = None, word: str = WORD) -> DataFrame:
-    """(workspace_id, document_id, chunk_id, term, df): words that occur in least chunks of their workspace or more.
+    """(workspace_id, document_id, chunk_id, term, df): words that occur in least chunks of their workspace or more. Chunks
+    without a workspace are nobody's and have no terms.
 
     With most, words of more chunks than that are left out; this is for a caller that wants rare words only."""
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0))))
@@ -94,31 +103,34 @@ def lexical_mentions(chunks: DataFrame, least: int = 2, most: int | None = None,
     return seen.join(df, ["workspace_id", "term"]).select("workspace_id", "document_id", "chunk_id", "term", "df")
 
 
+def _pairs(scratch: Scratch, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbered terms (workspace_id, term, mentions, no), and (a, b) with a < b, numbers of two terms, for each chunk that
+    holds both. Pairs are made from the terms of each chunk, so a chunk's length bounds them and not a term's frequency."""
+    m = scratch.save(mentions.where("document_id is not null and chunk_id is not null"))
+    terms = mentions.groupBy("workspace_id", "term").agg(F.count("*").alias("mentions"), F.max("df").alias("df"))
+    terms = scratch.save(terms.withColumn("no", F.monotonically_increasing_id()))
+    numbered = m.join(terms.select("workspace_id", "term", "no"), ["workspace_id", "term"])
+    lists = numbered.groupBy("workspace_id", "document_id", "chunk_id").agg(F.array_sort(F.collect_set("no")).alias("l"))
+    ahead = lists.select("l", F.posexplode("l").alias("i", "a"))
+    return terms, ahead.select("a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b"))
+
+
 def lexical_edges(mentions: DataFrame) -> DataFrame:
     """(workspace_id, src, dst, shared, confidence): terms that share chunks, in alphabetical order. confidence is
-    the share of the rarer one's chunks that are shared. mentions as lexical_mentions() yields them."""
-    a = mentions.select("workspace_id", "document_id", "chunk_id", F.col("term").alias("src"), F.col("df").alias("a"))
-    b = mentions.select("workspace_id", "document_id", "chunk_id", F.col("term").alias("dst"), F.col("df").alias("b"))
-    both = a.join(b, ["workspace_id", "document_id", "chunk_id"]).where("src < dst")
-    return (
-        both.groupBy("workspace_id", "src", "dst")
-        .agg(F.count("*").alias("shared"), F.least(F.min("a"), F.min("b")).alias("rarer"))
-        .select("workspace_id", "src", "dst", "shared", (F.col("shared") / F.col("rarer")).alias("confidence"))
-    )
+    the share of the rarer one's chunks that are shared. mentions as lexical_mentions() yields them; terms are numbers
+    while pairs are shuffled."""
+    terms, pairs = _pairs(Scratch(mentions.sparkSession), mentions)
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    end = lambda c, t, n: terms.select(F.col("no").alias(c), "workspace_id", F.col("term").alias(t), F.col("df").alias(n))
+    named = counted.join(end("a", "x", "n"), "a").join(end("b", "y", "m").drop("workspace_id"), "b")
+    return named.select("workspace_id", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "shared", (F.col("shared") / F.least("n", "m")).alias("confidence"))
 
 
 def lexical_degrees(mentions: DataFrame) -> DataFrame:
     """(workspace_id, term, mentions, degree): the chunks that mention a term, and the other terms in any of these.
-
-    Pairs are made from the terms of each chunk, so a chunk's length bounds them and not a term's frequency; they are
-    numbers while they are shuffled. mentions as lexical_mentions() yields them."""
+    mentions as lexical_mentions() yields them."""
     scratch = Scratch(mentions.sparkSession)
-    m = scratch.save(mentions)
-    terms = m.groupBy("workspace_id", "term").agg(F.count("*").alias("mentions"))
-    terms = scratch.save(terms.withColumn("no", F.monotonically_increasing_id()))
-    numbered = m.join(terms, ["workspace_id", "term"]).where("document_id is not null and chunk_id is not null")
-    lists = numbered.groupBy("workspace_id", "document_id", "chunk_id").agg(F.array_sort(F.collect_set("no")).alias("l"))
-    ahead = lists.select("l", F.posexplode("l").alias("i", "a"))
-    pairs = ahead.select("a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b")).distinct()
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count("*").alias("degree"))
-    return terms.join(degree, "no", "left").select("workspace_id", "term", "mentions", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
+    terms, pairs = _pairs(scratch, scratch.save(mentions))
+    degree = pairs.distinct().select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count("*").alias("degree"))
+    out = terms.join(degree, "no", "left").select("workspace_id", "term", "mentions", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
+    return scratch.result(out)

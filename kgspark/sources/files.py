@@ -7,13 +7,14 @@ import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.operators.layout import strip_references_of
+from kgspark.operators.layout import bodies_of, strip_references_of
 
 # Limits, suffixes of text and code, and directories that are not an author's own work.
 MAX_BYTES, MAX_CHARS, MAX_PAGES = 25 << 20, 1_500_000, 300
@@ -68,6 +69,12 @@ def docx_text(data: bytes) -> str:
     return "\n\n".join(p for p in parts if p.strip())
 
 
+def _page_lines(page) -> list[tuple[str, float]]:
+    """(text, place from the top) of the lines of a PDF page, in reading order."""
+    blocks = (b for b in page.get_text("dict", sort=True)["blocks"] if b.get("lines"))
+    return [("".join(s["text"] for s in line["spans"]), line["bbox"][1]) for b in blocks for line in b["lines"]]
+
+
 def parse(data: bytes, name: str) -> tuple[str | None, str | None, int | None, str | None]:
     """(text, mime, pages, error); never raises."""
     if len(data) > MAX_BYTES:
@@ -86,7 +93,8 @@ def parse(data: bytes, name: str) -> tuple[str | None, str | None, int | None, s
             with pymupdf.open(stream=data) as doc:
                 if len(doc) > MAX_PAGES:
                     return None, mime, len(doc), f"more than {MAX_PAGES} pages"
-                text = strip_references_of("\f".join(p.get_text() for p in doc))
+                pages = [[(text, y0 / p.rect.height) for text, y0 in _page_lines(p)] for p in doc]
+                text = strip_references_of("\f".join("\n".join(page) for page in bodies_of(pages)))
                 return text[:MAX_CHARS], mime, len(doc), None
         return data.decode("utf-8", "replace")[:MAX_CHARS], mime, None, None
     except Exception as e:  # noqa: BLE001 - one bad file must not end the job
@@ -113,6 +121,7 @@ def parsed(files: DataFrame) -> DataFrame:
 
 def github_repo(url: Column) -> Column:
     """struct(owner, repo) of an accepted repository address, else null."""
+    # Fixed value: the addresses that are accepted.
     whole = r"^https?://(?:www\.)?github\.com/([A-Za-z0-9_.-]{1,39})/([A-Za-z0-9_.-]{1,100}?)(?:\.git)?/?$"
     u = F.trim(url)
     return F.when(u.rlike(whole), F.struct(F.regexp_extract(u, whole, 1).alias("owner"), F.regexp_extract(u, whole, 2).alias("repo")))
@@ -126,23 +135,22 @@ def safe_path(path: Column) -> Column:
     return ~path.startswith("/") & ~F.array_contains(parts, "..") & ~F.arrays_overlap(parts, skipped) & suffix.isin(*TEXT_SUFFIXES, *CODE_SUFFIXES)
 
 
+def kept_member(name: str) -> str | None:
+    """The path of an archive's member inside its wrapping folder, or None if it is not to be kept: unsafe, outside the
+    wrapper, below a skipped directory, or neither text nor code."""
+    wrapper, _, inside = name.partition("/")
+    parts = inside.split("/")
+    wanted = inside and wrapper and not {"..", *SKIPPED}.intersection([wrapper, *parts])
+    return inside if wanted and parts[-1].rpartition(".")[2].lower() in TEXT_SUFFIXES + CODE_SUFFIXES else None
+
+
 def read_tarball(data: bytes) -> list[tuple[str, str]]:
     """(path without the wrapping folder, text) of the files to keep, no more than REPO_FILES."""
-    out = []
     with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-        for m in tar:
-            if not m.isfile() or m.size > REPO_FILE_BYTES or m.name.startswith("/"):
-                continue
-            parts = m.name.split("/")
-            if ".." in parts or set(parts) & set(SKIPPED) or parts[-1].rpartition(".")[2].lower() not in TEXT_SUFFIXES + CODE_SUFFIXES:
-                continue
-            content = tar.extractfile(m).read()
-            if b"\0" in content[:4096]:
-                continue
-            out.append(("/".join(parts[1:]) or parts[0], content.decode("utf-8", "replace")))
-            if len(out) >= REPO_FILES:
-                break
-    return out
+        small = ((kept_member(m.name), m) for m in tar if m.isfile() and m.size <= REPO_FILE_BYTES)
+        contents = ((path, tar.extractfile(m).read()) for path, m in small if path)
+        texts = ((path, c.decode("utf-8", "replace")) for path, c in contents if b"\0" not in c[:4096])
+        return list(islice(texts, REPO_FILES))
 
 
 def repository_files(archives: DataFrame) -> DataFrame:
