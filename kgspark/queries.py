@@ -177,12 +177,6 @@ def snippets(spark, d):
 # ---------------------------------------------------------------- documents and chunks
 
 
-@query()
-def chunk_documents(spark, d):
-    c = chunking.chunks(table(spark, d, "documents"))
-    return c.select("document_id", "chunk_id", "ord", "char_start", "char_end", "page", F.length("text").alias("n_chars"))
-
-
 @query(
     """SELECT chunk_no, c.text = substr(d.text, char_start + 1, char_end - char_start) AS exact FROM (SELECT DISTINCT chunk_no, document_id, text, char_start, char_end FROM chunks) c JOIN documents d ON d.doc_id = c.document_id"""
 )
@@ -193,10 +187,12 @@ def chunk_offsets(spark, d):
     return c.join(docs, "document_id").select("chunk_no", (F.col("text") == cut).alias("exact"))
 
 
-@query("SELECT workspace_id, sha256(text) AS sha256, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
+@query("WITH s AS (SELECT *, sha256(text) AS sha256 FROM documents) SELECT workspace_id, sha256, min(doc_id) AS doc_id FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.lang = 'en' AND o.workspace_id = s.workspace_id AND o.sha256 = s.sha256) GROUP BY ALL")
 def new_documents(spark, d):
+    """Uploads against a store that holds the English ones."""
     docs = table(spark, d, "documents").select("workspace_id", "doc_id", F.sha2("text", 256).alias("sha256"))
-    return files.new_documents(docs, docs.limit(0))
+    have = table(spark, d, "documents").where("lang = 'en'").select("workspace_id", F.sha2("text", 256).alias("sha256")).distinct()
+    return files.new_documents(docs, have)
 
 
 @query("SELECT workspace_id, count(*) AS documents, count(*) > 50 AS over_cap, sum(length(text) // 4)::bigint AS tokens FROM documents GROUP BY 1")
@@ -244,19 +240,19 @@ def body_lines(spark, d):
 
 # ---------------------------------------------------------------- extraction and upsert
 
-_MENTIONS = """WITH seen AS (SELECT DISTINCT workspace_id, document_id, chunk_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM chunks),
-f AS (SELECT workspace_id, term, count(*) AS df FROM seen GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8),
+_MENTIONS = r"""WITH seen AS (SELECT DISTINCT workspace_id, document_id, chunk_id, unnest(regexp_extract_all(lower(text), '\p{L}[\p{L}\p{M}]{5,}')) AS term FROM chunks),
+f AS (SELECT workspace_id, term, count(*) AS df FROM seen GROUP BY ALL HAVING count(*) >= 2),
 m AS (SELECT s.*, f.df FROM seen s JOIN f USING (workspace_id, term))"""
 
 
-def rare_mentions(spark, d) -> DataFrame:
-    """What _MENTIONS asks for: Latin letters only, and no term of more than eight chunks. Queries without SQL take all terms."""
-    return extract.lexical_mentions(table(spark, d, "chunks"), most=8, word="[a-z]{6,}")
+def term_rows(spark, d) -> DataFrame:
+    """All terms of two chunks or more of a workspace, in all scripts."""
+    return extract.lexical_mentions(table(spark, d, "chunks"))
 
 
 @query(_MENTIONS + " SELECT workspace_id, document_id, chunk_id, term, df FROM m")
 def entity_mentions(spark, d):
-    return rare_mentions(spark, d)
+    return term_rows(spark, d)
 
 
 @query(
@@ -265,7 +261,7 @@ def entity_mentions(spark, d):
     FROM m a JOIN m b ON a.workspace_id = b.workspace_id AND a.document_id = b.document_id AND a.chunk_id = b.chunk_id AND a.term < b.term GROUP BY ALL"""
 )
 def entity_edges(spark, d):
-    return extract.lexical_edges(rare_mentions(spark, d))
+    return extract.lexical_edges(term_rows(spark, d))
 
 
 def sale_triples(spark, d) -> DataFrame:
@@ -306,12 +302,6 @@ def upserted_entities(spark, d):
     return e.where("type = 'concept'").select("id", "name", "created_from")
 
 
-@query()
-def pattern_triples(spark, d):
-    c = table(spark, d, "chunks")
-    return extract.run(c, "pattern").select("workspace_id", "document_id", "chunk_id", "seq", "subject", "predicate", "object", "confidence", "error")
-
-
 # ---------------------------------------------------------------- graph reads
 
 
@@ -350,7 +340,7 @@ def document_filter(spark, d):
     JOIN (SELECT DISTINCT document_id, chunk_id, ord, page, char_start, char_end FROM chunks) c USING (document_id, chunk_id) JOIN documents d ON d.doc_id = m.document_id"""
 )
 def node_passages(spark, d):
-    m = rare_mentions(spark, d)
+    m = term_rows(spark, d)
     c = table(spark, d, "chunks").select("document_id", "chunk_id", "ord", "page", "char_start", "char_end").distinct()
     return graph.passages(m, c, table(spark, d, "documents")).select("workspace_id", "term", "document_id", "chunk_id", "ord", "char_start", "char_end", "filename")
 
@@ -394,11 +384,6 @@ def delete_entities(spark, d):
 # ---------------------------------------------------------------- resolution
 
 
-@query()
-def string_pairs(spark, d):
-    return resolution.string_pairs(table(spark, d, "entities"))
-
-
 @query(
     GRAPH
     + """, g AS (SELECT id, name, min(id) OVER (PARTITION BY name) AS s FROM nodes WHERE type = 'product')
@@ -449,7 +434,7 @@ def link_entities(spark, d):
     SELECT document_id, chunk_id, hits, row_number() OVER (PARTITION BY document_id ORDER BY hits DESC, ord, chunk_id) AS rank FROM h QUALIFY rank <= 8"""
 )
 def chunk_hits(spark, d):
-    m = rare_mentions(spark, d).select("document_id", "chunk_id", F.col("term").alias("entity_id"))
+    m = term_rows(spark, d).select("document_id", "chunk_id", F.col("term").alias("entity_id"))
     links = m.select(F.col("document_id").alias("question_id"), "document_id", F.col("entity_id").alias("id")).distinct()
     c = table(spark, d, "chunks").select("document_id", "chunk_id", "ord").distinct()
     return retrieval.gathered(links, m, c).select("document_id", "chunk_id", "hits", F.col("rank").cast("bigint").alias("rank"))
@@ -525,29 +510,6 @@ def node_sizes(spark, d):
     return canvas.node_sizes(*typed_graph(spark, d))
 
 
-@query()
-def layered_positions(spark, d):
-    return canvas.layered(*typed_graph(spark, d))
-
-
-@query()
-def graph_components(spark, d):
-    """Of the whole graph; connected_components has the places only, as its SQL does."""
-    return canvas.components(*typed_graph(spark, d))
-
-
-@query()
-def graph_levels(spark, d):
-    """Of the whole graph; bfs_levels has the places only, as its SQL does."""
-    return canvas.levels(*typed_graph(spark, d))
-
-
-@query()
-def shelves(spark, d):
-    o = table(spark, d, "part").select(F.col("p_brand").alias("canvas"), F.col("p_partkey").alias("box"), (F.col("p_size") * 10).alias("w"), (F.col("p_partkey") % 7 * 20 + 50).alias("h"))
-    return canvas.shelf_pack(o)
-
-
 # ---------------------------------------------------------------- relational
 
 _QUIZ = "WITH a AS (SELECT l_orderkey AS attempt_id, list((l_partkey % 5 - 1)::int ORDER BY l_linenumber, l_partkey % 5, l_suppkey % 4) AS answers, list((l_suppkey % 4)::int ORDER BY l_linenumber, l_partkey % 5, l_suppkey % 4) AS keys FROM lineitem GROUP BY 1)"
@@ -587,13 +549,6 @@ def even_sample(spark, d):
     return relational.even_sample(c).select("document_id", "chunk_id").distinct()
 
 
-@query(
-    """SELECT event_id, count(*) OVER w AS hits, count(*) OVER w <= 3 AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"""
-)
-def rate_limits(spark, d):
-    return relational.within_limit(table(spark, d, "events"), "user_id", "ts", 3600, 3).select("event_id", "hits", "allowed")
-
-
 @query("SELECT user_id, ts::date AS day, count(*) AS calls, count(*) > 200 AS over FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL")
 def daily_usage(spark, d):
     e = table(spark, d, "events").where(F.col("event_type").isin("click", "view"))
@@ -650,14 +605,6 @@ def github_urls(spark, d):
     return u.select("url", "r.owner", "r.repo")
 
 
-@query()
-def file_kinds(spark, d):
-    """The kind of each parsed file by its bytes and name."""
-    f = table(spark, d, "parsed_files").where("text is not null")
-    f = f.select(F.concat_ws("/", F.col("file_no").cast("string"), "filename").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return files.parsed(f.withColumn("length", F.length("content"))).select("path", "mime", "error", F.length("text").alias("n_chars"))
-
-
 @query(
     r"""WITH f AS (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY filename, file_no) - 1 AS idx, filename, text FROM parsed_files WHERE repo IS NOT NULL AND text IS NOT NULL)
     SELECT repo, sha256(string_agg('# ' || filename || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY idx)) AS digest FROM f WHERE idx < 2000 GROUP BY repo"""
@@ -708,11 +655,12 @@ def upserted_documents(spark, d):
     return graph.upsert(docs, docs.where("doc_id % 2 = 0").withColumn("filename", F.upper("filename")), ["doc_id"])
 
 
-@query("SELECT chunk_no, concat_ws('-', workspace_id, document_id, chunk_id) AS key FROM (SELECT DISTINCT chunk_no, workspace_id, document_id, chunk_id FROM chunks) c WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = c.document_id AND d.workspace_id = c.workspace_id)")
+@query("SELECT chunk_no, CASE WHEN EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = c.document_id AND d.workspace_id = c.workspace_id AND d.lang = 'en') THEN upper(text) ELSE text END AS text FROM (SELECT DISTINCT chunk_no, workspace_id, document_id, chunk_id, text FROM chunks) c")
 def written_chunks(spark, d):
-    c = table(spark, d, "chunks").select("chunk_no", "workspace_id", "document_id", "chunk_id").distinct()
-    w = graph.write_chunks(c.limit(0), c, table(spark, d, "documents"))
-    return w.select("chunk_no", F.concat_ws("-", "workspace_id", "document_id", "chunk_id").alias("key"))
+    """Chunks written again in capitals, over those there are; only documents in English are known."""
+    c = table(spark, d, "chunks").select("chunk_no", "workspace_id", "document_id", "chunk_id", "text").distinct()
+    w = graph.write_chunks(c, c.withColumn("text", F.upper("text")), table(spark, d, "documents").where("lang = 'en'"))
+    return w.select("chunk_no", "text")
 
 
 def corpus(spark, d) -> pipeline.Corpus:
@@ -756,12 +704,3 @@ def stream_daily_counts(spark, d):
     w.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
-
-def flagship(spark, d):
-    """Chunks of documents, the terms they mention, the graph these span, and each term's degree in its workspace."""
-    docs = table(spark, d, "documents")
-    c = chunking.chunks(docs).join(docs.select(F.col("doc_id").alias("document_id"), "workspace_id"), "document_id")
-    return extract.lexical_degrees(extract.lexical_mentions(c))
-
-
-QUERIES["flagship"] = flagship

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -130,6 +131,24 @@ def test_stream_limits_are_exact(spark, tmp_path):
     assert {k: v[0] for k, v in got.items()} == want and got[2][1] == 9
 
 
+def test_limits_of_tables_match_a_live_limiter(spark):
+    r = random.Random(7)
+    rows, want = [], {}
+    for k in range(4):
+        live, t = [], 0
+        for i in range(120):
+            t += r.choice([0, 1, 2, 9, 30])
+            live = [h for h in live if h >= t - 10]
+            want[k, i] = len(live) < 3
+            if want[k, i]:
+                live.append(t)
+            rows.append((k, i, T0 + timedelta(seconds=t)))
+    df = spark.createDataFrame(rows + [(None, 1, T0), (9, 2, None)], "k int, i int, at timestamp").repartition(7)
+    got = {(x.k, x.i): x.allowed for x in ingest.limited_table(df, "k", "at", "i", 10, 3).collect()}
+    assert got == want
+    assert ingest.limited_table(df.limit(0), "k", "at", "i", 10, 3).count() == 0
+
+
 def test_stream_windows_match_the_table(spark, tmp_path):
     rows = [(i % 3, T0 + timedelta(minutes=7 * i), "click", float(i)) for i in range(40)]
     df = spark.createDataFrame(rows, EVENTS)
@@ -146,7 +165,7 @@ def test_stream_windows_match_the_table(spark, tmp_path):
 def test_cache_of_sessions(spark):
     at = [0, 10, 29, 31, 40, 100, 101]
     df = spark.createDataFrame([("k", T0 + timedelta(seconds=s), T0 + timedelta(seconds=101)) for s in at], "k string, at timestamp, ends timestamp")
-    got = {int((r["at"] - T0).total_seconds()): r.hit for r in relational.from_cache(df, "k", "at", "ends").collect()}
+    got = {int((r["at"] - T0).total_seconds()): r.hit for r in relational.from_cache(df.withColumn("n", F.unix_seconds("at")), "k", "at", "n", "ends").collect()}
     assert got == {0: False, 10: True, 29: True, 31: False, 40: True, 100: False, 101: False}
 
 

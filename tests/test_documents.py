@@ -1,3 +1,4 @@
+import hashlib
 import io
 import random
 import tarfile
@@ -12,19 +13,27 @@ from kgspark.sources import files
 HEADED = "# Title\n\nIntro text here.\n\n## Part\n\n" + ("Some sentence of prose. " * 60 + "\n\n") * 6 + "Setext\n======\n\ntail"
 
 
-def test_chunks_are_exact_and_overlap():
-    c = chunking.chunk_text(HEADED, "dir/notes.md")
-    assert [x[3] for x in c] == list(range(len(c)))
-    for (_, t, _, _, s, e, _), nxt in zip(c, [*c[1:], None]):
-        assert HEADED[s:e] == t and t.strip()
-        if nxt:
-            assert nxt[4] < e or nxt[4] == e
-    assert all(x[0].startswith(f"notes-{i:04d}-") for i, x in enumerate(c))
+def test_chunks_are_exact_and_overlap(spark):
+    df = spark.createDataFrame([(1, HEADED, "dir/notes.v2.md", "w")], "doc_id bigint, text string, filename string, workspace_id string")
+    c = chunking.chunks(df, keep=("workspace_id",)).orderBy("ord").collect()
+    assert [x.ord for x in c] == list(range(len(c))) and {x.workspace_id for x in c} == {"w"}
+    for x, nxt in zip(c, [*c[1:], None]):
+        assert HEADED[x.char_start : x.char_end] == x.text and x.text.strip() and len(x.text) <= 4600
+        digest = hashlib.sha1(f"dir/notes.v2.md:{x.char_start}:{x.char_end}".encode()).hexdigest()[:12]
+        assert x.chunk_id == f"notes.v2-{x.ord:04d}-{digest}"
+        assert nxt is None or x.char_start < nxt.char_start <= x.char_end
 
 
 def test_oversized_segments_are_cut_hard():
-    c = chunking.chunk_text("x" * 9000, "a.txt")
-    assert [(x[4], x[5]) for x in c] == [(0, 4000), (3400, 8000), (7400, 9000)]
+    assert [o[:2] for o in chunking.offsets("x" * 9000, 4000, 600)] == [(0, 4000), (3400, 8000), (7400, 9000)]
+
+
+def test_scraps_join_what_they_follow_if_both_fit():
+    assert chunking.packed([(0, 90), (92, 95)], 100, 50) == [(0, 95)]
+    assert chunking.packed([(0, 90), (92, 120), (122, 230)], 100, 50) == [(0, 90), (92, 120), (122, 222), (222, 230)]
+    assert chunking.packed([(0, 100), (101, 110)], 100, 50) == [(0, 100), (101, 110)]
+    assert chunking.packed([(0, 130), (131, 140)], 100, 50) == [(0, 100), (100, 140)]
+    assert chunking.packed([], 100) == []
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -32,8 +41,8 @@ def test_nothing_is_lost(seed):
     r = random.Random(seed)
     text = "".join(r.choice(["word ", "\n\n", "\n# Head\n", "é" * 50, "\f", "  \n \n"]) for _ in range(900))
     covered = [False] * len(text)
-    for _, t, _, _, s, e, p in chunking.chunk_text(text, "s", tokens=60, overlap=10):
-        assert text[s:e] == t and p == (text.count("\f", 0, s) + 1 if "\f" in text else None)
+    for s, e, p in chunking.offsets(text, 240, 40):
+        assert p == (text.count("\f", 0, s) + 1 if "\f" in text else None)
         covered[s:e] = [True] * (e - s)
     assert not "".join(ch for ch, k in zip(text, covered) if not k).strip()
 
@@ -51,6 +60,14 @@ def lines(spark, pages):
     return spark.createDataFrame(rows, "document_id string, page int, line string, y double")
 
 
+def test_readers_drop_the_same_furniture(spark):
+    r = random.Random(4)
+    for n in (2, 3, 5, 9):
+        pages = [[("Journal  of X", 0.05), (f"Body {i}", 0.5), (r.choice(["Draft", "Final"]), 0.9), (f"Page {i}", 0.95), ("Journal of x", 0.6)] for i in range(n)]
+        kept = layout.without_furniture(lines(spark, pages)).groupBy("page").agg(F.sort_array(F.collect_list("line")).alias("l")).orderBy("page").collect()
+        assert [sorted(p) for p in layout.bodies_of(pages)] == [list(x.l) for x in kept]
+
+
 def test_furniture(spark):
     pages = [[("Journal of X", 0.05), (f"Body {i} of text", 0.5), ("repeated body", 0.4), (f"Page {i}", 0.95)] for i in range(4)]
     got = {(r.band, r.key) for r in layout.furniture(lines(spark, pages)).collect()}
@@ -102,6 +119,7 @@ def tarball(entries):
 
 def test_repositories(spark):
     data = tarball([("w/src/a.py", b"x = 1"), ("w/../evil.py", b"bad"), ("/abs.py", b"bad"), ("w/node_modules/m.js", b"bad"), ("w/b.bin", b"bad"), ("w/n.py", b"\0"), ("w/README.md", b"# Hi")])
+    assert files.kept_member("top.py") is None and files.kept_member("w/../x.py") is None and files.kept_member("w/a/b.py") == "a/b.py"
     assert files.read_tarball(data) == [("src/a.py", "x = 1"), ("README.md", "# Hi")]
     df = spark.createDataFrame([("r1", bytearray(data))], "path string, content binary")
     assert files.repository_document(files.repository_files(df)).first()["text"] == "# src/a.py\n\nx = 1\n\n# README.md\n\n# Hi"

@@ -189,6 +189,75 @@ def test_concept_map(spark):
     assert [(r.dimension, r["values"]) for r in conceptmap.tidy_contrasts(cs, k).collect()] == [("speed", {"Batch": "slow", "Other": "fast"})]
 
 
+def test_items_that_normalise_alike_are_one(spark):
+    rows = [("d", 0, "Batch", None, None, None, ["a", None], ["Fast", "fast", " Fast! ", "", "Größe"], None, None, None, None), ("d", 1, "batch", None, None, None, ["A.", "b"], ["GROSSE", "grösse", "slow"], None, None, None, None)]
+    k = conceptmap.folded(spark.createDataFrame(rows, CONCEPT)).first()
+    assert k.how_it_works == ["Fast", "Größe", "slow"] and k.requires == ["a", "b"] and k.weight == 3
+
+
+def test_maps_are_written_to_the_graph(spark):
+    k = conceptmap.folded(concepts(spark, ("Alpha", "core", ["Beta"], 1), ("Beta", "core", [], 0), ("Gamma", None, [], 0)))
+    k = k.withColumn("quote", F.when(F.col("key") == "alpha", "alpha is\nfirst"))
+    links = spark.createDataFrame([("d", 0, "ALPHA", "beta", "Leads To", "w"), ("d", 1, "Beta", "Nope", "is", None)], "document_id string, seq int, source string, target string, relation string, why string")
+    docs = spark.createDataFrame([("w", "d", 1, "greek", None)], "workspace_id string, document_id string, seq int, teaches string, contrasts string")
+    c = spark.createDataFrame([("d", "c0", 0, "say alpha is first here")], "document_id string, chunk_id string, ord int, text string")
+    t = conceptmap.map_tables(k, conceptmap.tidy_links(links, k), conceptmap.without_cycles(conceptmap.requirements(k), k), docs, c)
+    assert {(r.id, r.type) for r in t.entities.collect()} == {(f"w:concept:{x}", "concept") for x in ("alpha", "beta", "gamma")}
+    assert [(r.entity_id, r.chunk_id, [tuple(x) for x in r.spans]) for r in t.mentions.collect()] == [("w:concept:alpha", "c0", [(4, 18)])]
+    assert [(r.src, r.type, r.dst, r.why, r.prerequisite, r.confidence) for r in t.edges.collect()] == [("w:concept:alpha", "Leads To", "w:concept:beta", "w", True, 0.9)]
+    assert t.documents.first().teaches == "greek" and t.entity_documents.count() == 3
+
+
+def test_sectioned_maps_are_consolidated(spark):
+    c = concepts(spark, *[(f"Topic {i}", None, [], 0) for i in range(16)])
+    links = spark.createDataFrame([("d", "Topic 3", "topic 9")], "document_id string, source string, target string")
+
+    def told(names):
+        return [{"name": "Topic 0", "from": [n for n in names if n != "Topic 9"]}, {"name": "Topic 9", "importance": "core", "requires": ["Topic 3"]}]
+
+    kept, l = conceptmap.consolidated(c, links, told)
+    assert {(r.name, r.importance, tuple(r.requires)) for r in kept.collect()} == {("Topic 0", None, ()), ("Topic 9", "core", ("Topic 3",))}
+    assert [tuple(r) for r in l.collect()] == [("d", "Topic 0", "Topic 9")]
+
+    def fails(names):
+        raise OSError
+
+    kept, l = conceptmap.consolidated(c, links, fails)
+    assert kept.count() == 14 and l.count() == 1
+    assert conceptmap.consolidated(c.where("seq < 5"), links, fails)[0].count() == 5
+
+
+def test_a_deleted_document_takes_all_that_hangs_on_it(spark):
+    t = {
+        "documents": spark.createDataFrame([("w", 1), ("w", 2), ("v", 1), (None, 1)], "workspace_id string, doc_id int"),
+        "chunks": spark.createDataFrame([("w", 1, "a"), ("v", 1, "b")], "workspace_id string, document_id int, chunk_id string"),
+        "entities": spark.createDataFrame([("w", "x", ["1"]), ("w", "y", ["1", "2"]), ("w", "z", None), ("v", "x", ["1"]), ("w", "e", [])], "workspace_id string, id string, documents array<string>"),
+        "mentions": spark.createDataFrame([("w", "x", 1), ("w", "y", 2), ("v", "x", 1)], "workspace_id string, entity_id string, document_id int"),
+        "edges": spark.createDataFrame([("w", "x", "y"), ("w", "y", "z"), ("v", "x", "x")], "workspace_id string, src string, dst string"),
+    }
+    left = graph.delete_document_subgraph(t, spark.createDataFrame([("w", 1)], "workspace_id string, document_id int"))
+    rows = {k: sorted((tuple(r) for r in v.collect()), key=str) for k, v in left.items()}
+    assert rows["documents"] == [("v", 1), ("w", 2), (None, 1)] or set(rows["documents"]) == {("v", 1), ("w", 2), (None, 1)}
+    assert rows["chunks"] == [("v", 1, "b")] and rows["mentions"] == [("v", "x", 1), ("w", "y", 2)]
+    assert rows["entities"] == sorted([("v", "x", ["1"]), ("w", "e", []), ("w", "y", ["2"]), ("w", "z", None)], key=str)
+    assert rows["edges"] == [("v", "x", "x"), ("w", "y", "z")]
+
+
+def test_mentions_follow_their_entity(spark):
+    m = spark.createDataFrame([("w", "a", "d", "c", [(1, 2)]), ("w", "b", "d", "c", [(0, 1), (1, 2)]), ("w", "b", "d", "e", None)], "workspace_id string, entity_id string, document_id string, chunk_id string, spans array<struct<start:int,end:int>>")
+    r = spark.createDataFrame([("b", "a")], "id string, survivor string")
+    got = {(x.entity_id, x.chunk_id): [tuple(s) for s in x.spans] for x in resolution.redirected_mentions(m, r).collect()}
+    assert got == {("a", "c"): [(0, 1), (1, 2)], ("a", "e"): []}
+    assert triples.merge_mentions(m, m).count() == 3
+
+
+def test_a_long_chain_has_all_its_levels(spark, monkeypatch):
+    monkeypatch.setattr(canvas, "MOST_TABLES", 3)
+    n = entities(spark, *[(f"n{i:03d}", None) for i in range(30)])
+    e = edges(spark, *[(f"n{i:03d}", "r", f"n{i + 1:03d}", 1.0) for i in range(29)])
+    assert {r.id: r.depth for r in canvas.levels(n, e).collect()} == {f"n{i:03d}": i for i in range(30)}
+
+
 def test_cycles(spark):
     k = conceptmap.folded(concepts(spark, ("a", "core", ["b"], 3), ("b", "core", ["c"], 2), ("c", "core", ["a"], 1), ("s", "core", ["s", "a"], 0)))
     kept = {(r.key, r.need) for r in conceptmap.without_cycles(conceptmap.requirements(k), k).collect()}
@@ -224,6 +293,7 @@ def test_workspaces_are_scoped(spark):
 
 def test_the_whole_typed_graph_is_searched(spark):
     from kgspark import queries as Q
+    from kgspark import inventory_edits as QE
 
     d = "/root/testdata/sf0.001"
     n, e = Q.typed_graph(spark, d)
@@ -245,12 +315,12 @@ def test_the_whole_typed_graph_is_searched(spark):
     for i in sorted(ids):
         if i not in comp:
             comp.update(dict.fromkeys(reach([i], near), i))
-    assert {r.id: r.component for r in Q.graph_components(spark, d).collect()} == comp
+    assert {r.id: r.component for r in QE.graph_components(spark, d).collect()} == comp
     roots = ids - {b for _, b in links}
     rooted = {comp[i] for i in roots}
     depth = reach(roots | {i for i in ids if comp[i] == i and i not in rooted}, ahead)
-    assert set(depth) == ids and {r.id: r.depth for r in Q.graph_levels(spark, d).collect()} == depth
-    at = Q.layered_positions(spark, d).collect()
+    assert set(depth) == ids and {r.id: r.depth for r in QE.graph_levels(spark, d).collect()} == depth
+    at = QE.layered_positions(spark, d).collect()
     assert {r.id: r.depth for r in at} == depth and len({(r.x, r.y) for r in at}) == len(ids)
 
 

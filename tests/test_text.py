@@ -41,7 +41,7 @@ def test_clean_name(spark, raw, want):
 
 @pytest.mark.parametrize(
     "a,b,want",
-    [("pc", "personal computer", True), ("pcs", "personal computer", True), ("gnn", "graph neural network", True), ("graph neural network", "gnn", True), ("pc", "people", False), ("x", "x y", False), ("ai model", "artificial intelligence", False)],
+    [("pc", "personal computer", True), ("pcs", "personal computer", True), ("gnn", "graph neural network", True), ("graph neural network", "gnn", True), ("pc", "people", False), ("x", "x y", False), ("сша", "соединенные штаты америки", True), ("abcdefs", "a b c d e f", True), ("p c", "personal computer", True), ("abcdefg", "a b c d e f g", False), ("ai model", "artificial intelligence", False)],
 )
 def test_acronyms(spark, a, b, want):
     row = spark.createDataFrame([(a, b)], "a string, b string").select(T.is_acronym_pair(F.col("a"), F.col("b"))).first()
