@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import text as T
 from kgspark.operators import chunking, layout, resolution, retrieval
 from kgspark.plans import extract, pipeline
-from kgspark.queries import GRAPH, places, query, typed_graph
+from kgspark.queries import GRAPH, answers, places, query, typed_graph
 from kgspark.session import table
 from kgspark.sources import files
 
@@ -110,6 +110,17 @@ def pattern_triples(spark, d):
     return extract.run(c, "pattern").select("workspace_id", "document_id", "chunk_id", "seq", "subject", "predicate", "object", "confidence", "error")
 
 
+@query(
+    CHUNKS
+    + r""", said AS (SELECT DISTINCT document_id::varchar AS d FROM chunk WHERE workspace_id IS NOT NULL AND regexp_matches(left(body, 1200), '[\p{L}\p{N}_]')),
+    q AS (SELECT entity_no, documents[1] AS d, unnest(['a', 'b', 'c']) AS k FROM entities WHERE len(documents) > 0)
+    SELECT entity_no || '-' || k AS question_id, CASE WHEN k = 'c' THEN 'error' WHEN k = 'b' THEN 'orientation' WHEN d IN (SELECT d FROM said) THEN 'answer' ELSE 'nothing' END AS route FROM q"""
+)
+def answer_routes(spark, d):
+    """What becomes of the questions of `answers`: material is found wherever a document has a chunk with letters."""
+    return answers(spark, d).select("question_id", "route")
+
+
 # ---------------------------------------------------------------- similarity
 
 #: Longest common subsequences of pairs (x, y, a, b), a bit for each character of a, one character of b a step.
@@ -255,27 +266,68 @@ def redirected_mentions(spark, d):
     return resolution.redirected_mentions(m, verdict_renames(spark, d)).select("workspace_id", "entity_id", "document_id")
 
 
+_SAME = """WITH RECURSIVE own AS (SELECT id, workspace_id, coalesce(type, 'concept') AS type, name, canonical_name, bool_or(coalesce(user_edited, false)) OVER (PARTITION BY id) AS edited, row_number() OVER (PARTITION BY id ORDER BY entity_no) AS r FROM entities WHERE id IS NOT NULL),
+one AS (SELECT *, concat_ws('|', workspace_id, type) AS block FROM own WHERE r = 1), cand AS (SELECT * FROM one WHERE NOT edited),
+near AS (SELECT a.id AS x, b.id AS y, a.canonical_name AS a, b.canonical_name AS b FROM cand a JOIN cand b ON a.block = b.block AND a.id < b.id WHERE a.canonical_name <> '' AND b.canonical_name <> '' AND (a.canonical_name = b.canonical_name OR (length(a.canonical_name) >= 5 AND length(b.canonical_name) >= 5 AND levenshtein(a.canonical_name, b.canonical_name) <= 0.12 * (length(a.canonical_name) + length(b.canonical_name))))),
+pair AS (SELECT DISTINCT x, y, a, b FROM near WHERE a <> b)""" + LCS + f""",
+v AS (SELECT block, id, name, {_VECTOR.format("left(name, 1200)")} AS v FROM cand WHERE name <> ''),
+same AS (SELECT x, y FROM near WHERE a = b UNION SELECT x, y FROM lcs WHERE 200.0 * l / (length(a) + length(b)) >= 88 UNION SELECT a.id, b.id FROM v a JOIN v b ON a.block = b.block AND a.id < b.id WHERE list_sum(a.v) > 0 AND list_sum(b.v) > 0 AND list_cosine_similarity(a.v, b.v) >= 0.9),
+ways AS (SELECT x, y FROM same UNION SELECT y, x FROM same), reach(x, y) AS (SELECT x, y FROM ways UNION SELECT r.x, w.y FROM reach r JOIN ways w ON w.x = r.y), grp AS (SELECT x AS id, least(x, min(y)) AS g FROM reach GROUP BY x),
+rel AS (SELECT DISTINCT x.id AS src, y.id AS dst FROM entity_pairs p JOIN entities x ON x.entity_no = left_no JOIN entities y ON y.entity_no = right_no WHERE x.id IS NOT NULL AND y.id IS NOT NULL),
+inc AS (SELECT src AS id FROM rel UNION ALL SELECT dst FROM rel WHERE src <> dst), deg AS (SELECT id, count(*) AS degree FROM inc GROUP BY 1),
+best AS (SELECT grp.id, first_value(grp.id) OVER (PARTITION BY g ORDER BY coalesce(degree, 0) DESC, length(name) DESC NULLS FIRST, grp.id) AS survivor FROM grp JOIN one USING (id) LEFT JOIN deg ON deg.id = grp.id)"""
+
+
+@query(_SAME + " SELECT id, survivor FROM best WHERE id <> survivor")
+def resolved_by_letters(spark, d):
+    """Resolution as a whole with an embedder of letters and without a judge, over compared pairs as edges."""
+    e = resolution.one_row_each(table(spark, d, "entities").where("id is not null"), "entity_no")
+    n = table(spark, d, "entities").where("id is not null").select("entity_no", "id")
+    p = table(spark, d, "entity_pairs").select(F.col("left_no"), F.col("right_no"))
+    edges = p.join(n.select(F.col("entity_no").alias("left_no"), F.col("id").alias("src")), "left_no").join(n.select(F.col("entity_no").alias("right_no"), F.col("id").alias("dst")), "right_no")
+    edges = edges.select("src", F.lit("pair").alias("type"), "dst").distinct()
+    return pipeline.resolve(e, edges, None, letter_embedder)
+
+
 # ---------------------------------------------------------------- retrieval
 
 
 _BARE = r"trim(regexp_replace(regexp_replace(lower(strip_accents({})), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '[\s\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+', ' ', 'g'))"
+_QUESTIONS = f"""WITH RECURSIVE k AS (SELECT entity_no AS question_id, documents[1] AS document_id, {_BARE.format("'How does ' || coalesce(name, '') || ' differ from ' || coalesce(one_liner, notes, '') || '?'")} AS q FROM entities WHERE len(documents) > 0),
+    n AS (SELECT DISTINCT d AS document_id, e.entity_no AS id, e.name, {_BARE.format('e.name')} AS n FROM (SELECT *, unnest(documents) AS d FROM entities) e WHERE e.name IS NOT NULL),
+    met AS (SELECT question_id, id, name, q, n FROM n JOIN k USING (document_id) WHERE n <> '' AND (length(n) > 3 OR list_contains(string_split(q, ' '), n)))"""
 
 
-@query(
-    f"""WITH k AS (SELECT entity_no AS question_id, documents[1] AS document_id, {_BARE.format("'How does ' || coalesce(name, '') || ' differ from ' || coalesce(one_liner, notes, '') || '?'")} AS q FROM entities WHERE len(documents) > 0),
-    n AS (SELECT DISTINCT d AS document_id, e.entity_no AS id, e.name, {_BARE.format('e.name')} AS n FROM (SELECT *, unnest(documents) AS d FROM entities) e WHERE e.name IS NOT NULL),
-    hit AS (SELECT question_id, id, name, 100.0::double AS score FROM n JOIN k USING (document_id) WHERE n <> '' AND CASE WHEN length(n) <= 3 THEN list_contains(string_split(q, ' '), n) ELSE contains(q, n) END)
-    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, length(name) DESC, id) AS rank FROM hit QUALIFY rank <= 8"""
-)
-def linked_whole_names(spark, d):
-    """Entities of a question's document whose whole name stands in the question, at a threshold of 100: each entity is
-    asked about in its first document."""
+def entity_questions(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Each entity asked about in its first document, and the names of each document's entities."""
     own = table(spark, d, "entities")
     e = own.select(F.explode("documents").alias("document_id"), F.col("entity_no").alias("id"), "name").distinct()
     none = F.lit("")
     text = F.concat(F.lit("How does "), F.coalesce("name", none), F.lit(" differ from "), F.coalesce("one_liner", "notes", none), F.lit("?"))
-    q = own.where(F.size("documents") > 0).select(F.col("entity_no").alias("question_id"), F.col("documents")[0].alias("document_id"), text.alias("question"))
-    return retrieval.linked_entities(q, e, 100.0).select("question_id", "id", "name", "score", F.col("rank").cast("bigint").alias("rank"))
+    return own.where(F.size("documents") > 0).select(F.col("entity_no").alias("question_id"), F.col("documents")[0].alias("document_id"), text.alias("question")), e
+
+
+@query(_QUESTIONS + ", hit AS (SELECT question_id, id, name, 100.0::double AS score FROM met WHERE contains(q, n)) SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, length(name) DESC, id) AS rank FROM hit QUALIFY rank <= 8")
+def linked_whole_names(spark, d):
+    """Entities of a question's document whose whole name stands in the question, at a threshold of 100."""
+    found = retrieval.linked_entities(*entity_questions(spark, d), 100.0)
+    return found.select("question_id", "id", "name", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    _QUESTIONS
+    + """, open AS (SELECT DISTINCT q, n FROM met WHERE NOT contains(q, n)), no AS (SELECT *, row_number() OVER () AS k FROM open),
+    sides AS (SELECT k, CASE WHEN length(n) <= length(q) THEN n ELSE q END AS a, CASE WHEN length(n) <= length(q) THEN q ELSE n END AS t FROM no),
+    pair AS (SELECT DISTINCT k AS x, 0 AS y, a, b FROM (SELECT k, a, substr(t, greatest(0, p) + 1, p + length(a) - greatest(0, p)) AS b FROM (SELECT *, unnest(range(1 - length(a), length(t))) AS p FROM sides)))"""
+    + LCS
+    + """, part AS (SELECT x, max(200.0 * l / (length(a) + length(b))) AS score FROM lcs GROUP BY x),
+    hit AS (SELECT question_id, id, name, CASE WHEN contains(m.q, m.n) THEN 100.0 ELSE score END::double AS score FROM met m LEFT JOIN no ON no.q = m.q AND no.n = m.n LEFT JOIN part ON x = k)
+    SELECT question_id, id, name, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, length(name) DESC, id) AS rank FROM hit WHERE score >= 82 QUALIFY rank <= 8"""
+)
+def link_entities(spark, d):
+    """Entities of a question's document whose name is like a part of the question."""
+    found = retrieval.linked_entities(*entity_questions(spark, d))
+    return found.select("question_id", "id", "name", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def term_graph(spark, d) -> tuple[DataFrame, DataFrame]:

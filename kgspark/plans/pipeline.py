@@ -30,7 +30,7 @@ class Corpus:
 
 def build(documents: DataFrame, extractor: str = "pattern", embed: Callable = vectors.hashing_embedder) -> Corpus:
     """Documents to chunks to triples to graph, with a vector for each chunk. All lazy."""
-    c = chunking.chunks(documents).join(documents.select(F.col("doc_id").alias("document_id"), "workspace_id"), "document_id")
+    c = chunking.chunks(documents, keep=("workspace_id",))
     found = extract.run(c, extractor).where("error is null")
     clean = triples.clean_triples(triples.plausible(found), ("workspace_id", "document_id"))
     return Corpus(documents, vectors.embedded(c, embed=embed), triples.graph_of_triples(clean))
@@ -57,7 +57,7 @@ def resolve(entities: DataFrame, edges: DataFrame, judge: Callable | None = None
     ask = resolution.asked(scored.where("tier = 'ask'"))
     said = resolution.adjudicated(ask, judge).where("verdict").select("id_a", "id_b")
     pairs = pairs.unionByName(scored.where("tier = 'merge'").select("id_a", "id_b")).unionByName(said).distinct()
-    return resolution.survivors(entities, edges, pairs)
+    return scratch.result(resolution.survivors(entities, edges, pairs))
 
 
 def retrieve(corpus: Corpus, questions: DataFrame, embed: Callable = vectors.hashing_embedder) -> dict[str, DataFrame]:

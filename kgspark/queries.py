@@ -411,23 +411,6 @@ def vector_topk(spark, d):
     return vectors.nearest(q, e, 8, ["label"]).select("query", "vec_id", "label", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def item_questions(spark, d) -> DataFrame:
-    """Questions put to the lexical graph: each document asks with the text of its first hundred characters."""
-    docs = table(spark, d, "documents").where("workspace_id is not null")
-    return docs.select(F.col("doc_id").alias("question_id"), F.col("doc_id").alias("document_id"), F.left("text", F.lit(100)).alias("question"))
-
-
-def term_mentions(spark, d) -> DataFrame:
-    m = extract.lexical_mentions(table(spark, d, "chunks"))
-    return m.select("document_id", "chunk_id", F.col("term").alias("entity_id"))
-
-
-@query()
-def link_entities(spark, d):
-    m = term_mentions(spark, d).select("document_id", F.col("entity_id").alias("id"), F.col("entity_id").alias("name")).distinct()
-    return retrieval.linked_entities(item_questions(spark, d), m)
-
-
 @query(
     _MENTIONS
     + """, c AS (SELECT DISTINCT document_id, chunk_id, ord FROM chunks), h AS (SELECT document_id, chunk_id, ord, count(DISTINCT term) AS hits FROM m JOIN c USING (document_id, chunk_id) GROUP BY ALL)
@@ -475,6 +458,7 @@ _ASPECT = "WITH q AS (SELECT document_id, chunk_no AS key, trim(regexp_replace(l
 )
 def ground_quotes(spark, d):
     c = table(spark, d, "chunks").select("chunk_no", "document_id", "chunk_id", "ord", "text").distinct()
+    # a quote is an excerpt: here the first eighty characters of each chunk, sought in all chunks of its document
     q = c.select("document_id", F.col("chunk_no").alias("key"), F.left("text", F.lit(80)).alias("quote"))
     g = conceptmap.grounded(q, c.drop("chunk_no").distinct())
     return g.select("document_id", "key", "chunk_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
@@ -668,10 +652,11 @@ def corpus(spark, d) -> pipeline.Corpus:
 
 
 def chat(spark, d) -> DataFrame:
-    """Each document is greeted, asked with its beginning, and asked nothing."""
-    docs = table(spark, d, "documents").where("workspace_id is not null").select(F.col("doc_id").cast("string").alias("document_id"), "text")
-    kinds = F.explode(F.array(F.struct(F.lit("a").alias("k"), F.left("text", F.lit(120)).alias("q")), F.struct(F.lit("b").alias("k"), F.lit("hi there").alias("q")), F.struct(F.lit("c").alias("k"), F.lit(" ").alias("q"))))
-    return docs.select("document_id", kinds.alias("x")).select(F.concat_ws("-", "document_id", "x.k").alias("question_id"), "document_id", F.col("x.q").alias("question"))
+    """Each entity is asked about in its first document, which is also greeted and asked nothing."""
+    e = table(spark, d, "entities").where(F.size("documents") > 0).select("entity_no", F.col("documents")[0].alias("document_id"), "name")
+    about = F.concat(F.lit("How does "), F.coalesce("name", F.lit("it")), F.lit(" work, and what is it good for?"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), q.alias("q")) for k, q in (("a", about), ("b", F.lit("hi there")), ("c", F.lit(" ")))]))
+    return e.select("entity_no", "document_id", kinds.alias("x")).select(F.concat_ws("-", "entity_no", "x.k").alias("question_id"), "document_id", F.col("x.q").alias("question"))
 
 
 @query()
