@@ -1,9 +1,7 @@
 """Groups of records that pairwise matches link directly or indirectly (problem 1).
 
-Method: alternating large-star and small-star edge rewrites [Kiveris et al., Connected Components in MapReduce and
-Beyond, 2014]. An edge is kept as (hi, lo) with hi > lo. The large star of u links every neighbour above u to the
-least of u and its neighbours; the small star of u links every neighbour below u, and u, to the least of them. When
-a round of both changes nothing, every record hangs on the least record of its component.
+Method: alternating large-star and small-star edge rewrites (kgspark/plans/stars.py). When a round of both changes
+nothing, every record hangs on the least record of its component.
 """
 
 from __future__ import annotations
@@ -11,68 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.plans.scratch import Scratch
-from kgspark.plans.skew import lookup
-
-
-def _edges(df: DataFrame, a, b) -> DataFrame:
-    """Distinct edges (hi, lo) without loops."""
-    return df.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
-
-
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
-    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-        edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    )
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("deg"))
-    # only neighbours above u move; the edge (u, v) with v > u is (hi=v, lo=u)
-    up = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    return _edges(lookup(up, ["u"], least, "deg", 2 * n), F.col("v"), F.col("m"))
-
-
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    down = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg"))
-    moved = lookup(down, ["u"], least, "deg", n)
-    return _edges(
-        moved.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m")), F.col("v"), F.col("m")
-    )
-
-
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
-    )
-
-
-def star_edges(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(hi, lo) for every node hi that is not the least of its component, whose least node is lo.
-
-    nodes: one bigint column. links: two bigint columns. Links with a null end, with an end that is no node, or from
-    a node to itself count for nothing; repeats and either direction are the same link. Empty inputs give no rows.
-    Raises RuntimeError if max_rounds do not suffice (rounds grow with the square of the logarithm of the longest chain).
-    """
-    scratch = Scratch(nodes.sparkSession)
-    n, a, b = nodes.columns[0], *links.columns
-    edges = scratch.save(_edges(links.dropna(), F.col(a), F.col(b)))
-    size = edges.count()
-    # ends that are nodes, with their degree: one row an end, so this join is between unique keys
-    ends = edges.select(F.explode(F.array("hi", "lo")).alias("u")).groupBy("u").agg(F.count("*").alias("deg"))
-    known = ends.join(nodes.select(F.col(n).alias("u")).dropna().distinct(), "u", "left_semi")
-    hi = lookup(edges, ["hi"], known.withColumnRenamed("u", "hi"), "deg", 2 * size)
-    edges = scratch.save(lookup(hi, ["lo"], known.withColumnRenamed("u", "lo"), "deg", 2 * size).select("hi", "lo"))
-    before = _signature(edges)
-    for _ in range(max_rounds):
-        if not before[0]:
-            return edges
-        large = scratch.save(_large_star(edges, before[0]))
-        edges = scratch.save(_small_star(large, before[0]))
-        after = _signature(edges)
-        scratch.forget()
-        if after == before:
-            return edges
-        before = after
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+from kgspark.plans.stars import star_edges
 
 
 def linked(nodes: DataFrame, links: DataFrame) -> DataFrame:
