@@ -166,7 +166,7 @@ def _drawn(scratch: Scratch, rows: DataFrame, rests: dict[str, float]) -> DataFr
 
     def spared(copies: DataFrame, left: dict[str, float]) -> DataFrame:
         """Documents that fit and may be repeated once more; the next copy ranks behind the one before."""
-        had = rows.drop("rest").join(copies.select("doc_id", "key", "extra"), ["doc_id", "key"], "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
+        had = rows.drop("rest").join(copies.select("doc_id", "key", "extra").hint("shuffle_hash"), ["doc_id", "key"], "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
         had = had.withColumn("spare", F.col("cap") - F.col("whole") - F.col("extra")).join(_by_key(spark, left, "left"), "key")
         return had.where((F.col("spare") > 0) & (F.col("tokens") <= F.col("left")))
 
@@ -253,7 +253,7 @@ def mixture(
     drawn = scratch.save(drawn)
     extra = _drawn(scratch, drawn, {k: tokens[k] - certain[k] for k in shares if tokens[k] - certain[k] > 0})
     mixed = (
-        drawn.join(extra, ["doc_id", "key"], "left")
+        drawn.join(extra.hint("shuffle_hash"), ["doc_id", "key"], "left")
         .withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
         .where("copies > 0")
         .join(F.broadcast(names.select("key", "source")), "key")
