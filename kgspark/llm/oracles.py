@@ -45,7 +45,7 @@ won AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY entity_no, fi
 
 _VOTES = f"""{_GOOD},
 voted AS (SELECT entity_no, field_name, lower(trim(regexp_replace(value, '[\\s\\p{{Z}}]+', ' ', 'g'), ' ')) AS norm, value, patch_no,
-  coalesce(user_edited, false) AS e, patched_at, floor((1::bigint << 40) * pow(0.5, greatest(coalesce((epoch_us(TIMESTAMP '2026-01-01') - epoch_us(patched_at)) / (86400e6 * 180), 10.0), 0.0)))::hugeint AS v FROM good),
+  coalesce(user_edited, false) AS e, patched_at, floor((1::bigint << 30) * pow(0.5, greatest(coalesce((epoch_us(TIMESTAMP '2026-01-01') - epoch_us(patched_at)) / (86400e6 * 180), 10.0), 0.0)))::hugeint AS v FROM good),
 sums AS (SELECT entity_no, field_name, norm, sum(v * CASE WHEN e THEN 8 ELSE 1 END) AS votes,
   max({{e: e, t: coalesce(epoch_us(patched_at), -100000000000000000), n: patch_no, v: value}}) AS top FROM voted GROUP BY ALL),
 won AS (SELECT entity_no, field_name, top.v AS value FROM sums QUALIFY row_number() OVER (PARTITION BY entity_no, field_name ORDER BY votes DESC, top DESC) = 1)"""

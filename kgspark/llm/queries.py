@@ -42,7 +42,7 @@ def p3_labels(spark, d):
 
 def p4_found(spark, d):
     votes = survivors.field_votes(table(spark, d, "node_patches"), PATCH_FIELDS)
-    return survivors.winners(votes).where("rivals").select("entity_no", "field_name", "patch_no")
+    return survivors.winners(votes, values=False).where("rivals").select("entity_no", "field_name", "patch_no")
 
 
 def p4_nodes(spark, d):

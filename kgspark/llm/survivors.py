@@ -29,8 +29,8 @@ NO_VALUE = (
 MICROS_SHIFT = 62_135_596_800_000_000
 PLACE = Decimal(10) ** 19
 TOP = Decimal(10) ** 37
-#: A vote of the extractor that has not decayed.
-UNIT = 1 << 40
+#: A vote of the extractor that has not decayed; sums of a value's votes are 64-bit numbers, room for 8 billion of them.
+UNIT = 1 << 30
 
 
 def no_value(c: Column) -> Column:
@@ -74,14 +74,14 @@ def field_votes(
     ).where("_k is not null")
     end = F.unix_micros(F.lit(as_of).cast("timestamp"))
     age = F.greatest(F.coalesce((end - F.unix_micros("_t")) / F.lit(86_400e6 * half_life_days), F.lit(10.0)), F.lit(0.0))
-    vote = F.floor(F.lit(float(UNIT)) * F.pow(F.lit(0.5), age)).cast("decimal(20,0)")
+    vote = F.floor(F.lit(float(UNIT)) * F.pow(F.lit(0.5), age)).cast("bigint")
     long = own.withColumn("_vote", vote).withColumn("_top", precedence(F.col("_e"), F.col("_t"), F.col("_n"))).select(
         "_k", "_n", "_e", "_vote", "_top",
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("_f"),
     ).select("_k", "_n", "_e", "_vote", "_top", "_f.field_name", "_f.value")
     norm = F.when(~no_value(F.col("value")), F.lower(F.trim(F.regexp_replace("value", r"[\s\p{Z}]+", " "))))
     user, tool = F.col("_e"), ~F.col("_e")
-    none = F.lit(0).cast("decimal(20,0)")
+    none = F.lit(0).cast("bigint")
     return (
         long.withColumn("norm", norm)
         .groupBy("_k", "field_name", "norm")
@@ -90,25 +90,28 @@ def field_votes(
             F.sum(F.when(tool, F.col("_vote")).otherwise(none)).alias("by_tool"),
             F.max(F.when(user, F.col("_top"))).alias("newest_user"),
             F.max(F.when(tool, F.col("_top"))).alias("newest_tool"),
-            F.max(F.struct("_top", "value")).alias("best"),
+            F.max("_top").alias("top"),
+            F.max_by("value", F.struct("_top", "value")).alias("value"),
             F.count("*").alias("voters"),
             F.min("_n").alias("least_no"),
             F.max("_n").alias("most_no"),
         )
-        .select(F.col("_k").alias(key), "field_name", "norm", "by_user", "by_tool", "newest_user", "newest_tool", F.col("best._top").alias("top"), F.col("best.value").alias("value"), "voters", "least_no", "most_no")
+        .withColumnRenamed("_k", key)
     )
 
 
-def winners(votes: DataFrame, *, key: str = "entity_no", number: str = "patch_no", strict: bool = True, trust: int = 8) -> DataFrame:
-    """(key, field_name, value, number, votes, rivals) of the value with the most votes of each field that has one.
+def winners(votes: DataFrame, *, key: str = "entity_no", number: str = "patch_no", strict: bool = True, trust: int = 8, values: bool = True) -> DataFrame:
+    """(key, field_name, value, number, votes, rivals) of the value with the most votes of each field that has one; without
+    values, all but the value itself.
 
     votes as field_votes() yields them. A user's vote counts trust times one of the extractor; strict: n + 1 times, n
     being the rows that vote on the field, and the newest vote of either source n + 1 times an undecayed one. Equal
     votes: the value with the better row. number is that of the value's best row. rivals: whether key has two or more
     distinct numbers. The values of a key with very many are not brought together.
     """
-    has = F.col("norm").isNotNull()
+    has = F.col("h").isNotNull()
     scratch = Scratch(votes.sparkSession)
+    votes = votes.withColumn("h", F.when(F.col("norm").isNotNull(), F.xxhash64("norm"))).drop("norm", *[] if values else ["value"])
     votes = scratch.save(votes)
     field = votes.groupBy(key, "field_name").agg(
         F.sum(F.when(has, F.col("voters")).otherwise(0)).cast("decimal(13,0)").alias("n"),
@@ -117,17 +120,18 @@ def winners(votes: DataFrame, *, key: str = "entity_no", number: str = "patch_no
         F.coalesce(F.min("least_no") != F.max("most_no"), F.lit(False)).alias("rivals"),
         F.count("*").alias("values"),
     ).where("n > 0")
+    field = scratch.save(field)
     if strict:
         worth = F.col("n") + F.lit(1).cast("decimal(13,0)")
-        newest = lambda mine, last: F.when(F.col(mine) == F.col(last), F.lit(UNIT).cast("decimal(20,0)") * F.col("n")).otherwise(F.lit(0).cast("decimal(20,0)"))
+        newest = lambda mine, last: F.when(F.col(mine) == F.col(last), F.lit(UNIT).cast("decimal(10,0)") * F.col("n")).otherwise(F.lit(0).cast("decimal(10,0)"))
         both = worth * (F.col("by_user") + newest("newest_user", "last_user")) + F.col("by_tool") + newest("newest_tool", "last_tool")
     else:
         both = F.lit(trust).cast("decimal(13,0)") * F.col("by_user") + F.col("by_tool")
     met = lookup(votes.where(has), [key, "field_name"], field, "values", votes.count()).withColumn("votes", both.cast("decimal(38,0)"))
-    best = met.groupBy(key, "field_name").agg(
-        F.max_by(F.struct("value", "top", "votes"), F.struct("votes", "top", "norm")).alias("w"), F.bool_or("rivals").alias("rivals")
-    )
-    best = best.select(key, "field_name", "w.value", (F.col("w.top") % F.lit(PLACE)).cast("bigint").alias(number), "w.votes", "rivals")
+    order = F.struct("votes", "top", "h")
+    shown = ["value"] if values else []
+    best = met.groupBy(key, "field_name").agg(F.max_by(F.struct(*shown, "top", "votes"), order).alias("w"), F.bool_or("rivals").alias("rivals"))
+    best = best.select(key, "field_name", *[f"w.{c}" for c in shown], (F.col("w.top") % F.lit(PLACE)).cast("bigint").alias(number), "w.votes", "rivals")
     return scratch.result(best)
 
 
