@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -196,14 +197,83 @@ def partial_ratio_of(a: str, b: str) -> float:
     return best
 
 
+#: Windows that are compared at once; characters of the shorter string that one machine word holds.
+MOST_WINDOWS, WORD_CHARS = 100_000, 63
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts one after the other, and where each text starts."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _best_ratios(short: list[str], long: list[str], whole: bool) -> np.ndarray:
+    """The best ratio of each short string against the windows of its length in its long one, or against the whole.
+
+    All windows of all pairs go through the bit-parallel recurrence of lcs() side by side, one character a step."""
+    n = len(short)
+    sc, so = _codes(short)
+    lc, lo_ = _codes(long)
+    m, size = np.diff(so), np.diff(lo_)
+    alphabet, sn = np.unique(sc, return_inverse=True)
+    ln = np.searchsorted(alphabet, lc)
+    ln[ln == len(alphabet)] = 0
+    ln = np.where(alphabet[ln] == lc, ln, len(alphabet)) if len(lc) else ln
+    own = np.repeat(np.arange(n), m)
+    masks = np.zeros((n, len(alphabet) + 1), np.uint64)
+    np.bitwise_or.at(masks, (own, sn), np.uint64(1) << (np.arange(len(sc)) - so[own]).astype(np.uint64))
+    count = np.ones(n, np.int64) if whole else m + size - 1
+    first = np.concatenate(([0], np.cumsum(count)))
+    pair = np.repeat(np.arange(n), count)
+    at = np.arange(first[-1]) - first[pair] + (0 if whole else 1 - m[pair])
+    lo = np.maximum(at, 0)
+    hi = size[pair] if whole else np.minimum(size[pair], at + m[pair])
+    ones = (np.uint64(1) << m.astype(np.uint64)) - np.uint64(1)
+    s = ones[pair]
+    base = lo_[pair] + lo
+    width = hi - lo
+    for k in range(int(width.max(initial=0))):
+        inside = k < width
+        u = s & masks[pair, np.where(inside, ln[np.minimum(base + k, len(ln) - 1)], len(alphabet))]
+        s = (s + u) | (s - u)
+    found = m[pair] - np.bitwise_count(s & ones[pair])
+    return np.maximum.reduceat(200.0 * found / (m[pair] + width), first[:-1])
+
+
+def _ratios(a: pd.Series, b: pd.Series, whole: bool) -> pd.Series:
+    one = ratio_of if whole else partial_ratio_of
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a.fillna(""), b.fillna(""))]
+    out = np.zeros(len(pairs))
+    todo, windows = [], 0
+
+    def flush() -> None:
+        if todo:
+            out[todo] = _best_ratios([pairs[i][0] for i in todo], [pairs[i][1] for i in todo], whole)
+            todo.clear()
+
+    for i, (x, y) in enumerate(pairs):
+        if not x or len(x) > WORD_CHARS:
+            out[i] = one(x, y)
+        elif x in y:
+            out[i] = 200.0 * len(x) / (len(x) + len(y)) if whole else 100.0
+        else:
+            todo.append(i)
+            windows += WORD_CHARS if whole else len(x) + len(y)
+            if windows >= MOST_WINDOWS:
+                flush()
+                windows = 0
+    flush()
+    return pd.Series(out)
+
+
 @F.pandas_udf(types.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio_of(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    return _ratios(a, b, True)
 
 
 @F.pandas_udf(types.DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_ratio_of(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    return _ratios(a, b, False)
 
 
 def ratio_can_reach(a: Column, b: Column, threshold: float) -> Column:

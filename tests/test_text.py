@@ -120,3 +120,19 @@ def test_spans_and_client_shapes(spark):
     for c in "drug":
         h = (h * 31 + ord(c)) % 2**32
     assert one(spark, T.rolling_shape, "Drug") == T.SPARE_SHAPES[h % 15] and one(spark, T.rolling_shape, None) == "hexagon"
+
+
+def test_many_pairs_at_once_are_as_one_by_one():
+    import random
+
+    import pandas as pd
+
+    r = random.Random(9)
+    word = lambda n: "".join(r.choices("abc dé文", k=n))
+    a = [word(r.choice([0, 1, 2, 5, 20, 63, 64, 90])) for _ in range(300)]
+    b = [word(r.choice([0, 1, 3, 8, 40, 130])) for _ in range(300)]
+    for whole, one in ((True, T.ratio_of), (False, T.partial_ratio_of)):
+        got = T._ratios(pd.Series(a), pd.Series(b), whole)
+        assert list(got) == pytest.approx([one(x, y) for x, y in zip(a, b)])
+    assert list(T._ratios(pd.Series([None, "a"]), pd.Series(["a", None]), True)) == [0.0, 0.0]
+    assert len(T._ratios(pd.Series([], dtype=str), pd.Series([], dtype=str), False)) == 0
