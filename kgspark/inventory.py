@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
+from kgspark.functions.markdown import markdown
 from kgspark.operators import chunking, layout, resolution, retrieval
 from kgspark.plans import extract, pipeline
 from kgspark.queries import GRAPH, answers, places, query, typed_graph
@@ -121,6 +122,28 @@ def answer_routes(spark, d):
     return answers(spark, d).select("question_id", "route")
 
 
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT *, regexp_matches(line, '^{_BLANK}*```') AS fence FROM l), o AS (SELECT *, count_if(fence) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS opened FROM f),
+    k AS (SELECT *, CASE WHEN fence THEN CASE WHEN opened THEN 'open' ELSE 'close' END WHEN opened THEN 'pre' WHEN regexp_matches(line, '^{_BLANK}*$') THEN 'blank' WHEN regexp_matches(line, '^#{{1,4}}{_BLANK}+') THEN 'h' || least(6, length(regexp_extract(line, '^(#{{1,4}}){_BLANK}+', 1)) + 3)
+      WHEN regexp_matches(line, '^{_BLANK}*[-*+]{_BLANK}+') THEN 'ul' WHEN regexp_matches(line, '^{_BLANK}*\p{{Nd}}+[.)]{_BLANK}+') THEN 'ol' ELSE 'p' END AS kind FROM o),
+    g AS (SELECT *, kind = 'p' AND coalesce(lag(kind) OVER w = 'p', false) AS goes_on FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    n AS (SELECT *, (count_if(kind NOT IN ('close', 'pre', 'blank') AND NOT goes_on) OVER (PARTITION BY doc_id ORDER BY i) - 1)::int AS block FROM g),
+    c AS (SELECT *, CASE WHEN kind LIKE 'h%' THEN regexp_replace(line, '^#{{1,4}}{_BLANK}+', '') WHEN kind = 'ul' THEN regexp_replace(line, '^{_BLANK}*[-*+]{_BLANK}+', '') WHEN kind = 'ol' THEN regexp_replace(line, '^{_BLANK}*\p{{Nd}}+[.)]{_BLANK}+', '') ELSE line END AS said FROM n WHERE kind NOT IN ('open', 'close', 'blank')),
+    p AS (SELECT *, string_split(regexp_replace(said, '(`[^`]+`|\*\*[^*]+\*\*|__[^_]+__|\*[^*]+\*|_[^_]+_)', chr(57344) || '\1' || chr(57344), 'g'), chr(57344)) AS parts FROM c WHERE kind <> 'pre'),
+    t AS (SELECT doc_id, block, kind, unnest(parts) AS x, generate_subscripts(parts, 1) AS j FROM p)
+    SELECT doc_id, block, kind, 'text' AS tag, line AS text FROM c WHERE kind = 'pre' UNION ALL SELECT doc_id, block, kind, 'text', ' ' FROM c WHERE goes_on UNION ALL
+    SELECT doc_id, block, kind, 'text', x FROM t WHERE j % 2 = 1 AND x <> '' UNION ALL
+    SELECT doc_id, block, kind, CASE WHEN starts_with(x, '`') THEN 'code' WHEN starts_with(x, '**') OR starts_with(x, '__') THEN 'strong' ELSE 'em' END, CASE WHEN starts_with(x, '**') OR starts_with(x, '__') THEN substr(x, 3, length(x) - 4) ELSE substr(x, 2, length(x) - 2) END FROM t WHERE j % 2 = 0"""
+)
+def markdown_blocks(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.explode(markdown(F.col("text"))).alias("b")).select("doc_id", "b.*")
+
+
 # ---------------------------------------------------------------- similarity
 
 #: Longest common subsequences of pairs (x, y, a, b), a bit for each character of a, one character of b a step.

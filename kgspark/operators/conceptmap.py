@@ -128,16 +128,24 @@ def grounded(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
 
     quotes: document_id, key, quote; chunks: document_id, chunk_id, ord, text. Quotes found nowhere give no row."""
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    q = quotes.select("document_id", "key", flat(F.col("quote")).alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
-    n = F.size("w")
-    tries = F.when(n > 4, F.sequence(n, F.lit(4), F.lit(-1))).otherwise(F.array(n))
-    cand = q.select("document_id", "key", "w", F.explode(tries).alias("n")).withColumn("part", F.array_join(F.slice(F.col("w"), F.lit(1), F.col("n")), " "))
+    q = quotes.select("document_id", "key", flat(F.col("quote")).alias("q")).where("q <> ''")
     c = chunks.select("document_id", "chunk_id", "ord", flat(F.col("text")).alias("t"))
-    met = cand.join(c, "document_id").withColumn("at", F.instr(F.col("t"), F.col("part"))).where("at > 0")
-    best = met.groupBy("document_id", "key").agg(
-        F.min_by(F.struct("chunk_id", (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.length("part")).alias("end")), F.struct((-F.col("n")).alias("n"), "ord", "chunk_id")).alias("x")
-    )
-    return best.select("document_id", "key", "x.*")
+
+    def first(parts: DataFrame) -> DataFrame:
+        """Of each quote's parts (part, n words) that a chunk holds, the longest in the first chunk."""
+        met = parts.join(c, "document_id").withColumn("at", F.instr(F.col("t"), F.col("part"))).where("at > 0")
+        where = F.struct("chunk_id", (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.length("part")).alias("end"))
+        best = met.groupBy("document_id", "key").agg(F.min_by(where, F.struct((-F.col("n")).alias("n"), "ord", "chunk_id")).alias("x"))
+        return best.select("document_id", "key", "x.*")
+
+    scratch = Scratch(quotes.sparkSession)
+    whole = scratch.save(first(q.select("document_id", "key", F.col("q").alias("part"), F.lit(0).alias("n"))))
+    # only quotes that stand nowhere as a whole are tried by their beginnings
+    rest = q.join(whole.select("document_id", "key"), ["document_id", "key"], "left_anti").withColumn("w", F.split("q", " "))
+    n = F.size("w")
+    shorter = rest.where(n > 4).select("document_id", "key", "w", F.explode(F.sequence(n - 1, F.lit(4), F.lit(-1))).alias("n"))
+    parts = shorter.select("document_id", "key", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("part"), "n")
+    return whole.unionByName(first(parts))
 
 
 def prerequisite_edges(links: DataFrame, needs: DataFrame) -> DataFrame:

@@ -92,10 +92,12 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, scope: list[str], key:
     A scope's rows are dealt out to blocks of about block_rows, and each query goes to every block of its scope; Spark
     keeps the best k of each task before it shuffles for the final ranks."""
     sizes = rows.groupBy(*scope).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
-    dealt = rows.select(key, *scope, "embedding").join(sizes, scope).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
-    q = queries.select("query", *scope, F.col("embedding").alias("_q")).join(sizes, scope)
+    square = lambda c: _dot(F.col(c), F.col(c))  # noqa: E731 - once for each vector, not for each pair
+    dealt = rows.select(key, *scope, "embedding", square("embedding").alias("_e2")).join(sizes, scope).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    q = queries.select("query", *scope, F.col("embedding").alias("_q"), square("embedding").alias("_q2")).join(sizes, scope)
     q = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
     met = dealt.drop("_blocks").join(q, [*scope, "_block"])
-    scored = met.select("query", key, *scope, cosine(F.col("embedding"), F.col("_q")).alias("cosine")).where("cosine is not null")
+    score = _dot(F.col("embedding"), F.col("_q")) / F.nullif(F.sqrt(F.col("_e2") * F.col("_q2")), F.lit(0.0))
+    scored = met.select("query", key, *scope, score.alias("cosine")).where("cosine is not null")
     w = Window.partitionBy("query", *scope).orderBy(F.desc("cosine"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
-from kgspark.functions.markdown import markdown
 from kgspark.operators import canvas, chunking, conceptmap, graph, layout, relational, resolution, retrieval, triples, vectors
 from kgspark.plans import extract, pipeline
 from kgspark.plans.scratch import Scratch
@@ -159,12 +158,6 @@ def rolling_shapes(spark, d):
     return kinds.select("kind", T.rolling_shape(F.col("kind")).alias("shape"))
 
 
-@query()
-def markdown_blocks(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.explode(markdown(F.col("text"))).alias("b")).select("doc_id", "b.*")
-
-
 @query()
 def snippets(spark, d):
     """The sentence around each term in each chunk that mentions it."""
