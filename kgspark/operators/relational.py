@@ -8,8 +8,7 @@ from pyspark.sql.window import Window
 
 from kgspark.streaming.ingest import limited_table
 
-# Progress shown for the stages of an ingest, and the roles of a share link.
-PROGRESS = {"parse": 5, "chunk": 15, "write": 70, "embed": 90, "ready": 100}
+# The roles of a share link.
 ROLES = ("viewer", "editor")
 #: Hits and seconds of the limits in use.
 LIMITS = {"signup": (5, 3600), "login": (10, 900), "chat": (200, 86_400), "quiz": (200, 86_400)}
@@ -88,19 +87,6 @@ def new_attempts(attempts: DataFrame, existing: DataFrame, quizzes: DataFrame) -
     return fresh.join(quizzes.select("quiz_id", F.col("owner_id").alias("user_id")), ["quiz_id", "user_id"], "left_anti")
 
 
-def within_limit(events: DataFrame, key: str, at: str, seconds: int, limit: int) -> DataFrame:
-    """events with hits (those of the key in the window that ends with the row) and allowed. Rows that a live limiter
-    refused count here; streaming.limited keeps its exact state. Rows without a time are no hits and are left out."""
-    span = seconds * 1_000_000
-    own = events.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).where("_t is not null")
-    # a key's rows are cut into blocks one window long; each row also serves the block after its own, so no task gets a whole key
-    block = F.floor(F.col("_t") / span)
-    both = own.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_b", block + F.when(F.col("_own"), 0).otherwise(1))
-    w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-span, 0)
-    out = both.withColumn("hits", F.count("*").over(w)).where("_own").drop("_t", "_own", "_b")
-    return out.withColumn("allowed", F.col("hits") <= limit)
-
-
 def access(role: Column, is_owner: Column, method: Column, path: Column) -> Column:
     """allow, read_only or not_found: owners may do all, editors edit, viewers read and chat."""
     reads = method.isin("GET", "HEAD", "OPTIONS") | ((method == "POST") & path.endswith("/chat"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
-from kgspark.operators import canvas, chunking, conceptmap, graph, layout, relational, resolution, retrieval, triples, vectors
+from kgspark.operators import canvas, conceptmap, graph, layout, relational, resolution, retrieval, triples, vectors
 from kgspark.plans import extract, pipeline
 from kgspark.plans.scratch import Scratch
 from kgspark.session import table
@@ -395,13 +395,13 @@ def merged_edges(spark, d):
 @query(
     """WITH q AS (SELECT vec_id AS query, label, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT query, vec_id, e.label, round(list_cosine_similarity(embedding::double[], q::double[]), 6) AS cosine, list_cosine_similarity(embedding::double[], q::double[]) AS c FROM embeddings e JOIN q USING (label))
-    SELECT query, vec_id, label, cosine, row_number() OVER (PARTITION BY query, label ORDER BY c DESC, vec_id) AS rank FROM s QUALIFY rank <= 8"""
+    SELECT query, vec_id, label, cosine, round((1 + c) / 2, 6) AS score, row_number() OVER (PARTITION BY query, label ORDER BY c DESC, vec_id) AS rank FROM s QUALIFY rank <= 8"""
 )
 def vector_topk(spark, d):
     """Queries are all rows whose id is divisible by 100, against all rows of their label."""
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "label", "embedding")
-    return vectors.nearest(q, e, 8, ["label"]).select("query", "vec_id", "label", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
+    return vectors.nearest(q, e, 8, ["label"]).select("query", "vec_id", "label", F.round("cosine", 6).alias("cosine"), F.round(vectors.index_score(F.col("cosine")), 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(
