@@ -27,7 +27,6 @@ from kgspark.plans.scratch import Scratch
 #: Costs of a cut by kind; an even share missed by all of its length costs BALANCE.
 COST = {"block": 0.0, "line": 0.25, "sentence": 0.5, "space": 1.0, "hard": 20.0}
 BALANCE = 1.5
-KINDS = tuple(COST)
 #: Characters between positions tried inside a run without boundaries.
 HARD_STEP = 50
 
