@@ -172,14 +172,18 @@ def _drawn(scratch: Scratch, rows: DataFrame, rests: dict[str, float]) -> DataFr
 
     left = rest_of(copies)
     todo = {k for k, t in left.items() if t >= 1} - edged
-    while todo:  # all that could be drawn was, and large ones did not fit: everything else is repeated, max_repeats times at most
-        again = spared(copies, {k: left[k] for k in todo})
-        u = F.coalesce("z", F.lit(0.5))
-        more, edged = _in_order(scratch, again.select("doc_id", "key", "tokens", u.alias("z"), F.coalesce("q", F.lit(1.0)).alias("q")), {k: left[k] for k in todo})
-        both = copies.unionByName(more.withColumn("extra", F.lit(1)))
+    while todo:  # all that could be drawn was, and large ones did not fit: everything else is repeated
+        again = scratch.save(spared(copies, {k: left[k] for k in todo}).select("doc_id", "key", "tokens", "spare", "q", "z"))
+        held = {r["key"]: r["t"] for r in again.groupBy("key").agg(F.sum("tokens").alias("t")).collect()}  # a row for each target
+        # all of them as often as they fit together; where they do not, the first ones by rank
+        often = _by_key(spark, {k: left[k] // t for k, t in held.items() if t <= left[k]}, "often")
+        all_ = again.join(often, "key").select("doc_id", "key", "tokens", F.least("spare", "often").cast("int").alias("extra"))
+        ranked = again.select("doc_id", "key", "tokens", F.coalesce("z", F.lit(0.5)).alias("z"), F.coalesce("q", F.lit(1.0)).alias("q"))
+        some, edged = _in_order(scratch, ranked, {k: left[k] for k, t in held.items() if t > left[k]})
+        both = copies.unionByName(all_).unionByName(some.withColumn("extra", F.lit(1)))
         copies = scratch.save(both.groupBy("doc_id", "key", "tokens").agg(F.sum("extra").cast("int").alias("extra")))
-        before, left = left, rest_of(copies)
-        todo = {k for k in todo if left[k] >= 1 and left[k] < before[k]} - edged
+        left = rest_of(copies)
+        todo = {k for k in held if left[k] >= 1} - edged
     filling = []
     last = spared(copies, left)
     for r in _firsts(last, MOST_FILLING, "extra", F.asc_nulls_last("q")).select("key", "doc_id", "tokens", "spare").collect():

@@ -52,6 +52,11 @@ def test_one_large_document_among_small_ones(spark):
         assert report["s"].mixed_tokens == pytest.approx(total, rel=0.01, abs=14) and max(g.copies for g in got.values()) <= 4
 
 
+def test_a_small_document_is_repeated_as_often_as_it_takes(spark):
+    got, report = mix(spark, [(0, "s", "word " * 5000), (1, "s", "a"), (2, "s", "b c")], [("s", 1.0, 4000)], total_tokens=3001)
+    assert report["s"].mixed_tokens == 3001 and set(got) <= {1, 2} and max(g.copies for g in got.values()) <= 4000
+
+
 def test_deterministic_but_for_the_seed(spark):
     docs = corpus(200)
     a, b, c = (mix(spark, docs, TARGET, seed=s)[0] for s in (1, 1, 2))
