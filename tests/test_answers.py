@@ -172,3 +172,28 @@ def test_cache_of_sessions(spark):
 def test_mean_pooling():
     v = vectors.mean_pooled(np.array([[[1.0, 0], [0, 1], [9, 9]], [[0, 0], [0, 0], [0, 0]]]), np.array([[1, 1, 0], [0, 0, 0]]))
     assert np.allclose(v, [[0.5**0.5, 0.5**0.5], [0, 0]])
+
+
+def test_trigrams_are_hashed_as_xxhash_does():
+    import xxhash
+
+    from kgspark.functions.text import fold
+
+    r = random.Random(5)
+    texts = ["", "  ", "a", "é", "日本語 text", "\x00", "...", *("".join(r.choice("abc de.,É日Ж𝔸") for _ in range(r.randint(0, 60))) for _ in range(50))]
+    want = np.zeros((len(texts), vectors.DIMENSIONS), np.float32)
+    for i, t in enumerate(texts):
+        s = f" {fold(t)} "
+        for j in range(len(s) - 2):
+            h = xxhash.xxh32_intdigest(s[j : j + 3])
+            want[i, h % vectors.DIMENSIONS] += 1.0 if h & 1 << 31 else -1.0
+        want[i] /= np.linalg.norm(want[i]) or 1
+    assert (vectors.hashing_embedder(texts) == want).all()
+
+
+def test_small_scopes_are_near_as_a_whole(spark):
+    rows = vectors.embedded(spark.createDataFrame([(s, f"{s}{i}", t) for s, n in (("a", 2), ("b", 5), ("c", 3)) for i, t in enumerate(["", "one two", "two", "three", "four"][:n])], "s string, vec_id string, text string"))
+    q = spark.createDataFrame([(1, "a", "two"), (2, "b", "two"), (3, "c", ""), (4, "d", "two"), (5, "c", "one")], "query int, s string, text string")
+    want = vectors.nearest(vectors.embedded(q), rows, 3, ["s"]).select("query", "vec_id", "s")
+    got = vectors.nearest_to_texts(q, rows, 3, ["s"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 6

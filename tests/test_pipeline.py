@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.operators import conceptmap, graph
+from kgspark.operators import chunking, conceptmap, graph, retrieval
 from kgspark.plans import pipeline
 
 TEXT = "# Guide\n\nAlpha Store depends on Beta Cache. Nothing else here.\n\nGamma Tool is part of Alpha Store.\n"
@@ -155,3 +155,21 @@ def test_contexts_hold_the_notes_of_concepts(spark, corpus):
     said = pipeline.retrieve(replace(corpus, graph=replace(corpus.graph, entities=told)), q)["context"].first().context
     assert said.startswith("Concept: Alpha Store\nA store of alphas.\nGood at: fast; small\n")
     assert pipeline.retrieve(corpus, q)["context"].first().context in said
+
+
+def test_contexts_are_small_plans(spark, corpus):
+    q = spark.createDataFrame([(1, "1", "What is Alpha Store?"), (2, "1", "hello there"), (3, "1", " ")], "question_id int, document_id string, question string")
+    workers = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas")
+    found = pipeline.retrieve(corpus, q)
+    o = spark.createDataFrame([("1", "Hello. Hi.")], "document_id string, reply string")
+    assert workers(found["context"]) <= 1 and workers(pipeline.answer(found, q, o)) <= 2
+    some = pipeline.retrieve(corpus, q.where(retrieval.needs_material(F.col("question"))))
+    assert [r.question_id for r in some["context"].collect()] == [1]
+    assert sorted(map(tuple, pipeline.answer(some, q, o).collect())) == sorted(map(tuple, pipeline.answer(found, q, o).collect()))
+
+
+def test_texts_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, "a.md", TEXT), (2, "b.md", " "), (3, "c.md", None)], "doc_id bigint, filename string, text string")
+    c = chunking.chunks(docs)
+    assert c._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.document_id for r in c.collect()] == [1]
