@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types
@@ -20,8 +23,8 @@ STRING_MERGE, FUZZY_FROM, EMBED_MERGE, EMBED_ASK, ACRONYM_ASK = 88.0, 5, 0.90, 0
 MOST_ASKED = 200
 #: Rows of a block that are held against as many others at once.
 TILE_ROWS = 2_000
-#: Pairs whose cosine is taken again in double precision at once.
-EXACT_ROWS = 2_000
+#: Of these, rows whose cosines a worker holds at once; pairs that it hands over at once.
+PART_ROWS, PART_PAIRS = 250, 20_000
 
 
 def candidates(entities: DataFrame) -> DataFrame:
@@ -96,36 +99,92 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return p.select("block", *[F.col("_p")[i][k].alias(f"{k}_{x}") for i, x in enumerate("ab") for k in ("id", "name")], "score")
 
 
-def vector_pairs(named: DataFrame, embed: Callable, floor: float, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(block, id_a, name_a, id_b, name_b, score) with id_a < id_b: all pairs of a block whose names' vectors have that
-    cosine or more. named: block, id, name. A block is dealt out to tiles, and each two tiles are compared all with
-    all, so no task holds a whole block; the work still grows with the square of a block."""
+def _tiles(named: DataFrame, embed: Callable, tile_rows: int) -> DataFrame:
+    """named with embedding, once for each two tiles (_low, _high) of its block that its own tile (_t) is one of. All rows
+    of an id are in one tile."""
     sizes = named.groupBy("block").agg(F.count("*").alias("_n")).where("_n > 1")
     sizes = sizes.select("block", F.ceil(F.col("_n") / tile_rows).cast("int").alias("_tiles"))
-    v = vectors.embedded(named.select("block", "id", "name"), "name", embed).join(sizes, "block")
+    v = vectors.embedded(named.join(sizes, "block"), "name", embed)
     v = v.withColumn("_t", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
     v = v.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    v = v.select("block", "id", "name", "embedding", "_t", F.least("_t", "_o").alias("_low"), F.greatest("_t", "_o").alias("_high"))
-
-    def score(df: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(df["embedding"].to_list()).astype(np.float64)
-        size = np.linalg.norm(m, axis=1)
-        m = m / np.where(size > 0, size, 1)[:, None]  # a vector without length is like none
-        t, low, high = df["_t"].to_numpy(), df["_low"].iloc[0], df["_high"].iloc[0]
-        a, b = np.flatnonzero(t == low), np.flatnonzero(t == high)
-        rough = m[a].astype(np.float32) @ m[b].astype(np.float32).T
-        i, j = np.nonzero(rough >= floor - 1e-4)
-        i, j = a[i], b[j]
-        if low == high:
-            i, j = i[i < j], j[i < j]
-        exact = [np.einsum("ij,ij->i", m[i[k : k + EXACT_ROWS]], m[j[k : k + EXACT_ROWS]]) for k in range(0, len(i), EXACT_ROWS)]
-        c = np.concatenate(exact) if exact else np.zeros(0)
-        i, j, c = i[c >= floor], j[c >= floor], c[c >= floor]
-        ids, names = df["id"].to_numpy(), df["name"].to_numpy()
-        return pd.DataFrame({"block": df["block"].iloc[0], "id_a": ids[i], "name_a": names[i], "id_b": ids[j], "name_b": names[j], "score": c})
-
-    met = v.groupBy("block", "_low", "_high").applyInPandas(score, "block string, id_a string, name_a string, id_b string, name_b string, score double")
-    return _ordered(met)
+    return v.withColumn("_low", F.least("_t", "_o")).withColumn("_high", F.greatest("_t", "_o")).drop("_tiles", "_o")
+
+
+def _tile(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of two tiles by id and name, their unit vectors, and which rows are of the one and of the other tile."""
+    t = pa.Table.from_batches(batches)
+    t = t.take(pc.sort_indices(t, [("id", "ascending"), ("name", "ascending")], null_placement="at_start")).combine_chunks()
+    m = pc.list_flatten(t["embedding"]).to_numpy().astype(np.float64).reshape(len(t), -1)
+    size = np.linalg.norm(m, axis=1)
+    m = m / np.where(size > 0, size, 1)[:, None]  # a vector without length is like none
+    of = t["_t"].to_numpy()
+    return t, m, np.flatnonzero(of == t["_low"][0].as_py()), np.flatnonzero(of == t["_high"][0].as_py())
+
+
+def _one(x: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+
+
+def vector_pairs(named: DataFrame, embed: Callable, floor: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(block, id_a, name_a, id_b, name_b, score) with id_a < id_b: all pairs of a block whose names' vectors have that
+    cosine or more. named: block, id, name. A block is dealt out to tiles, and each two tiles are compared all with
+    all, PART_ROWS rows at a time, so no task holds a whole block or all pairs of two tiles; the work still grows with
+    the square of a block."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, m, a, b = _tile(batches)
+        for k in range(0, len(a), PART_ROWS):
+            part = a[k : k + PART_ROWS]
+            c = m[part] @ m[b].T
+            i, j = np.nonzero(c >= floor)
+            c, i, j = c[i, j], part[i], b[j]
+            if t["_low"][0] == t["_high"][0]:
+                c, i, j = c[i < j], i[i < j], j[i < j]
+            for n in range(0, len(c), PART_PAIRS):
+                x, y = i[n : n + PART_PAIRS], j[n : n + PART_PAIRS]
+                lo, hi = pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))  # rows are in the order of ids
+                cols = [t["block"].take(lo), t["id"].take(lo), t["name"].take(lo), t["id"].take(hi), t["name"].take(hi), pa.array(c[n : n + PART_PAIRS])]
+                yield pa.RecordBatch.from_arrays([*map(_one, cols)], names=["block", "id_a", "name_a", "id_b", "name_b", "score"])
+
+    v = _tiles(named.select("block", "id", "name"), embed, tile_rows)
+    return v.groupBy("block", "_low", "_high").applyInArrow(score, "block string, id_a string, name_a string, id_b string, name_b string, score double")
+
+
+def rounded(c: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 1 rounded to six places as Spark's round() does it, half up by their decimal digits."""
+    at = c * 1e6
+    out = np.floor(at + 0.5) / 1e6
+    for i in np.flatnonzero(np.abs(at - np.floor(at) - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(c[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return out
+
+
+def best_pairs(named: DataFrame, embed: Callable, floor: float, below: float = EMBED_MERGE, most: int = MOST_ASKED, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(block, id_a, id_b, score) with id_a < id_b: asked() of the pairs of vector_pairs(), each once with its best score,
+    rounded to six places, of those that are less than below. Since all rows of an id are in one tile, each two tiles
+    know their own pairs' scores for good and pass on no more than the first `most` in asked()'s order."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, m, a, b = _tile(batches)
+        no = t["id"].combine_chunks().dictionary_encode().indices.to_numpy()  # rises with the ids, which are sorted
+        first = [np.flatnonzero(np.diff(no[x], prepend=-1)) for x in (a, b)]
+        c = np.maximum.reduceat(np.maximum.reduceat(m[a] @ m[b].T, first[0], 0), first[1], 1)
+        if t["_low"][0] == t["_high"][0]:
+            c[np.tril_indices(len(c))] = -np.inf
+        sure, least = c[(c >= floor) & (c < below - 1e-6)], floor
+        if len(sure) > most:  # what falls short of the last place by more than rounding can't come in
+            least = max(floor, np.partition(sure, len(sure) - most)[len(sure) - most] - 2e-6)
+        i, j = np.nonzero((c >= least) & (c < below + 1e-6))
+        c, i, j = c[i, j], a[first[0]][i], b[first[1]][j]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        r = rounded(c)
+        r, i, j = r[r < below], i[r < below], j[r < below]
+        top = np.lexsort((-no[j], -no[i], -r))[:most]
+        lo, hi = pa.array(i[top]), pa.array(j[top])
+        yield pa.RecordBatch.from_arrays([*map(_one, (t["block"].take(lo), t["id"].take(lo), t["id"].take(hi))), pa.array(r[top])], names=["block", "id_a", "id_b", "score"])
+
+    v = _tiles(named.select("block", "id", "name"), embed, tile_rows)
+    return asked(v.groupBy("block", "_low", "_high").applyInArrow(score, "block string, id_a string, id_b string, score double"), most)
 
 
 def acronym_pairs(named: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import ratio_of
+from kgspark.inventory import letter_embedder
 from kgspark.operators import canvas, conceptmap, graph, resolution, triples
 from kgspark.plans import extract
 from kgspark.plans.workspace import Workspace, is_scoped
@@ -329,3 +331,27 @@ def test_levels_have_no_limit_of_rounds():
     import inspect
 
     assert list(inspect.signature(canvas.levels).parameters) == ["nodes", "edges"]
+
+
+@pytest.mark.parametrize("tile_rows", [3, 2000])
+def test_best_pairs_are_the_first_of_all_pairs(spark, tile_rows):
+    r = random.Random(3)
+    rows = [(b, f"{b}{r.randrange(25)}", "".join(r.choice("abcd") for _ in range(r.randint(1, 9)))) for b in "xy" for _ in range(40)]
+    rows = sorted({*rows, ("z", "z1", "ab"), ("z", "z2", "ac")})
+    named = spark.createDataFrame(rows, "block string, id string, name string")
+    every = resolution.vector_pairs(named, letter_embedder, 0.55, tile_rows)
+    v = {n: letter_embedder([n])[0].astype(float) for _, _, n in rows}
+    cos = lambda a, b: v[a] @ v[b] / np.sqrt((v[a] @ v[a]) * (v[b] @ v[b]))
+    want = {(i, n, j, m) for b, i, n in rows for c, j, m in rows if b == c and (i, n) < (j, m) and cos(n, m) >= 0.55 + 1e-9}
+    assert want <= {(x.id_a, x.name_a, x.id_b, x.name_b) for x in every.collect()}
+    own = every.where("id_a <> id_b").groupBy("block", "id_a", "id_b").agg(F.max(F.round("score", 6)).alias("score")).where("score < 0.9")
+    got = resolution.best_pairs(named, letter_embedder, 0.55, most=7, tile_rows=tile_rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, resolution.asked(own, 7).select("block", "id_a", "id_b", "score").collect()))
+    assert {b: sum(x.block == b for x in got.collect()) for b in "xy"} == {"x": 7, "y": 7}
+
+
+def test_rounding_is_sparks(spark):
+    c = np.array([0.5546875, 0.0078125, -0.0078125, 0.1234565, 0.12345649999999, 1.0, 0.9 - 5e-7, 71 / 128 + 1e-16])
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(c)], "i int, x double").select(F.round("x", 6)).orderBy("i")
+    want = [x[0] for x in df.collect()]
+    assert [w for w, x in zip(want, c) if x > 0] == [g for g, x in zip(resolution.rounded(c).tolist(), c) if x > 0]
