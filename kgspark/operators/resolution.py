@@ -92,13 +92,6 @@ def one_row_each(entities: DataFrame, order: str) -> DataFrame:
     return first.select("e.*", "edited").withColumn("user_edited", F.col("edited")).drop("edited")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """pairs with id_a < id_b."""
-    ends = F.array_sort(F.array(*[F.struct(F.col(f"id_{x}").alias("id"), F.col(f"name_{x}").alias("name")) for x in "ab"]))
-    p = pairs.withColumn("_p", ends)
-    return p.select("block", *[F.col("_p")[i][k].alias(f"{k}_{x}") for i, x in enumerate("ab") for k in ("id", "name")], "score")
-
-
 def _tiles(named: DataFrame, embed: Callable, tile_rows: int) -> DataFrame:
     """named with embedding, once for each two tiles (_low, _high) of its block that its own tile (_t) is one of. All rows
     of an id are in one tile."""
@@ -187,14 +180,40 @@ def best_pairs(named: DataFrame, embed: Callable, floor: float, below: float = E
     return asked(v.groupBy("block", "_low", "_high").applyInArrow(score, "block string, id_a string, id_b string, score double"), most)
 
 
+def _initialed(named: DataFrame) -> DataFrame:
+    """Different rows of named with their initials, null for a single word, and the initials (of 2 to 6 letters) that
+    they may stand for."""
+    n = named.select("block", "id", "name", normalize(F.col("name")).alias("n")).where("n <> ''").distinct()
+    fit = lambda x: F.length(x).between(2, 6)
+    first = acronym_of(F.col("n"))
+    return n.select("block", "id", "name", F.when(fit(first), first).alias("initials"), F.filter(F.array_distinct(acronym_forms(F.col("n"))), fit).alias("forms"))
+
+
+def _acronyms(short: DataFrame, long: DataFrame) -> DataFrame:
+    """acronym_pairs() of which one row is of short and stands for one of long. Two rows that stand for each other meet
+    both ways and are taken once, so no pair of rows comes twice and nothing is shuffled to find that out."""
+    a = short.select("block", F.col("id").alias("x"), F.col("name").alias("xn"), F.col("initials").alias("xi"), F.explode("forms").alias("key"))
+    b = long.where("initials is not null").select("block", F.col("id").alias("y"), F.col("name").alias("yn"), F.col("forms").alias("yf"), F.col("initials").alias("key"))
+    low = F.col("x") < F.col("y")
+    met = a.join(b, ["block", "key"]).where((F.col("x") != F.col("y")) & (low | F.col("xi").isNull() | ~F.array_contains("yf", F.col("xi"))))
+    either = lambda p, q, name: F.when(low, F.col(p)).otherwise(F.col(q)).alias(name)
+    return met.select("block", either("x", "y", "id_a"), either("xn", "yn", "name_a"), either("y", "x", "id_b"), either("yn", "xn", "name_b"), F.lit(ACRONYM_ASK).alias("score"))
+
+
 def acronym_pairs(named: DataFrame) -> DataFrame:
     """(block, id_a, name_a, id_b, name_b, score) with id_a < id_b: pairs of a block of which one name is the other's
     initials, met on these; score is ACRONYM_ASK. named: block, id, name."""
-    n = named.withColumn("n", normalize(F.col("name"))).where("n <> ''")
-    short = n.select("block", F.col("id").alias("id_a"), F.col("name").alias("name_a"), F.col("n").alias("n_a"), F.explode(F.array_distinct(acronym_forms(F.col("n")))).alias("key")).where(F.length("key").between(2, 6))
-    long = n.select("block", F.col("id").alias("id_b"), F.col("name").alias("name_b"), F.col("n").alias("n_b"), acronym_of(F.col("n")).alias("key"))
-    met = short.join(long, ["block", "key"]).where(is_acronym_pair(F.col("n_a"), F.col("n_b")) & (F.col("id_a") != F.col("id_b")))
-    return _ordered(met.select("block", "id_a", "name_a", "id_b", "name_b", F.lit(ACRONYM_ASK).alias("score")).distinct())
+    n = _initialed(named)
+    return _acronyms(n, n)
+
+
+def acronym_ids(named: DataFrame) -> DataFrame:
+    """(id_a, id_b) of acronym_pairs(), each once. Only pairs with an id that has several rows can come twice, so the
+    others are not shuffled again."""
+    n = _initialed(named).withColumn("_rows", F.count("*").over(Window.partitionBy("id")))
+    once, more = n.where("_rows = 1"), n.where("_rows > 1")
+    ids = lambda short, long: _acronyms(short, long).select("id_a", "id_b")
+    return ids(once, once).unionByName(ids(more, n).unionByName(ids(once, more)).distinct())
 
 
 def near_pairs(entities: DataFrame, embed: Callable, ask: bool, tile_rows: int = TILE_ROWS) -> DataFrame:

@@ -355,3 +355,18 @@ def test_rounding_is_sparks(spark):
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(c)], "i int, x double").select(F.round("x", 6)).orderBy("i")
     want = [x[0] for x in df.collect()]
     assert [w for w, x in zip(want, c) if x > 0] == [g for g, x in zip(resolution.rounded(c).tolist(), c) if x > 0]
+
+
+def test_acronyms_are_met_once_without_a_shuffle_of_pairs(spark):
+    rows = [("x", "1", "large ring"), ("x", "2", "LR"), ("x", "3", "lrs"), ("x", "4", "l r"), ("x", "5", "L. R."), ("x", "6", "ring"), ("y", "2", "LR"), ("y", "1", "long road"), ("y", "7", "lr"), ("x", "7", "LR"), ("x", "7", "l r"), ("x", "2", "LR"), ("y", "8", None)]
+    named = spark.createDataFrame(rows, "block string, id string, name string")
+    pairs = [tuple(r) for r in resolution.acronym_pairs(named).select("block", "id_a", "name_a", "id_b", "name_b").collect()]
+    norm = lambda n: "".join(c if c.isalnum() else " " for c in n.lower()).split()
+    stands = lambda a, b: len(b) > 1 and "".join(w[0] for w in b) in {"".join(a), "".join(a).rstrip("s")}
+    own = sorted({r for r in rows if r[2]})
+    want = [(b, i, n, j, m) for b, i, n in own for c, j, m in own if b == c and i < j and (stands(norm(n), norm(m)) or stands(norm(m), norm(n)))]
+    assert sorted(pairs) == sorted(want) and len(want) > 12
+    ids = resolution.acronym_ids(named)
+    assert sorted(map(tuple, ids.collect())) == sorted({(i, j) for _, i, _, j, _ in want})
+    plan = resolution.acronym_pairs(named)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]  # nothing is made distinct after the join
