@@ -370,3 +370,44 @@ def test_acronyms_are_met_once_without_a_shuffle_of_pairs(spark):
     assert sorted(map(tuple, ids.collect())) == sorted({(i, j) for _, i, _, j, _ in want})
     plan = resolution.acronym_pairs(named)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]  # nothing is made distinct after the join
+
+
+@pytest.mark.parametrize("tile_rows", [3, 2000])
+def test_named_pairs_are_grouped_pairs(spark, monkeypatch, tile_rows):
+    monkeypatch.setattr(resolution, "PART_ROWS", 4)
+    r = random.Random(4)
+    rows = sorted({(b, f"{r.choice('xyzw')}{r.randrange(9)}", "".join(r.choice("abcd") for _ in range(r.randint(1, 9)))) for b in "xyz" for _ in range(40)})
+    named = spark.createDataFrame(rows, "block string, id string, name string")
+    every = resolution.vector_pairs(named, letter_embedder, 0.55, tile_rows).where("id_a <> id_b and score < 0.9")
+    want = every.groupBy("id_a", "id_b").agg(F.max("name_a").alias("name_a"), F.max("name_b").alias("name_b")).select("id_a", "name_a", "id_b", "name_b")
+    got = resolution.named_pairs(named, letter_embedder, 0.55, 0.9, tile_rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 200
+
+
+def test_pairs_of_tiles_are_handed_over_in_parts():
+    import pyarrow as pa
+
+    rows = [("b", f"i{k:04d}", "a", 0, 0, 0, [1.0, 0.0]) for k in range(600)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("block", "id", "name", "_t", "_low", "_high", "embedding"), x)) for x in rows])
+
+    class Tiles:
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, score, schema):
+            return list(score(iter([batch])))
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(resolution, "_tiles", lambda *_: Tiles())
+        m.setattr(Tiles, "select", lambda self, *_: self, raising=False)
+        parts = resolution.vector_pairs(Tiles(), None, 0.5)
+    assert sum(map(len, parts)) == 600 * 599 // 2 and max(map(len, parts)) <= resolution.PART_PAIRS
+
+
+def test_judged_pairs_wait_in_no_queue(spark):
+    p = spark.createDataFrame([(i, "a" * (i % 3 + 1), None if i == 5 else "a") for i in range(9)], "i int, name_a string, name_b string")
+    said = resolution.adjudicated(p, lambda pairs: [x == y for x, y in pairs])
+    assert {r.i for r in said.where("verdict").collect()} == {0, 3, 6} and said.count() == 9
+    assert "ArrowEvalPython" not in said._jdf.queryExecution().executedPlan().toString()
+    assert not resolution.adjudicated(p, lambda pairs: 1 / 0).where("verdict").count()
+    assert resolution.adjudicated(p, lambda pairs: [True]).where("not verdict").count() >= 5
