@@ -43,6 +43,26 @@ def test_context(spark):
     assert len(retrieval.context(c, t, long).first().context) == retrieval.CONTEXT_CHARS
 
 
+def test_questions_with_the_same_chunks_share_their_passages(spark):
+    r = random.Random(11)
+    chunks = [(d, f"{d}{i}", i or None, (f"text {d}{i} ") * r.choice([1, 1, 900])) for d in "abc" for i in range(4)] + [("a", "a0", 7, "twice"), ("b", "b1", 0, None)]
+    docs = [("a", "a.md"), ("b", ""), ("b", "other")]
+    own = [r.sample(range(4), r.choice([0, 1, 1, 1, 2, 4])) for _ in range(60)]
+    chosen = [(q, d, f"{d}{i}", i, n) for q, own in enumerate(own) for d in [r.choice("abc")] for n, i in enumerate(sorted(own), 1)]
+    told = [(q, 1, "N", f"note {q}", None, None, None, None, None) for q in range(0, 70, 3)]
+    c = spark.createDataFrame(told, "question_id int, rank int, name string, one_liner string, " + ", ".join(f"{k} array<string>" for k in retrieval.NOTES))
+    t = spark.createDataFrame([(q, 1, "A", "is", "B") for q in range(0, 70, 4)], "question_id int, rank int, subject string, predicate string, object string")
+    chosen = spark.createDataFrame(chosen, "question_id int, document_id string, chunk_id string, ord int, rank int")
+    chunks = spark.createDataFrame(chunks, "document_id string, chunk_id string, page int, text string")
+    docs = spark.createDataFrame(docs, "document_id string, document string")
+    want = retrieval.context(c, t, chosen.join(docs, "document_id", "left").join(chunks, ["document_id", "chunk_id"]))
+    lists = retrieval.listed_chunks(chosen)
+    single, several = retrieval.shared_parts(lists, chunks, docs)
+    got = retrieval.together(retrieval.own_parts(c, t, lists), single, several)
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in want.collect()} and got.count() == want.count() > 55
+    assert single.count() <= 12 and several.count() == lists.where("size(list) > 1").select("list").distinct().count()
+
+
 def test_replies(spark):
     df = spark.createDataFrame([("Graph theory", ["A", "B", "C"]), ("Graph theory", []), ("", ["A"]), (None, None)], "t string, c array<string>")
     got = [r[0] for r in df.select(retrieval.orientation(F.col("t"), F.col("c"))).collect()]
