@@ -168,6 +168,15 @@ def test_contexts_are_small_plans(spark, corpus):
     assert sorted(map(tuple, pipeline.answer(some, q, o).collect())) == sorted(map(tuple, pipeline.answer(found, q, o).collect()))
 
 
+def test_answers_put_contexts_together_beside_their_questions(spark, corpus):
+    q = spark.createDataFrame([(1, "1", "What does Alpha Store depend on?"), (2, "2", "And Delta Unit?"), (3, "9", "Alpha Store?")], "question_id int, document_id string, question string")
+    found = pipeline.retrieve(corpus, q)
+    o = spark.createDataFrame([("1", "Hello. Hi.")], "document_id string, reply string")
+    said = [pipeline.answer({k: found[k] for k in keys}, q, o) for keys in (("own", "single", "several"), ("context",))]
+    own, whole = (sorted(map(tuple, x.collect())) for x in said)
+    assert own == whole and [x[1] for x in own] == ["answer", "answer", "nothing"]
+
+
 def test_texts_are_cut_once(spark):
     docs = spark.createDataFrame([(1, "a.md", TEXT), (2, "b.md", " "), (3, "c.md", None)], "doc_id bigint, filename string, text string")
     c = chunking.chunks(docs)
