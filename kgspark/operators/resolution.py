@@ -117,6 +117,22 @@ def _one(x: pa.Array | pa.ChunkedArray) -> pa.Array:
     return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
 
 
+def _alike(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows of two tiles and, PART_PAIRS at a time, which pairs of them have that cosine or more, and the cosines. Rows
+    are in the order of ids and the lesser comes first."""
+    t, m, a, b = _tile(batches)
+    for k in range(0, len(a), PART_ROWS):
+        part = a[k : k + PART_ROWS]
+        c = m[part] @ m[b].T
+        i, j = np.nonzero(c >= floor)
+        c, i, j = c[i, j], part[i], b[j]
+        if t["_low"][0] == t["_high"][0]:
+            c, i, j = c[i < j], i[i < j], j[i < j]
+        for n in range(0, len(c), PART_PAIRS):
+            x, y = i[n : n + PART_PAIRS], j[n : n + PART_PAIRS]
+            yield t, np.minimum(x, y), np.maximum(x, y), c[n : n + PART_PAIRS]
+
+
 def vector_pairs(named: DataFrame, embed: Callable, floor: float, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(block, id_a, name_a, id_b, name_b, score) with id_a < id_b: all pairs of a block whose names' vectors have that
     cosine or more. named: block, id, name. A block is dealt out to tiles, and each two tiles are compared all with
@@ -124,24 +140,37 @@ def vector_pairs(named: DataFrame, embed: Callable, floor: float, tile_rows: int
     the square of a block."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, m, a, b = _tile(batches)
-        for k in range(0, len(a), PART_ROWS):
-            part = a[k : k + PART_ROWS]
-            c = m[part] @ m[b].T
-            i, j = np.nonzero(c >= floor)
-            c, i, j = c[i, j], part[i], b[j]
-            if t["_low"][0] == t["_high"][0]:
-                c, i, j = c[i < j], i[i < j], j[i < j]
-            for n in range(0, len(c), PART_PAIRS):
-                x, y = i[n : n + PART_PAIRS], j[n : n + PART_PAIRS]
-                lo, hi = pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))  # rows are in the order of ids
-                cols = [t["block"].take(lo), t["id"].take(lo), t["name"].take(lo), t["id"].take(hi), t["name"].take(hi), pa.array(c[n : n + PART_PAIRS])]
-                yield pa.RecordBatch.from_arrays([*map(_one, cols)], names=["block", "id_a", "name_a", "id_b", "name_b", "score"])
+        for t, i, j, c in _alike(batches, floor):
+            lo, hi = pa.array(i), pa.array(j)
+            cols = [t["block"].take(lo), t["id"].take(lo), t["name"].take(lo), t["id"].take(hi), t["name"].take(hi), pa.array(c)]
+            yield pa.RecordBatch.from_arrays([*map(_one, cols)], names=["block", "id_a", "name_a", "id_b", "name_b", "score"])
 
     v = _tiles(named.select("block", "id", "name"), embed, tile_rows)
     return v.groupBy("block", "_low", "_high").applyInArrow(score, "block string, id_a string, name_a string, id_b string, name_b string, score double")
 
 
+def tiered_pairs(named: DataFrame, embed: Callable, floor: float, line: float = EMBED_MERGE, clear: float = 1e-9, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(id_a, id_b, name_low, name_high, score, tier) of vector_pairs() that are not within clear of line: names in their
+    own order, scores rounded to six places, `merge` from line on and else `ask`. All of it is told where the pairs are
+    found, by whole columns, since there are very many."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = None
+        for t, i, j, c in _alike(batches, floor):
+            if place is None:  # names by their UTF-8 bytes, as Spark orders them
+                place = np.unique(np.array([x.encode() for x in t["name"].to_pylist()], object), return_inverse=True)[1]
+            ok = np.abs(c - line) > clear
+            i, j, c = i[ok], j[ok], c[ok]
+            swap = place[i] > place[j]
+            rows = [pa.array(x) for x in (i, j, np.where(swap, j, i), np.where(swap, i, j))]
+            cols = [t["id"].take(rows[0]), t["id"].take(rows[1]), t["name"].take(rows[2]), t["name"].take(rows[3])]
+            tiers = pa.array(["ask", "merge"]).take(pa.array((c >= line).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*map(_one, cols), pa.array(rounded(c)), tiers], names=["id_a", "id_b", "name_low", "name_high", "score", "tier"])
+
+    v = _tiles(named.select("block", "id", "name"), embed, tile_rows)
+    return v.groupBy("block", "_low", "_high").applyInArrow(score, "id_a string, id_b string, name_low string, name_high string, score double, tier string")
+
+
 def named_pairs(named: DataFrame, embed: Callable, floor: float, below: float, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(id_a, name_a, id_b, name_b) with id_a < id_b: the different pairs of ids of vector_pairs() with scores less than
     below, each with the last name of either end among those pairs. All rows of an id and block are in one tile, so two

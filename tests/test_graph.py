@@ -411,3 +411,18 @@ def test_judged_pairs_wait_in_no_queue(spark):
     assert "ArrowEvalPython" not in said._jdf.queryExecution().executedPlan().toString()
     assert not resolution.adjudicated(p, lambda pairs: 1 / 0).where("verdict").count()
     assert resolution.adjudicated(p, lambda pairs: [True]).where("not verdict").count() >= 5
+
+
+def test_pairs_get_their_tiers_where_they_are_found(spark):
+    import random
+
+    from kgspark.inventory import letter_embedder
+    from kgspark.operators import resolution
+
+    r = random.Random(4)
+    rows = [(r.choice("vw"), f"n{r.randrange(50):02d}", "".join(r.choice("abcéß𝔸 ｚ") for _ in range(r.randint(1, 9)))) for _ in range(80)]
+    named = spark.createDataFrame([*rows, ("w", "x", "aab"), ("w", "y", "abb")], "block string, id string, name string").distinct()
+    p = resolution.vector_pairs(named, letter_embedder, 0.55, tile_rows=9).where("abs(score - 0.8) > 1e-9")
+    want = p.selectExpr("id_a", "id_b", "least(name_a, name_b)", "greatest(name_a, name_b)", "round(score, 6)", "if(score >= 0.8, 'merge', 'ask')")
+    got = resolution.tiered_pairs(named, letter_embedder, 0.55, 0.8, tile_rows=9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and {x.tier for x in got.collect()} == {"ask", "merge"}
