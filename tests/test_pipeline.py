@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import chunking, conceptmap, graph, retrieval
 from kgspark.plans import pipeline
+from kgspark.plans.scratch import Scratch
 
 TEXT = "# Guide\n\nAlpha Store depends on Beta Cache. Nothing else here.\n\nGamma Tool is part of Alpha Store.\n"
 
@@ -182,3 +183,15 @@ def test_texts_are_cut_once(spark):
     c = chunking.chunks(docs)
     assert c._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [r.document_id for r in c.collect()] == [1]
+
+
+def test_answers_are_planned_in_small_steps(spark, corpus, monkeypatch):
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    save, seen = Scratch.save, []
+    monkeypatch.setattr(Scratch, "save", lambda self, df: (seen.append(joins(df)), save(self, df))[1])
+    q = spark.createDataFrame([(1, "1", "What does Alpha Store depend on?"), (2, "1", "hello there"), (3, "1", " ")], "question_id int, document_id string, question string")
+    o = spark.createDataFrame([("1", "Hello. Hi.")], "document_id string, reply string")
+    found = pipeline.retrieve(corpus, q.where(retrieval.needs_material(F.col("question"))))
+    said = pipeline.answer(found, q, o)
+    assert max([*seen, joins(said)]) <= 7
+    assert sorted(r.question_id for r in said.collect()) == [1, 2, 3]
